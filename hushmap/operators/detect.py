@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushmap.rules import COLUMN_RULES, NAME_RULES, Rule, Ruleset
+from hushmap.rules.values import JAVA_FLAGS
 from hushmap.schemas import SPAN_FIELDS
 
 MAX_UTF8_BYTES = 4
@@ -20,13 +21,9 @@ RESULT_LINE = r"type: ([A-Z_]+), start: (\d+), end: (\d+), score: ([\d.]+)"
 def rule_matches(value: Column, rule: Rule, flags: str = "") -> Column:
     """All texts a rule finds in the value; null when a cheap test already rules it out."""
     found = F.regexp_extract_all(value, F.lit(rule.spark_regex(flags)), F.lit(rule.group))
-    gate = None
-    if rule.max_length is not None:
-        # One more character, since $ also matches before a final line feed.
-        gate = F.octet_length(value) <= MAX_UTF8_BYTES * (rule.max_length + 1)
-    elif rule.literals and not flags:
-        gate = contains_any(value, rule.literals)
-    return found if gate is None else F.when(gate, found)
+    if rule.literals and not flags:
+        return F.when(contains_any(value, rule.literals), found)
+    return found
 
 
 def contains_any(value: Column, literals: Iterable[str]) -> Column:
@@ -37,7 +34,38 @@ def contains_any(value: Column, literals: Iterable[str]) -> Column:
 
 
 def value_hits(value: Column, rules: Ruleset) -> Column:
-    """array<struct<position, entity, score, texts>> of the rules that hit, in rule order."""
+    """array<struct<position, entity, score, texts>> of the rules that hit, in rule order.
+
+    Most values hit nothing. One alternation over the whole-value rules, tried on short values
+    only, and one over the other rules tell so; single rules run where they found something.
+    """
+    placed = list(enumerate(rules.rules))
+    whole = [(p, r) for p, r in placed if r.whole_value]
+    inside = [(p, r) for p, r in placed if r.hinted and not r.whole_value]
+    own = [(p, r) for p, r in placed if not r.hinted]
+    groups = []
+    if whole:
+        # One more character, since $ also matches before a final line feed.
+        longest = 1 + max(rule.max_length for _, rule in whole)
+        short = F.octet_length(value) <= MAX_UTF8_BYTES * longest
+        groups.append(F.when(short & _any_of(value, whole, rules.flags), _hits(value, whole, rules)))
+    if inside:
+        groups.append(
+            F.when(_any_of(value, inside, rules.flags), _hits(value, inside, rules))
+        )
+    if own:
+        groups.append(_hits(value, own, rules))
+    if len(groups) == 1:
+        return groups[0]
+    return F.sort_array(F.flatten(F.array_compact(F.array(*groups))))
+
+
+def _any_of(value: Column, placed: list[tuple[int, Rule]], flags: str) -> Column:
+    trials = "|".join(f"(?:{rule.trial})" for _, rule in placed)
+    return value.rlike(JAVA_FLAGS + flags + trials)
+
+
+def _hits(value: Column, placed: list[tuple[int, Rule]], rules: Ruleset) -> Column:
     per_rule = [
         F.struct(
             F.lit(position).alias("position"),
@@ -45,7 +73,7 @@ def value_hits(value: Column, rules: Ruleset) -> Column:
             F.lit(rule.score).alias("score"),
             rule_matches(value, rule, rules.flags).alias("texts"),
         )
-        for position, rule in enumerate(rules.rules)
+        for position, rule in placed
     ]
     return F.filter(F.array(*per_rule), lambda hit: F.size(hit["texts"]) > 0)
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushmap.operators.detect import contains_any
-from hushmap.operators.prepare import normalize_token, tokens
+from hushmap.operators.prepare import MIN_TOKEN_CHARS, TOKEN_BREAK, normalize_token
 from hushmap.rules.documents import (
     DOCUMENT_CLASSES,
     EMAIL_PATTERN,
@@ -27,6 +28,8 @@ from hushmap.session import broadcast_if_small, checkpointed
 # stay well below the broadcast limit.
 MAX_BROADCAST_TOKENS = 1_000_000
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
 
 def _distinct_matches(text: Column, regex: str, group: int = 0) -> Column:
     return F.array_distinct(
@@ -112,34 +115,58 @@ def _keyword_rows() -> list[tuple[int, str, str]]:
     ]
 
 
-def _keywords_by_token_length(spark) -> DataFrame:
-    """Distinct keywords per length a similar token can have, with the edits that allows.
+def _letters(token: Column) -> Column:
+    """Bit set of the ASCII letters and digits of a text."""
+    bits = [
+        F.when(token.contains(letter), F.lit(1 << place)).otherwise(F.lit(0)).cast("bigint")
+        for place, letter in enumerate(LETTERS)
+    ]
+    return reduce(lambda left, right: left.bitwiseOR(right), bits)
+
 
-    With m matched characters the similarity is 2m / (a + b), so the shorter text must exceed
-    0.4 (a + b), and at most (a + b - 1) div 5 characters may be edited.
+def _keywords_by_token_length(spark: SparkSession) -> DataFrame:
+    """Distinct keywords per length a similar token can have, with what that allows.
+
+    With m matched characters the similarity is 2m / (a + b). It exceeds 80 % only if m is
+    more than 0.4 (a + b), which bounds the characters left over on either side, and with
+    them the edits between the two texts.
     """
     keywords = sorted({keyword for _, _, keyword in _keyword_rows()})
     longest = max(len(keyword) for keyword in keywords)
-    rows = [
-        (size, keyword, (size + len(keyword) - 1) // 5)
-        for keyword in keywords
-        for size in range(1, 2 * longest)
-        if 10 * min(size, len(keyword)) > 4 * (size + len(keyword))
-    ]
-    return spark.createDataFrame(rows, "token_length int, keyword string, max_edits int")
+    rows = []
+    for keyword in keywords:
+        bits = sum(1 << place for place, letter in enumerate(LETTERS) if letter in keyword)
+        for size in range(1, 2 * longest):
+            both = size + len(keyword)
+            matched = 4 * both // 10 + 1
+            if matched <= min(size, len(keyword)):
+                left_over = (len(keyword) - matched, size - matched)
+                rows.append((size, keyword, bits, *left_over, (both - 1) // 5))
+    return spark.createDataFrame(
+        rows,
+        "token_length int, keyword string, keyword_letters bigint, keyword_spare int, "
+        "token_spare int, max_edits int",
+    )
 
 
 def similar_tokens(vocabulary: DataFrame) -> DataFrame:
     """Pairs (token, keyword) of a distinct-token table that are more than 80 % similar.
 
-    Length bands join each token to the keywords it could resemble, an edit-distance bound
-    drops nearly all of those pairs, and only the rest is compared character block by block.
+    Each token meets the keywords of its length band. Bounds on the letters that only one side
+    has, then on the edit distance, drop nearly all of those pairs within the join; only the
+    rest is compared block by block.
     """
     keywords = F.broadcast(_keywords_by_token_length(vocabulary.sparkSession))
-    close = F.expr("levenshtein(token, keyword, max_edits) >= 0")
+    measured = vocabulary.select(
+        "token", F.length("token").alias("token_length"), _letters(F.col("token")).alias("letters")
+    )
+    close = F.expr(
+        "bit_count(keyword_letters & ~letters) <= keyword_spare "
+        "AND bit_count(letters & ~keyword_letters) <= token_spare "
+        "AND levenshtein(token, keyword, max_edits) >= 0"
+    )
     return (
-        vocabulary.withColumn("token_length", F.length("token"))
-        .join(keywords, "token_length")
+        measured.join(keywords, "token_length")
         .filter(close)
         .filter((F.col("token") == F.col("keyword")) | _similar_pairs("token", "keyword"))
         .select("token", "keyword")
@@ -158,13 +185,15 @@ def keyword_scores(
     classes = spark.createDataFrame(
         _keyword_rows(), "class_position int, class string, keyword string"
     )
-    token = F.transform(tokens(F.col(col)), normalize_token)
-    occurrences = df.select(*ids, F.explode(token).alias("token"))
+    occurrences = (
+        df.select(*ids, F.explode(F.split(col, TOKEN_BREAK)).alias("token"))
+        .filter(F.length("token") >= MIN_TOKEN_CHARS)
+        .withColumn("token", normalize_token(F.col("token")))
+    )
     if exact:
         pairs = classes.select("keyword", F.col("keyword").alias("token")).distinct()
     else:
-        vocabulary = df.select(F.explode(F.array_distinct(token)).alias("token")).distinct()
-        pairs = similar_tokens(vocabulary)
+        pairs = similar_tokens(occurrences.select("token").distinct())
     per_token = (
         pairs.join(F.broadcast(classes), "keyword")
         .groupBy("token", "class_position", "class")

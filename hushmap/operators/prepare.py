@@ -36,6 +36,8 @@ STOP_WORDS = (
     "shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 
+TOKEN_BREAK = "[ \n]"
+MIN_TOKEN_CHARS = 2
 WORD_OR_PUNCTUATION = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
 
 
@@ -60,7 +62,7 @@ def melt_tables(
         keyed = df.withColumn(
             "row_id", F.col(key) if key else F.monotonically_increasing_id()
         )
-        wanted = [c for c in (columns or df.columns) if c in df.columns]
+        wanted = [c for c in (columns or df.columns) if c in df.columns and c != key]
         long = melt_columns(keyed, wanted, ids=["row_id"])
         melted.append(long.select(F.lit(name).alias("table"), "row_id", "column_name", "value"))
     return reduce(DataFrame.unionByName, melted)
@@ -188,7 +190,7 @@ def chunk_text(df: DataFrame, col: str = "text", size: int = CHUNK_CHARS) -> Dat
 
 def tokens(text: Column) -> Column:
     """Tokens between blanks and line feeds, at least two characters long."""
-    return F.filter(F.split(text, "[ \n]"), lambda t: F.length(t) >= 2)
+    return F.filter(F.split(text, TOKEN_BREAK), lambda t: F.length(t) >= MIN_TOKEN_CHARS)
 
 
 def tokenize(df: DataFrame, col: str = "text", ids: Sequence[str] = ()) -> DataFrame:

@@ -46,6 +46,7 @@ class Rule:
     * ``literals``: a match contains at least one of these.
     * ``lead``: character class every match starts with.
     * ``search``: an equivalent pattern that is linear in the text; group 1 is the match.
+    * ``loose``: a pattern without back-references that matches wherever ``regex`` does.
     """
 
     entity: str
@@ -55,6 +56,23 @@ class Rule:
     literals: tuple[str, ...] = ()
     lead: str | None = None
     search: str | None = None
+    loose: str | None = None
+
+    @property
+    def whole_value(self) -> bool:
+        return self.max_length is not None
+
+    @property
+    def hinted(self) -> bool:
+        """Whether the pattern is known well enough to be tried together with others."""
+        return self.whole_value or bool(self.literals or self.lead or self.search)
+
+    @property
+    def trial(self) -> str:
+        """Pattern that is found in every text the rule hits, fit for an alternation."""
+        if self.search:
+            return f"(?m:{self.search})"
+        return f"(?={self.lead}){self.regex}" if self.lead else self.loose or self.regex
 
     @property
     def group(self) -> int:
@@ -210,6 +228,8 @@ MAX_LENGTHS = {
 }
 
 HINTS = {
+    "AMEX_CARD": {"loose": r"^3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}$"},
+    "MAESTRO_CARD": {"loose": r"^(?:5[0678]|60|6[237])\d{2}([-\s]?\d{4}){3}[-\s]?\d{0,3}$"},
     "PERSON": {"lead": "[A-Z]"},
     "GENDER": {"lead": "[MFO]"},
     "NATIONALITY": {

@@ -63,11 +63,7 @@ def read_json_records(
 
 def read_text_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Whole files as rows (path, file_name, size, text)."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", recursive)
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     return files.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file_name"),
