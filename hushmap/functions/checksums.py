@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushmap.rules.values import JAVA_FLAGS
@@ -76,7 +78,9 @@ def _matches(value: Column, regex: str) -> Column:
 
 
 def _compact(value: Column, separators: str) -> Column:
-    return F.translate(value, separators, "")
+    for separator in separators:
+        value = F.replace(value, F.lit(separator), F.lit(""))
+    return value
 
 
 def _flat(table: list[list[int]]) -> Column:
@@ -179,14 +183,23 @@ VALIDATORS = {
 }
 
 
-def identify_entity(value: Column) -> Column:
-    """struct<entity, score> of the first validator that accepts the value, else (null, 0)."""
-    choice = None
-    for entity, score in ENTITY_SCORES:
-        found = F.struct(F.lit(entity).alias("entity"), F.lit(score).alias("score"))
-        test = VALIDATORS[entity](value)
-        choice = F.when(test, found) if choice is None else choice.when(test, found)
-    nothing = F.struct(
-        F.lit(None).cast("string").alias("entity"), F.lit(0.0).alias("score")
-    )
-    return choice.otherwise(nothing)
+def entity_of(value: Column) -> Column:
+    """First entity whose validator accepts the value, else null. All of them want digits."""
+    choice = F.when(~_matches(value, r"\d"), F.lit(None).cast("string"))
+    for entity, _ in ENTITY_SCORES:
+        choice = choice.when(VALIDATORS[entity](value), entity)
+    return choice
+
+
+def entity_score(entity: Column) -> Column:
+    """Score that goes with an accepted entity; 0 without one."""
+    choice = F.when(entity.isNull(), 0.0)
+    for name, score in ENTITY_SCORES:
+        choice = choice.when(entity == name, score)
+    return choice
+
+
+def identify_entity(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (keep, entity, score) of the first validator that accepts each value, else (null, 0)."""
+    identified = df.select(*keep, entity_of(F.col(col)).alias("entity"))
+    return identified.withColumn("score", entity_score(F.col("entity")))

@@ -83,26 +83,54 @@ def scan_values(
     col: str = "value",
     rules: Ruleset = COLUMN_RULES,
     ids: Sequence[str] = ("row_id",),
-    first_only: bool = False,
 ) -> DataFrame:
     """One row per hit: ids, position of the rule, entity, score, nth match, text.
 
-    All rules run in one projection over the value, which is not carried into the hits. With
-    ``first_only`` each value yields the hit of its first matching rule.
+    All rules run in one projection over the value, which is not carried into the hits.
     """
-    hits = value_hits(F.col(col), rules)
-    if first_only:
-        hits = F.slice(hits, 1, 1)
-    per_rule = df.select(*ids, F.inline(hits))
-    if first_only:
-        return per_rule.select(
-            *ids, "position", "entity", "score", F.lit(0).alias("nth"), F.col("texts")[0].alias("text")
-        )
+    per_rule = df.select(*ids, F.inline(value_hits(F.col(col), rules)))
     return per_rule.select(
         *ids, "position", "entity", "score", F.posexplode("texts").alias("nth", "text")
     )
 
 
+def scan_first(
+    df: DataFrame,
+    col: str = "value",
+    rules: Ruleset = COLUMN_RULES,
+    ids: Sequence[str] = ("row_id",),
+) -> DataFrame:
+    """One row per value that hits: ids, and position, entity and score of its first rule.
+
+    A chain of tests that ends with the first rule found, for labels by first entity.
+    """
+    value = F.col(col)
+    place = None
+    for position, rule in enumerate(rules.rules):
+        test = _applies(value, rule, rules.flags)
+        place = F.when(test, position) if place is None else place.when(test, position)
+    entities = F.array(*[F.lit(rule.entity) for rule in rules.rules])
+    scores = F.array(*[F.lit(rule.score) for rule in rules.rules])
+    # Exploding the one place (or none) keeps the chain from being copied into a filter.
+    first = df.select(*ids, F.explode(F.array_compact(F.array(place))).alias("position"))
+    return first.select(
+        *ids,
+        "position",
+        F.get(entities, F.col("position")).alias("entity"),
+        F.get(scores, F.col("position")).alias("score"),
+    )
+
+
+def _applies(value: Column, rule: Rule, flags: str) -> Column:
+    found = value.rlike(rule.spark_regex(flags))
+    if rule.whole_value:
+        # One more character, since $ also matches before a final line feed.
+        return (F.octet_length(value) <= MAX_UTF8_BYTES * (rule.max_length + 1)) & found
+    if rule.literals and not flags:
+        return contains_any(value, rule.literals) & found
+    return found
+
+
 def scan_spans(
     df: DataFrame,
     col: str = "text",

@@ -15,7 +15,5 @@ def verify_hits(hits: DataFrame, keys: Sequence[str] = ("row_id",)) -> DataFrame
 
     Texts that no validator accepts are reported as a null entity with score 0.
     """
-    checked = hits.filter(F.col("entity").isin(VERIFIED_ENTITIES)).select(
-        *keys, identify_entity(F.col("text")).alias("found")
-    )
-    return checked.select(*keys, "found.entity", "found.score").distinct()
+    checked = hits.filter(F.col("entity").isin(VERIFIED_ENTITIES))
+    return identify_entity(checked, "text", keys).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushmap.functions.scalar import file_extension, human_size
-from hushmap.operators.detect import scan_values
+from hushmap.operators.detect import scan_first, scan_values
 from hushmap.operators.prepare import melt_columns, sample_values, strip_values
 from hushmap.operators.reduce import (
     best_hits,
@@ -62,7 +62,7 @@ def scan_table(
     names = [c for c in (columns or keyed.columns) if c not in ("row_id", key)]
     values = strip_values(melt_columns(keyed, names, ids=["row_id"]))
     sampled = sample_values(values, sample_size, seed=seed)
-    hits = scan_values(sampled, rules=rules, ids=["column_name", "row_id"], first_only=True)
+    hits = scan_first(sampled, rules=rules, ids=["column_name", "row_id"])
     expected = df.sparkSession.createDataFrame([(n,) for n in names], "column_name string")
     labels = with_missing(label_by_count(hits, ["column_name"]), expected, ["column_name"])
     return _stored(labels, ["column_name"], lookup).select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushmap.functions.scalar import before_dot, dot_part, json_member, kilobytes
@@ -29,8 +29,13 @@ def _distinct_per(rows: DataFrame, key: str, kinds: Mapping[str, str]) -> DataFr
     return rows.distinct().groupBy(key).agg(*counts)
 
 
-def _kind(df: DataFrame, key: str, kind: str, value: Column) -> DataFrame:
-    return df.select(F.col(key), F.lit(kind).alias("kind"), value.alias("value"))
+def _kinds(df: DataFrame, key: str, kinds: Mapping[str, str]) -> DataFrame:
+    """Columns of a table as rows (key, kind, value)."""
+    values = [
+        F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
+        for kind, column in kinds.items()
+    ]
+    return df.select(key, F.inline(F.array(*values)))
 
 
 def _services(dbservice: DataFrame) -> DataFrame:
@@ -90,47 +95,40 @@ def structured_element_types(
 ) -> DataFrame:
     """Per entity: distinct results, columns, tables, schemas, databases, systems, regions.
 
-    Only distinct counts come out, so the chain of fan-out joins is not run row by row: results
-    meet their table once, and what lies behind the service is counted on distinct
-    (entity, service) pairs, one kind of value at a time.
+    Only distinct counts come out, so the chain of fan-out joins is not run row by row: tables
+    are looked up for distinct (entity, table) pairs, and what lies behind the service for
+    distinct (entity, service) pairs, one kind of value at a time.
     """
+    key = "detected_entity"
+    own = results.groupBy(key).agg(
+        F.countDistinct("id").alias("count_data_element_types"),
+        F.countDistinct("column_name").alias("total_columns"),
+    )
     located = tables.select(
         F.col("id").alias("table_id"),
         F.col("id").alias("_table"),
-        dot_part(F.col("fqnHash"), 1).alias("_service"),
+        dot_part(F.col("fqnHash"), 1).alias("_key"),
     ).distinct()
-    base = left_join_default(
-        results.select("id", "table_id", "column_name", "detected_entity"), located, ["table_id"]
-    )
-    own = base.groupBy("detected_entity").agg(
-        F.countDistinct("id").alias("count_data_element_types"),
-        F.countDistinct("column_name").alias("total_columns"),
-        F.countDistinct("_table").alias("total_tables"),
-    )
-    pairs = base.select("detected_entity", F.col("_service").alias("_key")).distinct()
+    at_table = left_join_default(results.select(key, "table_id").distinct(), located, ["table_id"])
     services = _services(dbservice).withColumn("_key", F.col("nameHash"))
-    at_service = left_join_default(pairs, services, ["_key"]).drop("_key")
+    at_service = left_join_default(at_table.select(key, "_key").distinct(), services, ["_key"])
     parts = left_join_default(
-        at_service.select("detected_entity", "nameHash").distinct(),
+        at_service.select(key, "nameHash").distinct(),
         _profile_parts(profiler, 2, 3),
         ["nameHash"],
     )
     regions = left_join_default(
-        at_service.select("detected_entity", "service_id").distinct(),
-        _regions(meta),
-        ["service_id"],
-    )
-    key = "detected_entity"
-    rows = (
-        _kind(parts, key, "schema", F.col("p2"))
-        .unionByName(_kind(parts, key, "database", F.col("p3")))
-        .unionByName(_kind(at_service, key, "system", F.col("serviceType")))
-        .unionByName(_kind(regions, key, "region", F.col("region")))
+        at_service.select(key, "service_id").distinct(), _regions(meta), ["service_id"]
     )
+    rows = _kinds(at_table, key, {"table": "_table"})
+    rows = rows.unionByName(_kinds(parts, key, {"schema": "p2", "database": "p3"}))
+    rows = rows.unionByName(_kinds(at_service, key, {"system": "serviceType"}))
+    rows = rows.unionByName(_kinds(regions, key, {"region": "region"}))
     behind = _distinct_per(
         rows,
         key,
         {
+            "table": "total_tables",
             "schema": "total_schemas",
             "database": "total_databases",
             "system": "total_data_systems",
@@ -149,28 +147,29 @@ def structured_locations(
 ) -> DataFrame:
     """Per region: distinct systems, tables, schemas, databases and entities.
 
-    A service counts only if it has profiles and scanned tables; each kind of value is then
-    joined to the region by itself instead of all of them multiplied.
+    A service counts only if it has profiles and scanned tables. Its values of each kind are
+    made distinct first and joined to the region once, instead of all kinds multiplied.
     """
-    service_entities = _service_results(tables, results, ["detected_entity"])
-    parts = _profile_parts(profiler, 2, 3, 4)
-    regions = (
+    profiled = _kinds(
+        _profile_parts(profiler, 2, 3, 4),
+        "nameHash",
+        {"schema": "p2", "database": "p3", "table": "p4"},
+    )
+    scanned = _service_results(tables, results, ["detected_entity"])
+    values = profiled.unionByName(_kinds(scanned, "nameHash", {"entity": "detected_entity"}))
+    values = values.distinct()
+    both = F.bool_or(F.col("kind") == "entity") & F.bool_or(F.col("kind") != "entity")
+    complete = values.groupBy("nameHash").agg(both.alias("_both")).filter("_both").drop("_both")
+    services = (
         _regions(meta)
         .join(_services(dbservice), "service_id")
+        .join(complete, "nameHash")
         .select("region", "nameHash", "serviceType")
         .distinct()
-        .join(service_entities, "nameHash", "left_semi")
-        .join(parts, "nameHash", "left_semi")
-    )
-    with_parts = regions.select("region", "nameHash").join(parts, "nameHash")
-    with_entities = regions.select("region", "nameHash").join(service_entities, "nameHash")
-    rows = (
-        _kind(regions, "region", "system", F.col("serviceType"))
-        .unionByName(_kind(with_parts, "region", "table", F.col("p4")))
-        .unionByName(_kind(with_parts, "region", "schema", F.col("p2")))
-        .unionByName(_kind(with_parts, "region", "database", F.col("p3")))
-        .unionByName(_kind(with_entities, "region", "entity", F.col("detected_entity")))
     )
+    systems = _kinds(services, "region", {"system": "serviceType"})
+    behind = services.select("region", "nameHash").distinct().join(values, "nameHash")
+    rows = systems.unionByName(behind.select("region", "kind", "value"))
     return _distinct_per(
         rows,
         "region",

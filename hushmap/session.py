@@ -63,3 +63,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     join to shuffle."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, *paths: str) -> DataFrame:
+    """Let all cores take part in a scan of files too small for one split each.
+
+    Pattern scans cost far more than reading, so a few small files would keep most cores idle.
+    Where the files make at least one split per core, nothing is moved.
+    """
+    spark = df.sparkSession
+    split_bytes = _bytes(spark, "spark.sql.files.maxPartitionBytes", "134217728b")
+    cores = spark.sparkContext.defaultParallelism
+    if sum(stored_bytes(spark, path) for path in paths) >= cores * split_bytes:
+        return df
+    return df.repartition(cores)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(hadoop_path).getLength()
+
+
+def _bytes(spark: SparkSession, name: str, default: str) -> int:
+    text = spark.conf.get(name, default)
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)

@@ -6,10 +6,12 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hushmap.rules import DATA_ELEMENTS
+from hushmap.session import spread
 
 
 def text(value: str) -> str:
@@ -217,6 +219,10 @@ FIXTURES["values"] = (
 )
 
 
+# Fixtures that pattern scans read.
+SCANNED = {"value_shapes", "people", "corpus", "files", "values"}
+
+
 def duck(name: str) -> str:
     """A fixture as SQL over the benchmark views."""
     return re.sub(r"\$(\w+)\$", r"\1", FIXTURES[name])
@@ -227,9 +233,30 @@ def ctes(*names: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.table(_view(spark, sf_dir, table))
+
+
+def _view(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Temporary view of a benchmark table, so that its files are listed once per session."""
+    view = f"{table}_{zlib.crc32(sf_dir.encode()):08x}"
+    if not spark.catalog.tableExists(view):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(view)
+    return view
+
+
+def sql_over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL in which ``$name$`` stands for a benchmark table."""
+    return spark.sql(re.sub(r"\$(\w+)\$", lambda m: _view(spark, sf_dir, m.group(1)), sql))
+
+
+def read_texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A table about to be scanned for patterns."""
+    return spread(read(spark, sf_dir, table), f"{sf_dir}/{table}.parquet")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = re.sub(r"\$(\w+)\$", rf"parquet.`{sf_dir}/\1.parquet`", FIXTURES[name])
-    return spark.sql(sql)
+    df = sql_over(spark, sf_dir, FIXTURES[name])
+    if name not in SCANNED:
+        return df
+    tables = set(re.findall(r"\$(\w+)\$", FIXTURES[name]))
+    return spread(df, *[f"{sf_dir}/{table}.parquet" for table in tables])

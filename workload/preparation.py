@@ -11,7 +11,7 @@ from hushmap.schemas import TABLES
 from hushmap.session import scratch_path
 from hushmap.sources import catalog, readers, results
 from hushmap.sources.files import file_metadata, list_files
-from workload.fixtures import ctes, fixture, read, text
+from workload.fixtures import ctes, fixture, read, read_texts, sql_over, text
 from workload.registry import query
 
 # --- sources: written from the tables, then read back
@@ -138,7 +138,7 @@ WHERE copy = 1 OR c_custkey % 10 = 0"""
 
 
 def _batch(spark, sf):
-    return spark.sql(_BATCH.replace("$customer$", f"parquet.`{sf}/customer.parquet`"))
+    return sql_over(spark, sf, _BATCH)
 
 
 _BATCH_SQL = _BATCH.replace("$customer$", "customer")
@@ -170,7 +170,7 @@ FROM $customer$"""
     "FROM g WHERE id IS NOT NULL",
 )
 def _s09(spark, sf):
-    df = spark.sql(_GAPS.replace("$customer$", f"parquet.`{sf}/customer.parquet`"))
+    df = sql_over(spark, sf, _GAPS)
     return catalog.clean_batch(df, "table_entity")
 
 
@@ -241,7 +241,7 @@ FROM $supplier$"""
     "AS BIGINT), json_extract_string(j, '$.profileSampleType') FROM r WHERE json_valid(j)",
 )
 def _s11(spark, sf):
-    stored = spark.sql(_STORED_PROFILES.replace("$supplier$", f"parquet.`{sf}/supplier.parquet`"))
+    stored = sql_over(spark, sf, _STORED_PROFILES)
     batch = fixture(spark, sf, "profiler_data_time_series")
     return catalog.upsert_profiler_metadata(stored, batch)
 
@@ -416,7 +416,7 @@ def _p05(spark, sf):
     "text, unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents) AS c",
 )
 def _p06(spark, sf):
-    return prepare.chunk_text(read(spark, sf, "documents").select("doc_id", "text"))
+    return prepare.chunk_text(read_texts(spark, sf).select("doc_id", "text"))
 
 
 _TOKENS = "list_filter(string_split(replace(text, ' ', chr(10)), chr(10)), lambda t: length(t) >= 2)"
@@ -428,7 +428,7 @@ _TOKENS = "list_filter(string_split(replace(text, ' ', chr(10)), chr(10)), lambd
     f"(SELECT doc_id, {_TOKENS} AS t FROM documents) AS d",
 )
 def _p07(spark, sf):
-    return prepare.tokenize(read(spark, sf, "documents"), ids=["doc_id"])
+    return prepare.tokenize(read_texts(spark, sf), ids=["doc_id"])
 
 
 _STOPS = "[" + ", ".join(text(w) for w in prepare.STOP_WORDS) + "]"
@@ -441,7 +441,7 @@ _STOPS = "[" + ", ".join(text(w) for w in prepare.STOP_WORDS) + "]"
     "AS text FROM documents",
 )
 def _p08(spark, sf):
-    return prepare.remove_stopwords(read(spark, sf, "documents").select("doc_id", "text"))
+    return prepare.remove_stopwords(read_texts(spark, sf).select("doc_id", "text"))
 
 
 @query(
@@ -450,7 +450,7 @@ def _p08(spark, sf):
     f"(SELECT unnest({_TOKENS}) AS token FROM documents) AS d",
 )
 def _p09(spark, sf):
-    tokens = prepare.tokenize(read(spark, sf, "documents")).select("token").distinct()
+    tokens = prepare.tokenize(read_texts(spark, sf)).select("token").distinct()
     return tokens.withColumn("normal", prepare.normalize_token(F.col("token")))
 
 

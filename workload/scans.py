@@ -17,7 +17,7 @@ from hushmap.sources.files import route_files
 from hushmap.sources.results import load_data_elements
 from hushmap.streaming.incremental import stream_scan, stream_upsert
 from workload import oracle
-from workload.fixtures import ctes, fixture, read, text
+from workload.fixtures import ctes, fixture, read_texts, text
 from workload.registry import query
 
 _IDS = ["source", "row_id"]
@@ -229,7 +229,7 @@ def _papers(spark, sf):
     picks = " || ' ' || ".join(_pick(step) for step in _STEPS)
     extra = f"CASE doc_id % 3 WHEN 0 THEN ' ' || {picks} WHEN 1 THEN ' Passport India <<<< " \
         "Passports of Indya: PAN, tax income permanent' ELSE '' END"
-    return read(spark, sf, "documents").selectExpr("doc_id", f"text || {extra} AS text")
+    return read_texts(spark, sf).selectExpr("doc_id", f"text || {extra} AS text")
 
 
 _PAPERS_SQL = (
@@ -345,7 +345,7 @@ _DOCS_SQL = (
 
 
 def _docs(spark, sf):
-    return read(spark, sf, "documents").select(
+    return read_texts(spark, sf).select(
         F.concat(F.lit("bucket-"), "lang").alias("source_bucket"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
         F.col("n_chars").alias("file_size"),

@@ -11,9 +11,10 @@ from hushmap.operators.reduce import enrich
 from hushmap.operators.verify import verify_hits
 from hushmap.rules import COLUMN_RULES, DOCUMENT_CLASSES, NAME_RULES, TEXT_RULES
 from hushmap.rules.values import JAVA_FLAGS
+from hushmap.session import spread
 from hushmap.sources.results import load_data_elements
 from workload import oracle
-from workload.fixtures import ctes, fixture, read, text
+from workload.fixtures import ctes, fixture, read, sql_over, text
 from workload.registry import query
 
 # --- scalar functions
@@ -82,7 +83,7 @@ _HOSTS = (
     "coalesce(string_split(host, '.')[5], 'N/A') AS source FROM h",
 )
 def _f05(spark, sf):
-    df = spark.sql(f"{_HOSTS} FROM parquet.`{sf}/orders.parquet`")
+    df = sql_over(spark, sf, f"{_HOSTS} FROM $orders$")
     host = F.col("host")
     return df.select(
         "o_orderkey",
@@ -104,7 +105,7 @@ _TIMES = (
     "try_strptime(iso, '%Y-%m-%dT%H:%M:%S.%fZ'))) AS BIGINT), -1) AS seconds FROM t",
 )
 def _f06(spark, sf):
-    df = spark.sql(f"{_TIMES} FROM parquet.`{sf}/events.parquet`")
+    df = sql_over(spark, sf, f"{_TIMES} FROM $events$")
     return df.select("event_id", F.coalesce(scalar.iso_epoch_seconds(F.col("iso")), F.lit(-1)).alias("seconds"))
 
 
@@ -125,7 +126,7 @@ _SIZES = (
     "FROM s",
 )
 def _f07(spark, sf):
-    df = spark.sql(f"{_SIZES} FROM parquet.`{sf}/orders.parquet`")
+    df = sql_over(spark, sf, f"{_SIZES} FROM $orders$")
     return df.select("o_orderkey", scalar.human_size(F.col("size")).alias("size_text"))
 
 
@@ -148,7 +149,7 @@ _SOURCE_TYPES = (
     "coalesce(trim(string_split(source_type, ',')[2]), 'N/A') AS sub_service FROM s",
 )
 def _f09(spark, sf):
-    df = spark.sql(f"{_SOURCE_TYPES} FROM parquet.`{sf}/documents.parquet`")
+    df = sql_over(spark, sf, f"{_SOURCE_TYPES} FROM $documents$")
     kind = F.col("source_type")
     return df.select(
         "doc_id",
@@ -244,7 +245,7 @@ _NAME_ROWS = ", ".join(f"({i}, {text(r.rule)}, {text(r.tag)})" for i, r in enume
     "FROM tagged JOIN rules USING (i)",
 )
 def _n01(spark, sf):
-    names = spark.sql(f"{_NAMES} FROM parquet.`{sf}/customer.parquet`")
+    names = sql_over(spark, sf, f"{_NAMES} FROM $customer$")
     return scan_column_names(names, ids=["c_custkey"])
 
 
@@ -283,7 +284,7 @@ _NUMBERS = (
 
 
 def _numbers(spark, sf):
-    return spark.sql(f"{_NUMBERS} FROM parquet.`{sf}/orders.parquet`")
+    return spread(sql_over(spark, sf, f"{_NUMBERS} FROM $orders$"), f"{sf}/orders.parquet")
 
 
 def _digits_check(name: str, form: str) -> str:
@@ -404,12 +405,7 @@ def _identify_sql(source: str, keys: str) -> str:
     f"{_identify_sql('s', 'source, row_id')} SELECT source, row_id, entity, score FROM identified",
 )
 def _c09(spark, sf):
-    found = checksums.identify_entity(F.col("value"))
-    return (
-        _checked(spark, sf)
-        .select("source", "row_id", found.alias("f"))
-        .select("source", "row_id", "f.entity", "f.score")
-    )
+    return checksums.identify_entity(_checked(spark, sf), "value", ["source", "row_id"])
 
 
 _VERIFIED = ", ".join(text(e) for e in checksums.VERIFIED_ENTITIES)
@@ -479,7 +475,7 @@ def _register_class(key: str, classes: list) -> None:
         shapes = fixture(spark, sf, "value_shapes").select(
             F.lit("shapes").alias("source"), "row_id", "value"
         )
-        zones = spark.sql(f"{_ZONES} FROM parquet.`{sf}/orders.parquet`")
+        zones = sql_over(spark, sf, f"{_ZONES} FROM $orders$")
         values = fixture(spark, sf, "corpus").unionByName(shapes).unionByName(zones)
         names = {c.name for c in classes}
         if all(c.region is None for c in classes):
