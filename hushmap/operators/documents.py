@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from hushmap.rules.documents import (
     DocumentClass,
 )
 from hushmap.rules.values import JAVA_FLAGS
-from hushmap.session import broadcast_if_small, checkpointed
+from hushmap.session import broadcast_if_small, checkpointed, local_table
 
 # Matched tokens are at most half as long again as the longest keyword, so this many rows
 # stay well below the broadcast limit.
@@ -142,10 +143,15 @@ def _keywords_by_token_length(spark: SparkSession) -> DataFrame:
             if matched <= min(size, len(keyword)):
                 left_over = (len(keyword) - matched, size - matched)
                 rows.append((size, keyword, bits, *left_over, (both - 1) // 5))
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         rows,
-        "token_length int, keyword string, keyword_letters bigint, keyword_spare int, "
-        "token_spare int, max_edits int",
+        token_length=pa.int32(),
+        keyword=pa.string(),
+        keyword_letters=pa.int64(),
+        keyword_spare=pa.int32(),
+        token_spare=pa.int32(),
+        max_edits=pa.int32(),
     )
 
 
@@ -181,9 +187,12 @@ def keyword_scores(
     Similarity is decided once per distinct token of the corpus. The few tokens that match are
     joined back to the documents; classes without a pair have no row.
     """
-    spark = df.sparkSession
-    classes = spark.createDataFrame(
-        _keyword_rows(), "class_position int, class string, keyword string"
+    classes = local_table(
+        df.sparkSession,
+        _keyword_rows(),
+        class_position=pa.int32(),
+        **{"class": pa.string()},
+        keyword=pa.string(),
     )
     occurrences = (
         df.select(*ids, F.explode(F.split(col, TOKEN_BREAK)).alias("token"))
@@ -214,9 +223,11 @@ def classify_documents(scores: DataFrame, keys: Sequence[str] = ("doc_id",)) ->
         F.struct("class", "class_position", "score"),
         F.struct(F.col("score"), -F.col("class_position")),
     )
-    regions = scores.sparkSession.createDataFrame(
+    regions = local_table(
+        scores.sparkSession,
         [(position, rule.region) for position, rule in enumerate(DOCUMENT_CLASSES)],
-        "class_position int, country_of_origin string",
+        class_position=pa.int32(),
+        country_of_origin=pa.string(),
     )
     return (
         scores.groupBy(*keys)

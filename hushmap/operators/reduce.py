@@ -12,23 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushmap.functions.scalar import confidence
+from hushmap.operators.detect import value_hits
+from hushmap.rules import Ruleset
 from hushmap.rules.elements import NOT_FOUND, UNKNOWN
 
 NO_ENTITIES_TEXT = "{ NA }"
 
 
-def _first_seen(order: Sequence[str]) -> Column:
-    return F.min(F.struct(*order)).alias("first_seen")
-
-
 def entity_counts(
     hits: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id", "position")
 ) -> DataFrame:
-    """Appearances, best score and first place of each entity per key."""
-    return hits.groupBy(*keys, "entity").agg(
+    """Appearances, best score and first place of each entity per key.
+
+    ``order`` is the rule position and one more column. Hits are first counted per rule, where
+    the first place is a plain minimum that a hash aggregation can keep.
+    """
+    (other,) = [c for c in order if c != "position"]
+    per_rule = hits.groupBy(*keys, "entity", "position").agg(
         F.count(F.lit(1)).alias("appearances"),
         F.max("score").alias("score"),
-        _first_seen(order),
+        F.min(other).alias(other),
+    )
+    return per_rule.groupBy(*keys, "entity").agg(
+        F.sum("appearances").alias("appearances"),
+        F.max("score").alias("score"),
+        F.min(F.struct(*order)).alias("first_seen"),
     )
 
 
@@ -94,16 +102,72 @@ def label_by_count(
 
 
 def first_hits(hits: DataFrame, value_keys: Sequence[str]) -> DataFrame:
-    """The first hit of each value."""
-    others = [c for c in hits.columns if c not in value_keys]
-    row = F.struct("position", "nth", *[c for c in others if c not in ("position", "nth")])
+    """Entity, score and rule position of each value's first hit."""
     return (
         hits.groupBy(*value_keys)
-        .agg(F.min(row).alias("_first"))
-        .select(*value_keys, *[F.col(f"_first.{c}").alias(c) for c in others])
+        .agg(F.min(F.struct("position", "nth", "entity", "score")).alias("_first"))
+        .select(*value_keys, "_first.position", "_first.entity", "_first.score")
+    )
+
+
+def label_rows(
+    df: DataFrame,
+    col: str,
+    rules: Ruleset,
+    ids: Sequence[str],
+    keep_empty: bool = False,
+) -> DataFrame:
+    """Label by count over all entities of each row's text: one row in, one row out.
+
+    All hits of a text come from its row, so nothing is shuffled. ``keep_empty`` gives texts
+    without hits the label NA.
+    """
+    entity_rows = _per_entity(F.col("_hits"), repeated=len(rules.entities) < len(rules.rules))
+    counted = df.select(*ids, value_hits(F.col(col), rules).alias("_hits")).select(
+        *ids, F.coalesce(entity_rows, F.array().cast(ENTITY_ROWS)).alias("_entities")
+    )
+    if not keep_empty:
+        counted = counted.filter(F.size("_entities") > 0)
+    total = F.aggregate("_entities", F.lit(0).cast("bigint"), lambda sum_, e: sum_ + e["n"])
+    entries = F.transform("_entities", lambda e: F.struct(e["entity"], e["n"]))
+    return counted.select(
+        *ids,
+        F.array_max("_entities").alias("_top"),
+        total.alias("_total"),
+        F.map_from_entries(entries).alias("detected_entities"),
+    ).select(
+        *ids,
+        F.coalesce("_top.entity", F.lit(NOT_FOUND)).alias("highest_label"),
+        F.when(F.col("_total") == 0, F.lit(0.0))
+        .otherwise(confidence(F.col("_top.n"), F.col("_total")))
+        .alias("confidence_score"),
+        "detected_entities",
     )
 
 
+ENTITY_ROWS = "array<struct<n: bigint, place: int, entity: string>>"
+
+
+def _per_entity(hits: Column, repeated: bool) -> Column:
+    """Hits of one text as (n, -first position, entity), the largest being the label."""
+
+    def counted(hit: Column) -> Column:
+        return F.size(hit["texts"]).cast("bigint")
+
+    def entity_row(n: Column, position: Column, entity: Column) -> Column:
+        return F.struct(n.alias("n"), (-position).alias("place"), entity.alias("entity"))
+
+    if not repeated:
+        return F.transform(hits, lambda h: entity_row(counted(h), h["position"], h["entity"]))
+
+    def merged(entity: Column) -> Column:
+        own = F.filter(hits, lambda h: h["entity"] == entity)
+        n = F.aggregate(own, F.lit(0).cast("bigint"), lambda sum_, h: sum_ + counted(h))
+        return entity_row(n, F.array_min(F.transform(own, lambda h: h["position"])), entity)
+
+    return F.transform(F.array_distinct(F.transform(hits, lambda h: h["entity"])), merged)
+
+
 def label_columns(
     hits: DataFrame,
     keys: Sequence[str] = ("column_name",),
@@ -180,6 +244,24 @@ def hits_by_text(hits: DataFrame, keys: Sequence[str] = ("row_id",)) -> DataFram
     )
 
 
+def scan_by_text(
+    df: DataFrame, col: str, rules: Ruleset, ids: Sequence[str] = ("row_id",)
+) -> DataFrame:
+    """What ``hits_by_text`` gives, straight from the texts and without a shuffle.
+
+    Needs a rule list in which no entity has two rules.
+    """
+    if len(rules.entities) < len(rules.rules):
+        raise ValueError("an entity has several rules, use hits_by_text")
+    return df.select(*ids, F.inline(value_hits(F.col(col), rules))).select(
+        *ids,
+        "entity",
+        F.size("texts").cast("bigint").alias("count"),
+        "texts",
+        F.array_join("texts", ", ").alias("joined"),
+    )
+
+
 def results_json(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key one JSON object of entity -> score and appearances.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,12 @@ from hushmap.operators.reduce import (
     best_hits,
     enrich,
     label_by_count,
-    label_documents,
+    label_rows,
     result_json,
     with_missing,
 )
 from hushmap.rules import COLUMN_RULES, TEXT_RULES, Ruleset
+from hushmap.session import local_table
 from hushmap.sources.results import classifier_run
 
 # First-stage labels whose texts are scanned again by patterns.
@@ -63,7 +65,7 @@ def scan_table(
     values = strip_values(melt_columns(keyed, names, ids=["row_id"]))
     sampled = sample_values(values, sample_size, seed=seed)
     hits = scan_first(sampled, rules=rules, ids=["column_name", "row_id"])
-    expected = df.sparkSession.createDataFrame([(n,) for n in names], "column_name string")
+    expected = local_table(df.sparkSession, [(n,) for n in names], column_name=pa.string())
     labels = with_missing(label_by_count(hits, ["column_name"]), expected, ["column_name"])
     return _stored(labels, ["column_name"], lookup).select(
         table_id.alias("table_id"), "column_name", "json", "detected_entity", "data_element"
@@ -85,13 +87,12 @@ def scan_documents(
     rules: Ruleset = TEXT_RULES,
     keep_empty: bool = False,
 ) -> DataFrame:
-    """Result rows of documents with their file metadata.
+    """Result rows of documents, one row of ``files`` each, with their file metadata.
 
     Files without hits store nothing unless ``keep_empty`` asks for NA rows.
     """
     keys = list(keys)
-    hits = scan_values(files, col, rules, ids=keys)
-    labels = label_documents(hits, keys, files=files.select(*keys) if keep_empty else None)
+    labels = label_rows(files, col, rules, keys, keep_empty)
     return _stored(labels, keys, lookup).select(
         *keys, "json", "detected_entity", "data_element"
     )
@@ -105,9 +106,7 @@ def file_reports(
 ) -> DataFrame:
     """Per file: name, extension, size as text, and label, confidence and entities."""
     keys = list(keys)
-    labels = label_documents(
-        scan_values(files, col, rules, ids=keys), keys, files=files.select(*keys)
-    )
+    labels = label_rows(files, col, rules, keys, keep_empty=True)
     others = [k for k in keys if k not in ("file_name", "file_size")]
     return labels.select(
         *others,

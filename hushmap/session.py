@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def build_session(app: str = "hushmap", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType) -> DataFrame:
+    """A small fixed table whose size the optimizer knows."""
+    arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushmap.rules.elements import DATA_ELEMENTS
 from hushmap.schemas import TABLES
+from hushmap.session import local_table
 
 CUSTOMER_BUCKETS = 256
 FILES_PER_RUN_ROW = 10_000
@@ -16,8 +18,12 @@ FILES_PER_RUN_ROW = 10_000
 
 def load_data_elements(spark: SparkSession) -> DataFrame:
     """Entity lookup (parameter_name, parameter_value, parameter_sensitivity)."""
-    return spark.createDataFrame(
-        DATA_ELEMENTS, "parameter_name string, parameter_value string, parameter_sensitivity string"
+    return local_table(
+        spark,
+        DATA_ELEMENTS,
+        parameter_name=pa.string(),
+        parameter_value=pa.string(),
+        parameter_sensitivity=pa.string(),
     )
 
 

@@ -153,6 +153,23 @@ _SCORED_RULES = COLUMN_RULES.with_rules(
 )
 
 
+_DOUBLE_RULES = TEXT_RULES.with_rules([("PHONE_NUMBER", PHONE_PATTERN, 0.5)])
+
+
+@query(
+    "d05_label_rows",
+    f"WITH {_CORPUS}, hits AS ({oracle.hits(_DOUBLE_RULES, 'corpus', _IDS)}), "
+    f"{oracle.label_sql('hits', _IDS, 'position, nth')} "
+    "SELECT source, row_id, coalesce(highest_label, 'NA') AS highest_label, "
+    "coalesce(confidence_score, 0.0) AS confidence_score, coalesce(entities, '') AS entities "
+    "FROM corpus LEFT JOIN labels USING (source, row_id)",
+)
+def _d05_rows(spark, sf):
+    """Two rules for one entity, and texts without hits."""
+    texts = fixture(spark, sf, "corpus")
+    return listed(reduce.label_rows(texts, "value", _DOUBLE_RULES, _IDS, keep_empty=True))
+
+
 @query(
     "d06_best_hits",
     f"WITH {_SHAPES}, hits AS ({oracle.hits(_SCORED_RULES, 'value_shapes', _TABLE_KEY)}), "
@@ -477,7 +494,19 @@ def _d20(spark, sf):
     "GROUP BY source, row_id, entity",
 )
 def _d21(spark, sf):
-    by_text = reduce.hits_by_text(_corpus_hits(spark, sf), _IDS)
+    by_text = reduce.scan_by_text(fixture(spark, sf, "corpus"), "value", TEXT_RULES, _IDS)
+    return by_text.withColumn("texts", F.array_join("texts", "|"))
+
+
+@query(
+    "d21_hits_by_text_and_column",
+    f"WITH {_SHAPES}, {_SHAPE_HITS} SELECT kind, row_id, entity, count(*) AS count, "
+    "string_agg(text, '|' ORDER BY position, nth) AS texts, "
+    "string_agg(text, ', ' ORDER BY position, nth) AS joined FROM hits "
+    "GROUP BY kind, row_id, entity",
+)
+def _d21_hits(spark, sf):
+    by_text = reduce.hits_by_text(_shape_hits(spark, sf), _TABLE_KEY)
     return by_text.withColumn("texts", F.array_join("texts", "|"))
 
 
