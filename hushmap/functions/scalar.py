@@ -28,15 +28,25 @@ def json_member(json: Column, member: str) -> Column:
     return F.get_json_object(json, f"$.{member}")
 
 
-def repair_json(text: Column) -> Column:
-    """Turn Python-style literals into JSON; null when the result still does not parse."""
+def repaired_text(text: Column) -> Column:
+    """Python-style literals turned into JSON: quotes, booleans, no trailing commas."""
     repaired = F.replace(text, F.lit("'"), F.lit('"'))
     repaired = F.replace(repaired, F.lit("False"), F.lit("false"))
     repaired = F.replace(repaired, F.lit("True"), F.lit("true"))
-    repaired = F.rtrim(repaired, F.lit(","))
+    return F.rtrim(repaired, F.lit(","))
+
+
+def repair_json(text: Column) -> Column:
+    """Repaired JSON text; null when it still does not parse."""
+    repaired = repaired_text(text)
     return F.when(F.try_parse_json(repaired).isNotNull(), repaired)
 
 
+def repaired_document(text: Column) -> Column:
+    """Repaired JSON as a variant; null when it does not parse."""
+    return F.try_parse_json(repaired_text(text))
+
+
 def host_region(host: Column) -> Column:
     return _host_part(host, 3)
 

@@ -37,22 +37,25 @@ def value_hits(value: Column, rules: Ruleset) -> Column:
     """array<struct<position, entity, score, texts>> of the rules that hit, in rule order.
 
     Most values hit nothing. One alternation over the whole-value rules, tried on short values
-    only, and one over the other rules tell so; single rules run where they found something.
+    only, and one over the rules with known first characters tell so; their rules run singly
+    where it found something.
     """
     placed = list(enumerate(rules.rules))
     whole = [(p, r) for p, r in placed if r.whole_value]
-    inside = [(p, r) for p, r in placed if r.hinted and not r.whole_value]
+    inside = [(p, r) for p, r in placed if r.lead]
     own = [(p, r) for p, r in placed if not r.hinted]
     groups = []
     if whole:
         # One more character, since $ also matches before a final line feed.
         longest = 1 + max(rule.max_length for _, rule in whole)
         short = F.octet_length(value) <= MAX_UTF8_BYTES * longest
-        groups.append(F.when(short & _any_of(value, whole, rules.flags), _hits(value, whole, rules)))
+        trial = value.rlike(f"{JAVA_FLAGS}{rules.flags}^(?:{_alternation(whole)})")
+        groups.append(F.when(short & trial, _hits(value, whole, rules)))
     if inside:
-        groups.append(
-            F.when(_any_of(value, inside, rules.flags), _hits(value, inside, rules))
-        )
+        # A look at one character passes over nearly all places of a text.
+        lead = "".join(rule.lead for _, rule in inside)
+        trial = f"{JAVA_FLAGS}{rules.flags}(?=[{lead}])(?:{_alternation(inside)})"
+        groups.append(F.when(value.rlike(trial), _hits(value, inside, rules)))
     if own:
         groups.append(_hits(value, own, rules))
     if len(groups) == 1:
@@ -60,9 +63,8 @@ def value_hits(value: Column, rules: Ruleset) -> Column:
     return F.sort_array(F.flatten(F.array_compact(F.array(*groups))))
 
 
-def _any_of(value: Column, placed: list[tuple[int, Rule]], flags: str) -> Column:
-    trials = "|".join(f"(?:{rule.trial})" for _, rule in placed)
-    return value.rlike(JAVA_FLAGS + flags + trials)
+def _alternation(placed: list[tuple[int, Rule]]) -> str:
+    return "|".join(f"(?:{rule.trial})" for _, rule in placed)
 
 
 def _hits(value: Column, placed: list[tuple[int, Rule]], rules: Ruleset) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from hushmap.operators.detect import contains_any
 from hushmap.operators.prepare import MIN_TOKEN_CHARS, TOKEN_BREAK, normalize_token
 from hushmap.rules.documents import (
+    DIGIT_RUN,
     DOCUMENT_CLASSES,
     EMAIL_PATTERN,
     MIN_CLASS_SCORE,
@@ -29,6 +30,7 @@ from hushmap.session import broadcast_if_small, checkpointed, local_table
 # stay well below the broadcast limit.
 MAX_BROADCAST_TOKENS = 1_000_000
 
+CLASS_SLOTS = 1024
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -49,19 +51,38 @@ def phones(text: Column) -> Column:
     both = F.array_union(
         _distinct_matches(text, PHONE_PATTERN, 1), _distinct_matches(text, PHONE_PATTERN, 2)
     )
-    return F.filter(both, lambda p: p != "")
+    found = F.filter(both, lambda p: p != "")
+    return F.when(text.rlike(DIGIT_RUN), found).otherwise(F.array().cast("array<string>"))
 
 
 def class_identifiers(text: Column, exclude: Sequence[str] = ()) -> Column:
-    """array<struct<class_position, class, found>> of the regional classes that hit."""
+    """array<struct<class_position, class, found>> of the regional classes that hit.
+
+    One look for a run of digits stands before the patterns that need one.
+    """
+    placed = [
+        (place, rule)
+        for place, rule in enumerate(DOCUMENT_CLASSES)
+        if rule.has_identifier and rule.name not in exclude
+    ]
+    digits = [(p, r) for p, r in placed if r.digit_run]
+    others = [(p, r) for p, r in placed if not r.digit_run]
+    groups = []
+    if digits:
+        groups.append(F.when(text.rlike(DIGIT_RUN), _class_hits(text, digits)))
+    if others:
+        groups.append(_class_hits(text, others))
+    return F.sort_array(F.flatten(F.array_compact(F.array(*groups))))
+
+
+def _class_hits(text: Column, placed: list[tuple[int, DocumentClass]]) -> Column:
     per_class = [
         F.struct(
-            F.lit(position).alias("class_position"),
+            F.lit(place).alias("class_position"),
             F.lit(rule.name).alias("class"),
             _identifier_matches(text, rule).alias("found"),
         )
-        for position, rule in enumerate(DOCUMENT_CLASSES)
-        if rule.has_identifier and rule.name not in exclude
+        for place, rule in placed
     ]
     return F.filter(F.array(*per_class), lambda c: F.size(c["found"]) > 0)
 
@@ -219,29 +240,27 @@ def keyword_scores(
 
 def classify_documents(scores: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """First class with the highest score and its country; no class below the minimum score."""
-    best = F.max_by(
-        F.struct("class", "class_position", "score"),
-        F.struct(F.col("score"), -F.col("class_position")),
-    )
-    regions = local_table(
+    # Score and place in one number: its maximum is the highest score of the earliest class.
+    ranked = F.col("score") * CLASS_SLOTS + (CLASS_SLOTS - 1 - F.col("class_position"))
+    classes = local_table(
         scores.sparkSession,
-        [(position, rule.region) for position, rule in enumerate(DOCUMENT_CLASSES)],
+        [(place, rule.name, rule.region) for place, rule in enumerate(DOCUMENT_CLASSES)],
         class_position=pa.int32(),
+        **{"class": pa.string()},
         country_of_origin=pa.string(),
     )
+    best = scores.groupBy(*keys).agg(F.max(ranked).alias("_best"))
+    place = (CLASS_SLOTS - 1 - F.col("_best") % CLASS_SLOTS).cast("int")
     return (
-        scores.groupBy(*keys)
-        .agg(best.alias("_best"))
+        best.withColumn("class_position", place)
+        .withColumn("score", F.floor(F.col("_best") / CLASS_SLOTS))
+        .join(F.broadcast(classes), "class_position")
         .select(
             *keys,
-            F.when(F.col("_best.score") >= MIN_CLASS_SCORE, F.col("_best.class")).alias(
-                "pii_class"
-            ),
-            F.col("_best.score").alias("score"),
-            F.col("_best.class_position").alias("class_position"),
+            F.when(F.col("score") >= MIN_CLASS_SCORE, F.col("class")).alias("pii_class"),
+            "score",
+            "country_of_origin",
         )
-        .join(F.broadcast(regions), "class_position", "left")
-        .select(*keys, "pii_class", "score", "country_of_origin")
     )
 
 

@@ -122,12 +122,14 @@ def label_rows(
     All hits of a text come from its row, so nothing is shuffled. ``keep_empty`` gives texts
     without hits the label NA.
     """
-    entity_rows = _per_entity(F.col("_hits"), repeated=len(rules.entities) < len(rules.rules))
-    counted = df.select(*ids, value_hits(F.col(col), rules).alias("_hits")).select(
-        *ids, F.coalesce(entity_rows, F.array().cast(ENTITY_ROWS)).alias("_entities")
+    found = _per_entity(
+        value_hits(F.col(col), rules), repeated=len(rules.entities) < len(rules.rules)
     )
+    one = F.array(F.coalesce(found, F.array().cast(ENTITY_ROWS)))
     if not keep_empty:
-        counted = counted.filter(F.size("_entities") > 0)
+        one = F.filter(one, lambda entities: F.size(entities) > 0)
+    # Exploding one array of hits (or none) keeps the scan from being copied into a filter.
+    counted = df.select(*ids, F.explode(one).alias("_entities"))
     total = F.aggregate("_entities", F.lit(0).cast("bigint"), lambda sum_, e: sum_ + e["n"])
     entries = F.transform("_entities", lambda e: F.struct(e["entity"], e["n"]))
     return counted.select(

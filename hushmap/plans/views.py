@@ -65,9 +65,7 @@ def structured_data_details(results: DataFrame, lookup: DataFrame) -> DataFrame:
     )
     kept = results.filter(F.col("data_element") != NO_ELEMENT)
     counted = kept.groupBy("data_element", "detected_entity").agg(F.count("id").alias("_n"))
-    categories = lookup.agg(
-        F.countDistinct("parameter_name").alias("total_data_element_category")
-    )
+    categories = lookup.agg(F.countDistinct("parameter_name"))
     return (
         counted.join(per_category, "data_element", "left")
         .agg(
@@ -76,7 +74,7 @@ def structured_data_details(results: DataFrame, lookup: DataFrame) -> DataFrame:
             ).alias("total_data_elements"),
             F.countDistinct("detected_entity").alias("total_data_element_type"),
         )
-        .crossJoin(categories)  # one row on either side
+        .select("*", categories.scalar().alias("total_data_element_category"))
     )
 
 
@@ -275,7 +273,7 @@ def unstructured_details(files: DataFrame, lookup: DataFrame) -> DataFrame:
     counted = files.groupBy("data_element", "detected_entity").agg(
         F.count("detected_entity").alias("_n")
     )
-    rows = lookup.agg(F.count(F.lit(1)).alias("total_data_element_category"))
+    rows = lookup.agg(F.count(F.lit(1)))
     return (
         counted.join(per_category, "data_element", "left")
         .agg(
@@ -284,7 +282,7 @@ def unstructured_details(files: DataFrame, lookup: DataFrame) -> DataFrame:
             ).alias("total_data_elements"),
             F.countDistinct("detected_entity").alias("total_data_element_type"),
         )
-        .crossJoin(rows)  # one row on either side
+        .select("*", rows.scalar().alias("total_data_element_category"))
     )
 
 

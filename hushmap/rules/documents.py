@@ -14,6 +14,8 @@ PHONE_PATTERN = (
     r"((\+\d{1,2}\s)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}"
     r"|[0-9]{10}|\+{1}[0-9 ]{11,15}|[0-9]{4} [0-9]{6})"
 )
+# Cost hint: phone numbers, and identifiers of most classes, hold at least this run of digits.
+DIGIT_RUN = JAVA_FLAGS + r"\d{3}"
 NRIC = "Singaporean National Registration Identity Card"
 
 
@@ -25,6 +27,11 @@ class DocumentClass:
     keywords: tuple[str, ...]
     literals: tuple[str, ...] = ()
 
+    @property
+    def digit_run(self) -> bool:
+        """Whether every match holds a DIGIT_RUN."""
+        return not self.literals and self.name not in _WITHOUT_DIGIT_RUN
+
     @property
     def has_identifier(self) -> bool:
         return self.regex is not None and self.region is not None
@@ -366,6 +373,8 @@ _LITERALS = {
     "Canadian Passport": ("P<CAN", "PPCAN"),
 }
 
+_WITHOUT_DIGIT_RUN = {NRIC, "Russia Driver's License"}
+
 DOCUMENT_CLASSES = [
     DocumentClass(name, regex, region, tuple(keywords), _LITERALS.get(name, ()))
     for name, regex, region, keywords in _CLASSES

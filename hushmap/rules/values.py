@@ -44,7 +44,7 @@ class Rule:
 
     * ``max_length``: longest text a whole-value pattern can match, in characters.
     * ``literals``: a match contains at least one of these.
-    * ``lead``: character class every match starts with.
+    * ``lead``: characters a match can start with, as the inside of a character class.
     * ``search``: an equivalent pattern that is linear in the text; group 1 is the match.
     * ``loose``: a pattern without back-references that matches wherever ``regex`` does.
     """
@@ -65,14 +65,12 @@ class Rule:
     @property
     def hinted(self) -> bool:
         """Whether the pattern is known well enough to be tried together with others."""
-        return self.whole_value or bool(self.literals or self.lead or self.search)
+        return self.whole_value or bool(self.lead)
 
     @property
     def trial(self) -> str:
         """Pattern that is found in every text the rule hits, fit for an alternation."""
-        if self.search:
-            return f"(?m:{self.search})"
-        return f"(?={self.lead}){self.regex}" if self.lead else self.loose or self.regex
+        return self.loose or self.regex
 
     @property
     def group(self) -> int:
@@ -81,7 +79,7 @@ class Rule:
     def spark_regex(self, flags: str = "") -> str:
         if self.search:
             return f"{JAVA_FLAGS}{flags}(?m){self.search}"
-        lead = f"(?={self.lead})" if self.lead else ""
+        lead = f"(?=[{self.lead}])" if self.lead else ""
         return f"{JAVA_FLAGS}{flags}{lead}{self.regex}"
 
 
@@ -230,10 +228,11 @@ MAX_LENGTHS = {
 HINTS = {
     "AMEX_CARD": {"loose": r"^3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}$"},
     "MAESTRO_CARD": {"loose": r"^(?:5[0678]|60|6[237])\d{2}([-\s]?\d{4}){3}[-\s]?\d{0,3}$"},
-    "PERSON": {"lead": "[A-Z]"},
-    "GENDER": {"lead": "[MFO]"},
+    "PERSON": {"lead": "A-Z"},
+    "GENDER": {"lead": "MFO"},
     "NATIONALITY": {
-        "literals": ("Indian", "American", "British", "Canadian", "Australian", "Nationality")
+        "lead": "IABCN",
+        "literals": ("Indian", "American", "British", "Canadian", "Australian", "Nationality"),
     },
     "ADDRESS": {"lead": r"\d"},
     "ZIPCODE": {"lead": r"\d"},
@@ -244,9 +243,9 @@ HINTS = {
         "search": r"^[^\w\n]*+((?=[^\n]*\d)(?=[^\n]*[a-z])(?=[^\n]*[A-Z])"
         r"(?=[^\n]*[@#$%^&+=])[^\n]{8,}\b)"
     },
-    "POBOX": {"literals": ("PO Box ",)},
+    "POBOX": {"lead": "P", "literals": ("PO Box ",)},
     "PHONE_NUMBER": {"lead": r"\d"},
-    "TITLE": {"literals": ("Mr", "Miss")},
+    "TITLE": {"lead": "M", "literals": ("Mr", "Miss")},
     "DATE_TIME": {"lead": r"\d"},
 }
 

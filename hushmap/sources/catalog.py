@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from hushmap.functions.scalar import (
     host_source,
     iso_epoch_seconds,
     repair_json,
+    repaired_document,
 )
 from hushmap.schemas import CATALOG_KEYS
 
@@ -61,16 +62,14 @@ def derive_meta_info(batch: DataFrame, entity_type: str) -> DataFrame:
     Rows whose JSON does not parse add nothing.
     """
     name = F.col("name") if "name" in batch.columns else F.lit(NOT_AVAILABLE)
-    document = F.try_parse_json(repair_json(F.col("json")))
-    host = F.try_variant_get(document, "$.connection.config.hostPort", "string")
+    host = F.try_variant_get("_document", "$.connection.config.hostPort", "string")
     return (
-        batch.select(
+        _with_document(
+            batch,
             F.col(catalog_key(entity_type)).alias("dbservice_entity_id"),
             name.alias("dbservice_entity_name"),
-            document.isNotNull().alias("_parsed"),
-            host.alias("_host"),
         )
-        .filter("_parsed")
+        .withColumn("_host", host)
         .select(
             "dbservice_entity_id",
             "dbservice_entity_name",
@@ -80,6 +79,12 @@ def derive_meta_info(batch: DataFrame, entity_type: str) -> DataFrame:
     )
 
 
+def _with_document(batch: DataFrame, *columns: Column) -> DataFrame:
+    """Rows whose repaired JSON parses, with it as ``_document``; it is parsed once per row."""
+    document = F.array_compact(F.array(repaired_document(F.col("json"))))
+    return batch.select(*columns, F.explode(document).alias("_document"))
+
+
 def rejected_rows(batch: DataFrame) -> DataFrame:
     """Rows that a derivation skips because their JSON does not parse."""
     return batch.filter(repair_json(F.col("json")).isNull())
@@ -95,14 +100,12 @@ def upsert_meta_info(meta: DataFrame, batch: DataFrame, entity_type: str) -> Dat
 def derive_profiler_metadata(batch: DataFrame) -> DataFrame:
     """Profile rows of a cleaned batch. Rows whose JSON, or whose creation time, does not
     parse add nothing."""
-    profile = (
-        batch.filter(F.col("jsonSchema") == TABLE_PROFILE)
-        .select("entityFQNHash", F.try_parse_json(repair_json(F.col("json"))).alias("_p"))
-        .filter(F.col("_p").isNotNull())
+    profile = _with_document(
+        batch.filter(F.col("jsonSchema") == TABLE_PROFILE), F.col("entityFQNHash")
     )
 
-    def member(name: str, kind: str):
-        return F.try_variant_get("_p", f"$.{name}", kind)
+    def member(name: str, kind: str) -> Column:
+        return F.try_variant_get("_document", f"$.{name}", kind)
 
     created = member("createDateTime", "string")
     seconds = iso_epoch_seconds(created)

@@ -14,6 +14,8 @@ TEXTS = [
     (3, "bank. b-a-n-k banks bnak account statement credit credits debit ifsc"),
     (4, ""),
     (5, "nothing to see here a@b.co +91 98765 43210 0123456789 a@b.co x.y+z@q-r.org"),
+    (7, "1 2 3 4 5 "),
+    (8, "\u0661\u0662\u0663-\u0661\u0662\u0663-\u0661\u0662\u0663\u0664 call"),
     (6, "P<GBRDOE<<JANE<<<<\n身份证 tel tels visa viza cvv cvw 4a) 9. <<"),
 ]
 
