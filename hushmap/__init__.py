@@ -1 +1,9 @@
 """Sensitive-data discovery as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so that executors need no copy
+# of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -59,12 +59,14 @@ def melt_tables(
     melted = []
     for name, df in tables.items():
         key = (ids or {}).get(name)
-        keyed = df.withColumn(
-            "row_id", F.col(key) if key else F.monotonically_increasing_id()
-        )
+        row = F.col(key) if key else F.monotonically_increasing_id()
         wanted = [c for c in (columns or df.columns) if c in df.columns and c != key]
-        long = melt_columns(keyed, wanted, ids=["row_id"])
-        melted.append(long.select(F.lit(name).alias("table"), "row_id", "column_name", "value"))
+        long = melt_columns(df.withColumn("_row", row), wanted, ids=["_row"])
+        melted.append(
+            long.select(
+                F.lit(name).alias("table"), F.col("_row").alias("row_id"), "column_name", "value"
+            )
+        )
     return reduce(DataFrame.unionByName, melted)
 
 

@@ -32,6 +32,9 @@ RESCANNED_LABELS = (
     "VOTER ID NUMBER",
 )
 
+# Row key within a table scan; no column of the table bears this name.
+ROW = "_row"
+
 FILE_COLUMNS = (
     "source_bucket",
     "file_name",
@@ -58,15 +61,14 @@ def scan_table(
     All columns are scanned in one job. ``key`` names a row key, which makes ties and samples
     repeatable; it is not scanned.
     """
-    ids = [key] if key else []
-    row_id = F.col(key) if key else F.monotonically_increasing_id()
-    keyed = df.withColumn("row_id", row_id).drop(*ids)
-    names = [c for c in (columns or keyed.columns) if c not in ("row_id", key)]
-    values = strip_values(melt_columns(keyed, names, ids=["row_id"]))
-    sampled = sample_values(values, sample_size, seed=seed)
-    hits = scan_first(sampled, rules=rules, ids=["column_name", "row_id"])
+    row = F.col(key) if key else F.monotonically_increasing_id()
+    names = [c for c in (columns or df.columns) if c != key]
+    values = strip_values(melt_columns(df.withColumn(ROW, row), names, ids=[ROW]))
+    sampled = sample_values(values, sample_size, key=[ROW], seed=seed)
+    hits = scan_first(sampled, rules=rules, ids=["column_name", ROW])
     expected = local_table(df.sparkSession, [(n,) for n in names], column_name=pa.string())
-    labels = with_missing(label_by_count(hits, ["column_name"]), expected, ["column_name"])
+    labels = label_by_count(hits, ["column_name"], order=(ROW, "position"))
+    labels = with_missing(labels, expected, ["column_name"])
     return _stored(labels, ["column_name"], lookup).select(
         table_id.alias("table_id"), "column_name", "json", "detected_entity", "data_element"
     )

@@ -128,20 +128,26 @@ def _s07(spark, sf):
     return file_metadata(files, kind, bucket, F.lit("eu"))
 
 
+# Half of the customers change, the others are new; suppliers bring ids a second time.
 _BATCH = """
 SELECT 't' || CAST(c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 5000000 END AS STRING) AS id,
        '{}' AS json, CAST(1800000000000 + c_custkey AS BIGINT) AS updatedAt,
        'batch' AS updatedBy, 0 AS deleted, 'h' || CAST(c_nationkey AS STRING) AS fqnHash,
        c_name AS name
-FROM $customer$, (SELECT 1 AS copy UNION ALL SELECT 2 AS copy) AS copies
-WHERE copy = 1 OR c_custkey % 10 = 0"""
+FROM $customer$
+UNION ALL
+SELECT 't' || CAST(s_suppkey AS STRING) AS id, '{}' AS json,
+       CAST(1900000000000 + s_suppkey AS BIGINT) AS updatedAt,
+       'batch' AS updatedBy, 0 AS deleted, 'h' || CAST(s_nationkey AS STRING) AS fqnHash,
+       s_name AS name
+FROM $supplier$"""
 
 
 def _batch(spark, sf):
     return sql_over(spark, sf, _BATCH)
 
 
-_BATCH_SQL = _BATCH.replace("$customer$", "customer")
+_BATCH_SQL = _BATCH.replace("$customer$", "customer").replace("$supplier$", "supplier")
 _UPSERTED = (
     "SELECT * FROM table_entity WHERE id NOT IN (SELECT id FROM batch) "
     "UNION ALL SELECT * FROM batch"

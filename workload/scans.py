@@ -17,7 +17,7 @@ from hushmap.sources.files import route_files
 from hushmap.sources.results import load_data_elements
 from hushmap.streaming.incremental import stream_scan, stream_upsert
 from workload import oracle
-from workload.fixtures import ctes, fixture, read_texts, text
+from workload.fixtures import ctes, fixture, read_texts, sql_over, text
 from workload.registry import query
 
 _IDS = ["source", "row_id"]
@@ -567,18 +567,24 @@ def _t01(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+_SECOND = """
+SELECT 't' || CAST(s_suppkey * 2 AS STRING) AS id, 'second' AS updatedBy, s_name AS name
+FROM $supplier$"""
+
+
 @query(
     "t02_stream_upsert",
-    f"WITH {ctes('table_entity')} SELECT id, CASE WHEN length(id) % 2 = 0 THEN 'second' ELSE "
-    "updatedBy END AS updatedBy, name FROM table_entity",
+    f"WITH {ctes('table_entity')}, second AS ({_SECOND.replace('$supplier$', 'supplier')}) "
+    "SELECT id, updatedBy, name FROM table_entity WHERE id NOT IN (SELECT id FROM second) "
+    "UNION ALL SELECT * FROM second",
 )
 def _t02(spark, sf):
+    """Two catalog drops; the second replaces some rows of the first and adds others."""
     base = scratch_path(spark, "stream-upsert")
-    rows = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
-    changed = rows.filter("length(id) % 2 = 0").withColumn("updatedBy", F.lit("second"))
-    for drop in (rows, changed):
+    first = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
+    for drop in (first, sql_over(spark, sf, _SECOND)):
         drop.write.mode("append").parquet(f"{base}/in")
         stream_upsert(
-            spark, f"{base}/in", rows.schema, f"{base}/table", "id", f"{base}/checkpoint"
+            spark, f"{base}/in", first.schema, f"{base}/table", "id", f"{base}/checkpoint"
         ).awaitTermination()
     return VersionedTable(spark, f"{base}/table").read()
