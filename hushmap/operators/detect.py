@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,27 +41,40 @@ def value_hits(value: Column, rules: Ruleset) -> Column:
     only, and one over the rules with known first characters tell so; their rules run singly
     where it found something.
     """
+    groups = [
+        _hits(value, placed, rules) if trial is None else F.when(trial, _hits(value, placed, rules))
+        for trial, placed in _trials(value, rules)
+    ]
+    if len(groups) == 1:
+        return groups[0]
+    return F.sort_array(F.flatten(F.array_compact(F.array(*groups))))
+
+
+def _trials(value: Column, rules: Ruleset) -> list[tuple[Column | None, list[tuple[int, Rule]]]]:
+    """Groups of rules (with their positions), each with a test that tells when none hits.
+
+    Rules of users are in a group without test.
+    """
     placed = list(enumerate(rules.rules))
     whole = [(p, r) for p, r in placed if r.whole_value]
     inside = [(p, r) for p, r in placed if r.lead]
     own = [(p, r) for p, r in placed if not r.hinted]
-    groups = []
+    groups: list[tuple[Column | None, list[tuple[int, Rule]]]] = []
     if whole:
         # One more character, since $ also matches before a final line feed.
         longest = 1 + max(rule.max_length for _, rule in whole)
         short = F.octet_length(value) <= MAX_UTF8_BYTES * longest
         trial = value.rlike(f"{JAVA_FLAGS}{rules.flags}^(?:{_alternation(whole)})")
-        groups.append(F.when(short & trial, _hits(value, whole, rules)))
+        groups.append((short & trial, whole))
     if inside:
         # A look at one character passes over nearly all places of a text.
         lead = "".join(rule.lead for _, rule in inside)
         trial = f"{JAVA_FLAGS}{rules.flags}(?=[{lead}])(?:{_alternation(inside)})"
-        groups.append(F.when(value.rlike(trial), _hits(value, inside, rules)))
+        groups.append((value.rlike(trial), inside))
+    groups += [(value.rlike(r.spark_regex(rules.flags)), [(p, r)]) for p, r in placed if r.search]
     if own:
-        groups.append(_hits(value, own, rules))
-    if len(groups) == 1:
-        return groups[0]
-    return F.sort_array(F.flatten(F.array_compact(F.array(*groups))))
+        groups.append((None, own))
+    return groups
 
 
 def _alternation(placed: list[tuple[int, Rule]]) -> str:
@@ -104,13 +118,17 @@ def scan_first(
 ) -> DataFrame:
     """One row per value that hits: ids, and position, entity and score of its first rule.
 
-    A chain of tests that ends with the first rule found, for labels by first entity.
+    A chain of tests that ends with the first rule found, for labels by first entity. Values
+    in which no group of rules finds anything do not enter it.
     """
     value = F.col(col)
     place = None
     for position, rule in enumerate(rules.rules):
         test = _applies(value, rule, rules.flags)
         place = F.when(test, position) if place is None else place.when(test, position)
+    trials = [trial for trial, _ in _trials(value, rules)]
+    if all(trial is not None for trial in trials):
+        place = F.when(reduce(lambda left, right: left | right, trials), place)
     entities = F.array(*[F.lit(rule.entity) for rule in rules.rules])
     scores = F.array(*[F.lit(rule.score) for rule in rules.rules])
     # Exploding the one place (or none) keeps the chain from being copied into a filter.

@@ -25,8 +25,11 @@ def list_files(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path", F.substring_index("path", "/", -1).alias("file_name"),
-                F.col("length").alias("file_size"))
+        .select(
+            "path",
+            F.substring_index("path", "/", -1).alias("file_name"),
+            F.col("length").alias("file_size"),
+        )
     )
     extension = file_extension(F.col("file_name"))
     return files.withColumn("extension", extension).withColumn(
@@ -35,10 +38,15 @@ def list_files(
 
 
 def file_metadata(
-    files: DataFrame, source_type: Column, bucket: Column, region: Column
+    files: DataFrame,
+    source_type: Column,
+    bucket: Column,
+    region: Column,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Metadata stored with each scanned file, from ``file_name`` and ``file_size``."""
     return files.select(
+        *keep,
         bucket.alias("source_bucket"),
         "file_name",
         F.col("file_size").cast("bigint").alias("file_size"),

@@ -6,15 +6,19 @@ batch that is run again after a failure replaces what it wrote.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from hushmap.plans.jobs import FILE_COLUMNS, scan_documents
 from hushmap.rules import TEXT_RULES, Ruleset
 from hushmap.sources.catalog import VersionedTable
+from hushmap.sources.files import file_metadata
+
+MAX_FILES = 1_000
 
 
 def stream_scan(
@@ -27,15 +31,58 @@ def stream_scan(
     col: str = "text",
     keys: Sequence[str] = FILE_COLUMNS,
     rules: Ruleset = TEXT_RULES,
-    max_files: int = 1_000,
+    max_files: int = MAX_FILES,
 ) -> StreamingQuery:
-    """Scan the documents that arrived below ``path`` since the last pass, then stop."""
+    """Scan the document rows that arrived below ``path`` since the last pass, then stop."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return _scan_arrived(reader.parquet(path), out, checkpoint, lookup, col, keys, rules)
+
+
+def stream_scan_files(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    checkpoint: str,
+    lookup: DataFrame,
+    source_type: str,
+    bucket: str,
+    region: str,
+    rules: Ruleset = TEXT_RULES,
+    max_files: int = MAX_FILES,
+) -> StreamingQuery:
+    """Scan the text files that arrived below ``path`` since the last pass, then stop."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    files = reader.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("value").alias("text"),
+    )
+    documents = file_metadata(
+        files, F.lit(source_type), F.lit(bucket), F.lit(region), keep=["text"]
+    )
+    return _scan_arrived(documents, out, checkpoint, lookup, "text", FILE_COLUMNS, rules)
+
 
+def _scan_arrived(
+    arrived: DataFrame,
+    out: str,
+    checkpoint: str,
+    lookup: DataFrame,
+    col: str,
+    keys: Sequence[str],
+    rules: Ruleset,
+) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = scan_documents(batch, lookup, col, keys, rules)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    arrived = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    return _start(arrived, write, checkpoint)
+
+
+def _start(
+    arrived: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    """Take what has arrived in batches of files, then stop."""
     return (
         arrived.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
@@ -51,7 +98,7 @@ def stream_upsert(
     target: str,
     key: str,
     checkpoint: str,
-    max_files: int = 1_000,
+    max_files: int = MAX_FILES,
 ) -> StreamingQuery:
     """Upsert the catalog rows that arrived below ``path`` since the last pass, then stop."""
     table = VersionedTable(spark, target)
@@ -61,10 +108,5 @@ def stream_upsert(
         if current is None or current < batch_id:
             table.upsert(batch, key, version=batch_id)
 
-    arrived = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-    return (
-        arrived.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return _start(reader.parquet(path), write, checkpoint)

@@ -7,7 +7,7 @@ from hushmap.plans import jobs
 from hushmap.plans.views import VIEWS, register_views
 from hushmap.schemas import TABLES
 from hushmap.sources import catalog, results
-from hushmap.streaming.incremental import stream_scan, stream_upsert
+from hushmap.streaming.incremental import stream_scan, stream_scan_files, stream_upsert
 from workload.fixtures import fixture
 from workload.scans import _docs
 
@@ -112,6 +112,23 @@ def test_stream_scan_takes_each_file_once(spark, sf, tmp_path):
     assert rows(got) == rows(jobs.scan_documents(docs, lookup))
 
 
+def test_stream_of_text_files(spark, tmp_path):
+    lookup = results.load_data_elements(spark)
+    source = tmp_path / "in"
+    source.mkdir()
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for name, text in (("a.txt", "call 555-123-4567\nor 555-123-4568"), ("b.txt", "nothing")):
+        (source / name).write_text(text)
+        stream_scan_files(
+            spark, str(source), out, checkpoint, lookup, "s3, lake", "bucket", "eu"
+        ).awaitTermination()
+    (row,) = spark.read.parquet(out).collect()
+    assert (row.file_name, row.file_size, row.file_type, row.source, row.sub_service) == (
+        "a.txt", 33, "TXT", "s3", "lake",
+    )
+    assert (row.detected_entity, row.data_element) == ("PHONE_NUMBER", "CONTACT_INFORMATION")
+
+
 def test_stream_upsert_equals_batch_upsert(spark, tmp_path):
     first = spark.createDataFrame([("a", 1), ("b", 2)], ROW)
     second = spark.createDataFrame([("b", 3), ("c", 4)], ROW)

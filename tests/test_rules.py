@@ -21,6 +21,7 @@ CASES = [
     ("MAESTRO_CARD", "5018 1234 1234 1234 12", "5018 1234-1234 1234 12"),
     ("IP_ADDRESS", "10.0.0.255", "10.0.0.256"),
     ("IP_ADDRESS", "fe80::1:2", "fe80:::1"),
+    ("IP_ADDRESS", "1:2:3", "1:2"),
     ("IP_ADDRESS", "::ffff:10.0.0.1", "::ffff:10.0.0"),
     ("MAC_ADDRESS", "0a:1b:2c:3d:4e:5f", "0a:1b:2c:3d:4e-5f"),
     ("MAC_ADDRESS", "0a1b.2c3d.4e5f", "0a1b.2c3d.4e5"),
