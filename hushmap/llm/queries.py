@@ -9,9 +9,13 @@ from hushmap.llm import (
     chat_template,
     length_buckets,
     mixing,
+    near_embeddings,
+    ngram_jaccard,
     packed_ids,
+    quality_crf,
     quality_rules,
     token_files,
+    toxicity,
 )
 from hushmap.llm.shared import count_words, stored
 from hushmap.session import scratch_path
@@ -37,14 +41,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-PACKED_SQL = f"""
-WITH d AS (SELECT doc_id, len({WORDS}) AS n FROM documents)
-SELECT doc_id, n AS n_tokens, CAST(ceil(n / 4096.0) AS BIGINT) AS n_pieces,
-       n AS last_end
-FROM d WHERE n > 0
+@query("op1_quality_crf")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = quality_crf.score_quality(documents, _table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "held_out", "score", "predicted")
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id
+JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = vec_id
 """
 
 
+@query("op2_near_embeddings", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_packed_ids")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per packed row of 4,096 identifiers; the matrix itself lies in the stored rows."""
@@ -61,6 +85,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(documents, scratch_path(spark, "token-files"))
 
 
+OP5_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g
+  FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op5_ngram_jaccard", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents
@@ -106,6 +157,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = toxicity.score_toxicity(documents, _table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op8_length_buckets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
