@@ -14,8 +14,8 @@ from hushmap.llm.shared import LOWER, Tokenized, mixed, text_chunks
 from hushmap.llm.training import held_out, labelled_sample
 
 #: Documents of each class that the model is trained on, and the longest taken.
-TRAIN_PER_CLASS = 1_500
-TRAIN_MAX_CHARS = 20_000
+TRAIN_PER_CLASS = 800
+TRAIN_MAX_CHARS = 8_000
 PREDICT_FROM = 0.5
 #: Words in a window and from one window to the next.
 WINDOW = 16
@@ -226,6 +226,15 @@ def window_scores(model_values: dict, numbers: np.ndarray, first: np.ndarray):
     return out, owner
 
 
+def _all_scores(values: dict, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Scores of all windows, some texts at a time."""
+    out = []
+    for low in range(0, len(first) - 1, 64):
+        part = first[low : low + 65]
+        out.append(window_scores(values, numbers[part[0] : part[-1]], part - part[0])[0])
+    return np.concatenate(out)
+
+
 def _most(scores: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, -np.inf, np.float32)
     np.maximum.at(out, owner, scores)
@@ -282,7 +291,8 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Mode
     worth = np.zeros(len(words.keys), np.float32)
     place = {k: i for i, k in enumerate(keys.tolist())}
     worth[1:] = [odds[place[k]] for k in words.keys[1:].tolist()]
-    numbers = words.numbers(hashes)
+    numbers = np.stack([words.numbers(hashes[:, k]).astype(np.int32) for k in range(KINDS)], 1)
+    del parts, hashes
     values = _start(len(words.keys), rng)
     values["table"][0] = 0
     starts, owner = _windows(first)
@@ -298,7 +308,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Mode
     count = 0
     for epoch in range(epochs):
         if epoch == epochs // 2:
-            window_worth = window_scores(values, numbers, first)[0]
+            window_worth = _all_scores(values, numbers, first)
         order = np.lexsort((-window_worth, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         toxic = labels[owner[order]] == 1
@@ -320,8 +330,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Mode
                 values[name] -= (
                     0.01 * (a / (1 - 0.9**count)) / (np.sqrt(b / (1 - 0.99**count)) + 1e-6)
                 ).astype(np.float32)
-    scores, owner = window_scores(values, numbers, first)
-    most = _most(scores, owner, len(labels))
+    most = _most(_all_scores(values, numbers, first), owner, len(labels))
     rest = ~fit if len(set(labels[~fit].tolist())) == 2 else fit
     rest &= np.isfinite(most)
     slope, shift = _scale(most[rest].astype(np.float64), labels[rest])
