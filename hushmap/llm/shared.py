@@ -105,9 +105,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .where(F.col(a).isNotNull() & F.col(b).isNotNull())
         .distinct()
     )
-    seen = _mark(pairs)
     for _ in range(max_rounds):
-        if not seen[0]:
+        if _stars(pairs):
             break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(
@@ -119,19 +118,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             both.join(least, F.col("u") == F.col("n"))
             .where(F.col("v") >= F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
         )
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"))
+        # Now the second ends are least in their neighbourhood, so few of them meet in one node.
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         joined = large.join(least, F.col("u") == F.col("n"))
         pairs = stored(
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
+            joined.select(
+                F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
+            )
+            .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
             .distinct()
         )
-        now = _mark(pairs)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (
@@ -142,12 +139,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
-def _mark(pairs: DataFrame) -> tuple[int, int]:
-    """Number of edges and a sum over them that changes when they do."""
-    row = pairs.agg(
-        F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 16)).alias("s")
-    ).first()
-    return row[0], row[1] or 0
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every node but the centres has one edge, which leads to a centre."""
+    ends = F.array(
+        F.struct(F.col("u").alias("id"), (F.col("u") != F.col("v")).cast("int").alias("leaf"), F.lit(0).alias("centre")),
+        F.struct(F.col("v").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")),
+    )
+    odd = (
+        pairs.select(F.explode(ends).alias("e"))
+        .select("e.*")
+        .groupBy("id")
+        .agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        .where((F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("centre") > 0)))
+    )
+    return odd.isEmpty()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
