@@ -11,9 +11,7 @@ from pyspark.sql import types as T
 
 MAX_TEXT_CHARS = 1_232_500
 CHUNK_CHARS = 1_000
-SEGMENT_FRAGMENTS = 65_536
 SAMPLE_BUCKETS = 65_536
-SHARE_STEPS = 1_000_000
 
 # Characters a string strip removes: every Unicode blank and the old text separators.
 BLANKS = (
@@ -158,8 +156,11 @@ def sample_values(
         return values
     hashed = values.withColumn("_hash", F.xxhash64(*by, *key, F.lit(seed)))
     if isinstance(sample_size, float):
-        step = F.pmod(F.col("_hash"), F.lit(SHARE_STEPS))
-        return hashed.filter(step < int(sample_size * SHARE_STEPS)).drop("_hash")
+        # The hash without its sign is a number of 63 bits; its share of them is even.
+        place = F.col("_hash").bitwiseAND(F.lit((1 << 63) - 1))
+        if sample_size >= 1:
+            return values
+        return hashed.filter(place < F.lit(int(max(sample_size, 0.0) * (1 << 63)))).drop("_hash")
     bucketed = hashed.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(SAMPLE_BUCKETS)))
     running = Window.partitionBy(*by).orderBy("_bucket")
     histogram = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -213,17 +214,12 @@ def normalize_token(token: Column) -> Column:
     return F.translate(F.lower(token), ".'-_,", "")
 
 
-def combine_text(
-    df: DataFrame, doc: str, pos: str, col: str, fragments: int = SEGMENT_FRAGMENTS
-) -> DataFrame:
-    """Fragments of a document joined by blanks, in order.
+def combine_text(df: DataFrame, doc: str, pos: str, col: str) -> DataFrame:
+    """One row per document: its fragments joined by blanks, in order.
 
-    A document of more fragments than one row should hold comes out as several numbered
-    segments, cut by fragment position, so that no group is unbounded.
+    A document is one value, so it has to fit into a task, as every text elsewhere.
     """
     ordered = F.sort_array(F.collect_list(F.struct(F.col(pos), F.col(col))))
-    return (
-        df.withColumn("segment", F.floor(F.col(pos) / fragments).cast("bigint"))
-        .groupBy(doc, "segment")
-        .agg(F.array_join(F.transform(ordered, lambda f: f[col]), " ").alias(col))
+    return df.groupBy(doc).agg(
+        F.array_join(F.transform(ordered, lambda f: f[col]), " ").alias(col)
     )

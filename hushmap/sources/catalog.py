@@ -153,7 +153,8 @@ class VersionedTable:
         complete = [
             int(status.getPath().getName().removeprefix("v"))
             for status in fs.listStatus(root)
-            if fs.exists(hadoop_path(status.getPath(), "_SUCCESS"))
+            if status.getPath().getName().removeprefix("v").isdigit()
+            and fs.exists(hadoop_path(status.getPath(), "_SUCCESS"))
         ]
         return max(complete, default=None)
 
@@ -176,3 +177,67 @@ class VersionedTable:
         current = self.version()
         merged = batch if current is None else upsert_by_key(self.read(), batch, key)
         return self.write(merged, sort=[key], version=version)
+
+
+class UploadedTable(VersionedTable):
+    """A table with the changes of later uploads beside it.
+
+    Appending writes the new rows only. Reading keeps, for each key, the rows of its last upload;
+    the numbered versions come before all uploads. ``compact`` writes what is read as a new
+    version and notes which changes it holds.
+    """
+
+    UPLOAD = "_upload"
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        super().__init__(spark, path)
+        self.key = key
+
+    def append(self, rows: DataFrame, writer: str) -> None:
+        """Add rows that carry their upload's name; the same ``writer`` replaces its own rows."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/changes/{writer}")
+
+    def changes(self) -> list[str]:
+        """Complete changes that the current version does not hold."""
+        version = self.version()
+        held = set()
+        if version is not None and self._exists(f"{self.path}/held/v{version}/_SUCCESS"):
+            held = {r.writer for r in self.spark.read.parquet(f"{self.path}/held/v{version}").collect()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/changes/*/*/_SUCCESS")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getParent() for s in fs.globStatus(path) or []]
+        names = {f"{p.getParent().getName()}/{p.getName()}" for p in found}
+        return sorted(names - held)
+
+    def read(self) -> DataFrame:
+        names = self.changes()
+        version = self.version()
+        if not names:
+            return super().read()
+        rows = self.spark.read.parquet(*[f"{self.path}/changes/{n}" for n in names])
+        if version is not None:
+            stored = super().read()
+            rows = rows.select(*stored.columns, self.UPLOAD).unionByName(
+                stored.withColumn(self.UPLOAD, F.lit(None).cast("string"))
+            )
+        last = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max(self.UPLOAD).alias("_last"))
+        latest = rows.join(last, F.col(self.key) == F.col("_key"), "left").where(
+            F.col("_key").isNull() | F.col(self.UPLOAD).eqNullSafe(F.col("_last"))
+        )
+        return latest.drop("_key", "_last", self.UPLOAD)
+
+    def compact(self) -> int:
+        names = self.changes()
+        current = self.version()
+        version = 0 if current is None else current + 1
+        if current is not None and self._exists(f"{self.path}/held/v{current}/_SUCCESS"):
+            before = self.spark.read.parquet(f"{self.path}/held/v{current}").collect()
+            names = names + [r.writer for r in before]
+        rows = self.read()
+        held = self.spark.createDataFrame([(n,) for n in names], "writer string")
+        held.write.mode("overwrite").parquet(f"{self.path}/held/v{version}")
+        return self.write(rows, sort=[self.key], version=version)
+
+    def _exists(self, path: str) -> bool:
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +12,7 @@ from pyspark.sql.types import StructType
 CATALOG_SEPARATOR = ";"
 DELIMITERS = (",", ";", "\t", "|")
 PREVIEW_LINES = 20
+QUOTED = re.compile(r'"(?:[^"]|"")*"')
 
 
 def read_catalog_csv(
@@ -16,24 +20,37 @@ def read_catalog_csv(
     path: str,
     schema: StructType | None = None,
     sep: str = CATALOG_SEPARATOR,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Catalog export with header; a schema saves the pass that infers one."""
-    reader = _csv(spark).option("sep", sep)
+    """Catalog export with header; a schema saves the pass that infers one.
+
+    Quoted values may hold line breaks. ``multi_line=False`` lets large files without such breaks
+    be split between tasks; this holds for all CSV readers here.
+    """
+    reader = _csv(spark, multi_line).option("sep", sep)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
 
 
-def read_csv_auto(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+def read_csv_auto(
+    spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True
+) -> DataFrame:
     """CSV whose delimiter is told from its first lines."""
-    return (
-        _csv(spark).option("sep", detect_delimiter(spark, path)).option("inferSchema", infer)
-    ).csv(path)
+    reader = _csv(spark, multi_line).option("sep", detect_delimiter(spark, path))
+    return reader.option("inferSchema", infer).csv(path)
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter that occurs equally often, and most often, in the first lines."""
-    lines = [row.value for row in spark.read.text(path).limit(PREVIEW_LINES).collect()]
+    """Delimiter that occurs equally often, and most often, in the first lines.
+
+    What stands in quotes, line breaks included, does not count.
+    """
+    rows = spark.read.text(path).limit(PREVIEW_LINES).collect()
+    bare = QUOTED.sub("", "\n".join(row.value for row in rows))
+    # A value whose closing quote lies behind the preview takes its record's rest along.
+    lines = bare.split('"')[0].split("\n")
+    lines = lines[:-1] if '"' in bare else lines
 
     def rank(delimiter: str) -> tuple[bool, int]:
         counts = [line.count(delimiter) for line in lines if line]
@@ -43,22 +60,48 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return max(DELIMITERS, key=rank)
 
 
-def read_csv_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return _csv(spark).option("sep", sep).option("inferSchema", False).csv(path)
+def read_csv_strings(
+    spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
+    reader = _csv(spark, multi_line).option("sep", sep)
+    return reader.option("inferSchema", False).csv(path)
 
 
-def _csv(spark: SparkSession):
-    return spark.read.option("header", True).option("escape", '"')
+def _csv(spark: SparkSession, multi_line: bool):
+    reader = spark.read.option("header", True).option("escape", '"')
+    return reader.option("multiLine", multi_line)
 
 
 def read_json_records(
     spark: SparkSession, path: str, schema: StructType | None = None
 ) -> DataFrame:
-    """Records from a JSON array or from JSON lines, nested as they are."""
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    is_array = bool(head) and head[0].value.lstrip().startswith("[")
-    reader = spark.read.option("multiLine", is_array)
-    return (reader.schema(schema) if schema else reader).json(path)
+    """Records from JSON lines, JSON arrays and single objects, nested as they are.
+
+    Each file is read in its own form, which its first line that is not blank tells: JSON lines
+    begin with a whole object, arrays and indented objects do not.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("at"),
+        F.trim("value").alias("value"),
+    )
+    first = lines.where("value <> ''").groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    whole = F.col("value").startswith("{") & F.get_json_object("value", "$").isNotNull()
+    forms = first.select("file", F.coalesce(whole, F.lit(False)).alias("lines")).collect()
+    parts = []
+    for by_line in (True, False):
+        # One address per file, as Spark's own reader keeps on the driver.
+        files = [r.file for r in forms if r.lines == by_line]
+        if files:
+            reader = spark.read.option("multiLine", not by_line)
+            parts.append((reader.schema(schema) if schema else reader).json(files))
+    if not parts:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.json(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_text_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

@@ -13,7 +13,6 @@ from hushmap.schemas import TABLES
 from hushmap.session import local_table
 
 CUSTOMER_BUCKETS = 256
-FILES_PER_RUN_ROW = 10_000
 
 
 def load_data_elements(spark: SparkSession) -> DataFrame:
@@ -49,8 +48,8 @@ def append_column_results(df: DataFrame, path: str) -> None:
 
 
 def append_file_results(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows partitioned by bucket; each bucket spreads over the tasks that found its files."""
-    rows = stamped(df, "ner_unstructured_data")
+    """Rows partitioned by bucket; a shuffle first makes few files, and splits large buckets."""
+    rows = stamped(df, "ner_unstructured_data").hint("rebalance", "source_bucket")
     rows.write.mode(mode).partitionBy("source_bucket").parquet(path)
 
 
@@ -59,31 +58,14 @@ def classifier_run(
     customer: str = "customer_id",
     name: str = "file_name",
     report: Sequence[str] = ("file_name", "file_extension", "file_size", "results"),
-    files_per_row: int = FILES_PER_RUN_ROW,
 ) -> DataFrame:
-    """One row per customer run: its files and the JSON of all their reports, by file name.
+    """Run rows (customer, list of one file, JSON list of its report), one per file.
 
-    A run of more than ``files_per_row`` files is spread over several rows (``part``) by a
-    hash of the file name, so that no customer has to fit into one task.
+    The form is the same at every size of a run. No customer is gathered; whoever wants one list per customer groups the rows they read.
     """
-    parts = reports.groupBy(customer).agg(
-        F.ceil(F.count(F.lit(1)) / files_per_row).alias("_parts")
-    )
-    part = F.pmod(F.xxhash64(name), F.col("_parts"))
-    body = F.to_json(F.struct(*report))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(name), body.alias("report"))))
-    bodies = F.array_join(F.transform("_ordered", lambda r: r["report"]), ",")
-    return (
-        reports.join(parts, customer)
-        .withColumn("part", F.when(F.col("_parts") == 1, F.lit(0)).otherwise(part))
-        .groupBy(customer, "part")
-        .agg(ordered.alias("_ordered"))
-        .select(
-            customer,
-            F.col("part").cast("bigint").alias("part"),
-            F.transform("_ordered", lambda r: r[name]).alias("list_of_files"),
-            F.concat(F.lit("["), bodies, F.lit("]")).alias("json_output"),
-        )
+    body = F.concat(F.lit("["), F.to_json(F.struct(*report)), F.lit("]"))
+    return reports.select(
+        customer, F.array(name).alias("list_of_files"), body.alias("json_output")
     )
 
 
@@ -91,6 +73,7 @@ def append_classifier_runs(runs: DataFrame, path: str) -> None:
     """Rows partitioned by a bucket of the customer id; one folder each would be too many."""
     bucket = F.pmod(F.xxhash64("customer_id"), F.lit(CUSTOMER_BUCKETS))
     rows = stamped(runs, "instant_classifier").withColumn("customer_bucket", bucket)
+    rows = rows.hint("rebalance", "customer_bucket")
     rows.write.mode("append").partitionBy("customer_bucket").parquet(path)
 
 

@@ -1,21 +1,23 @@
 """Incremental passes: scan each new document once, upsert each new catalog batch once.
 
-What was processed is remembered by the stream's checkpoint. Output is keyed by batch id, so a
-batch that is run again after a failure replaces what it wrote.
+What was processed is remembered by the stream's checkpoint. Output is keyed by the stream, whose
+id lies in the checkpoint, and by the batch: a batch that is run again after a failure replaces
+what it wrote itself, and nothing else.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from hushmap.plans.jobs import FILE_COLUMNS, scan_documents
 from hushmap.rules import TEXT_RULES, Ruleset
-from hushmap.sources.catalog import VersionedTable
+from hushmap.sources.catalog import UploadedTable
 from hushmap.sources.files import file_metadata
 
 MAX_FILES = 1_000
@@ -50,8 +52,13 @@ def stream_scan_files(
     rules: Ruleset = TEXT_RULES,
     max_files: int = MAX_FILES,
 ) -> StreamingQuery:
-    """Scan the text files that arrived below ``path`` since the last pass, then stop."""
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    """Scan the text files that arrived below ``path`` since the last pass, then stop.
+
+    Files of other formats are not read; ``list_files`` and ``route_files`` tell which these are.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option(
+        "pathGlobFilter", "*.[tT][xX][tT]"
+    )
     files = reader.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -74,11 +81,17 @@ def _scan_arrived(
 ) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = scan_documents(batch, lookup, col, keys, rules)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        stream = _stream_id(batch.sparkSession, checkpoint)
+        rows.write.mode("overwrite").parquet(f"{out}/stream={stream}/batch={batch_id}")
 
     return _start(arrived, write, checkpoint)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id that a stream keeps in its checkpoint from its first start on."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+
+
 def _start(
     arrived: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
@@ -99,14 +112,22 @@ def stream_upsert(
     key: str,
     checkpoint: str,
     max_files: int = MAX_FILES,
+    upload: Column | None = None,
 ) -> StreamingQuery:
-    """Upsert the catalog rows that arrived below ``path`` since the last pass, then stop."""
-    table = VersionedTable(spark, target)
+    """Upsert the catalog rows that arrived below ``path`` since the last pass, then stop.
+
+    The upload is the unit of replacement, however many files and triggers it takes: its rows
+    replace rows of earlier uploads and of the stored table with the same key, and never each
+    other. ``upload`` tells a row's upload, by default the name of the file's folder; of several
+    uploads the one that sorts last wins, so names should count up, as timestamps do.
+    """
+    table = UploadedTable(spark, target, key)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        current = table.version()
-        if current is None or current < batch_id:
-            table.upsert(batch, key, version=batch_id)
+        table.append(batch, f"stream={_stream_id(batch.sparkSession, checkpoint)}/batch={batch_id}")
 
+    if upload is None:
+        upload = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return _start(reader.parquet(path), write, checkpoint)
+    rows = reader.option("recursiveFileLookup", True).parquet(path)
+    return _start(rows.withColumn(UploadedTable.UPLOAD, upload), write, checkpoint)

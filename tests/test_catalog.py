@@ -108,7 +108,7 @@ def test_stream_scan_takes_each_file_once(spark, sf, tmp_path):
     docs.filter("file_size % 2 = 1").write.mode("append").parquet(source)
     run()
     run()
-    got = spark.read.parquet(out).drop("batch")
+    got = spark.read.parquet(out).drop("stream", "batch")
     assert rows(got) == rows(jobs.scan_documents(docs, lookup))
 
 
@@ -117,7 +117,7 @@ def test_stream_of_text_files(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-    for name, text in (("a.txt", "call 555-123-4567\nor 555-123-4568"), ("b.txt", "nothing")):
+    for name, text in (("a.txt", "call 555-123-4567\nor 555-123-4568"), ("b.txt", "nothing"), ("c.exe", "555-123-4567")):
         (source / name).write_text(text)
         stream_scan_files(
             spark, str(source), out, checkpoint, lookup, "s3, lake", "bucket", "eu"
@@ -131,11 +131,22 @@ def test_stream_of_text_files(spark, tmp_path):
 
 def test_stream_upsert_equals_batch_upsert(spark, tmp_path):
     first = spark.createDataFrame([("a", 1), ("b", 2)], ROW)
-    second = spark.createDataFrame([("b", 3), ("c", 4)], ROW)
+    second = spark.createDataFrame([("b", 3), ("b", 4), ("c", 4)], ROW)
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "t", "checkpoint"))
-    for batch in (first, second):
-        batch.write.mode("append").parquet(source)
+    catalog.VersionedTable(spark, target).write(spark.createDataFrame([("a", 0), ("z", 0)], ROW))
+    for n, batch in enumerate((first, second)):
+        batch.repartition(2).write.parquet(f"{source}/{n}")
         for _ in range(2):
-            stream_upsert(spark, source, first.schema, target, "id", checkpoint).awaitTermination()
-    got = catalog.VersionedTable(spark, target).read()
-    assert rows(got) == rows(catalog.upsert_by_key(first, second, "id"))
+            stream_upsert(
+                spark, source, first.schema, target, "id", checkpoint, max_files=1
+            ).awaitTermination()
+    table = catalog.UploadedTable(spark, target, "id")
+    want = [("a", 1), ("b", 3), ("b", 4), ("c", 4), ("z", 0)]
+    assert rows(table.read()) == want
+    table.compact()
+    assert table.changes() == [] and rows(table.read()) == want
+    spark.createDataFrame([("z", 9)], ROW).write.parquet(f"{source}/2")
+    stream_upsert(spark, source, first.schema, target, "id", checkpoint).awaitTermination()
+    assert rows(table.read()) == [*want[:-1], ("z", 9)]
+    table.compact()
+    assert table.changes() == [] and rows(table.read()) == [*want[:-1], ("z", 9)]

@@ -137,11 +137,16 @@ def test_cleaning_modes(spark):
     assert rows("json") == rows("csv") == strings | others
 
 
-def test_long_documents_come_in_segments(spark):
-    parts = spark.range(25).select(F.lit("d").alias("doc"), "id", F.col("id").cast("string").alias("t"))
-    got = prepare.combine_text(parts, "doc", "id", "t", fragments=10).orderBy("segment").collect()
-    assert " ".join(r.t for r in got) == " ".join(map(str, range(25)))
-    assert [r.segment for r in got] == [0, 1, 2]
+def test_long_documents_stay_one_row(spark):
+    parts = spark.createDataFrame([("d", 70_000, "b"), ("d", 0, "a")], "doc string, id int, t string")
+    assert [tuple(r) for r in prepare.combine_text(parts, "doc", "id", "t").collect()] == [("d", "a b")]
+
+
+def test_small_shares_draw_rows(spark):
+    values = spark.range(3_000_000).select(F.lit("c").alias("column_name"), F.col("id").alias("row_id"))
+    assert 0 < prepare.sample_values(values, 5e-6).count() < 60
+    assert prepare.sample_values(values, 1.0).count() == 3_000_000
+    assert prepare.sample_values(values, 0.0).count() == 0
 
 
 def test_stopwords_and_tokens(spark):

@@ -35,6 +35,32 @@ def _s01(spark, sf):
     return back.drop("operation")
 
 
+# Texts with the separator, quotes and line breaks inside.
+_AWKWARD = "'said \"' || l.text || '\"; ' || chr(10) || l.source"
+
+
+@query("s01_quoted_lines", f"SELECT doc_id AS id, {_AWKWARD} AS json FROM documents l")
+def _s01_quoted(spark, sf):
+    path = scratch_path(spark, "quoted")
+    df = _awkward(spark, sf)
+    df.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return readers.read_catalog_csv(spark, path, df.schema)
+
+
+def _awkward(spark, sf):
+    value = F.concat(F.lit('said "'), "text", F.lit('"; \n'), "source")
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), value.alias("json"))
+
+
+@query("s02_quoted_separator", f"SELECT doc_id AS id, {_AWKWARD} AS json FROM documents l")
+def _s02_quoted(spark, sf):
+    """The separators inside the quotes outnumber the true one."""
+    path = scratch_path(spark, "auto-quoted")
+    df = _awkward(spark, sf)
+    df.write.option("header", True).option("sep", "|").option("escape", '"').csv(path)
+    return readers.read_csv_auto(spark, path).withColumn("id", F.col("id").cast("bigint"))
+
+
 _ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority"
 
 
@@ -99,20 +125,57 @@ def _s04(spark, sf):
 
 
 @query(
-    "s05_read_text_documents",
-    "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents",
+    "s04_mixed_folder",
+    "SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders",
 )
+def _s04_mixed(spark, sf):
+    """One folder with JSON lines, an array over many lines and indented single objects."""
+    base = scratch_path(spark, "mixed")
+    orders = read(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")
+    )
+    kind = F.when(F.col("id") == F.lit(1), "single").when(F.col("id") % 2 == 0, "lines").otherwise("array")
+    sorted_in = orders.withColumn("kind", kind)
+    sorted_in.where("kind = 'lines'").drop("kind").write.mode("append").json(base)
+    body = F.to_json(F.struct("id", "priority"))
+    array = F.concat(F.lit("[\n"), F.array_join(F.collect_list(body), ",\n"), F.lit("\n]"))
+    arrays = sorted_in.where("kind = 'array'").groupBy(F.col("id") % 5).agg(array.alias("value"))
+    arrays.select("value").repartition(5).write.mode("append").option("maxRecordsPerFile", 1).text(base)
+    single = F.concat(F.lit("{\n  \"id\": "), "id", F.lit(",\n  \"priority\": \""), "priority", F.lit("\"\n}"))
+    sorted_in.where("kind = 'single'").select(single.alias("value")).write.mode("append").option(
+        "maxRecordsPerFile", 1
+    ).text(base)
+    return readers.read_json_records(spark, base)
+
+
+@query("s05_read_text_documents", "SELECT sha256(text) AS digest, length(text) AS chars FROM documents")
 def _s05(spark, sf):
+    """Every document written to a file of its own, read back whole."""
     path = scratch_path(spark, "texts")
-    read(spark, sf, "documents").select("text").write.text(path)
-    files = readers.read_text_documents(spark, path)
-    return files.agg(F.sum(F.length("text")).alias("chars"))
+    docs = read(spark, sf, "documents").select("text")
+    docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\u0004").text(path)
+    whole = F.regexp_replace("text", "\u0004$", "")
+    return readers.read_text_documents(spark, path).select(
+        F.sha2(whole, 256).alias("digest"), F.length(whole).cast("bigint").alias("chars")
+    )
+
+
+_TABLE_NAMES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
 
 
-@query("s06_list_files")
+@query(
+    "s06_list_files",
+    "SELECT name || '.parquet' AS file_name, 'parquet' AS extension, TRUE AS accepted "
+    f" FROM (SELECT unnest({_TABLE_NAMES!r}) AS name)",
+)
 def _s06(spark, sf):
     files = list_files(spark, sf, formats=("parquet",))
-    return files.select("file_name", "file_size", "extension", "accepted")
+    # A table may be a folder of files; both forms list under the table's name.
+    named = F.regexp_extract("path", r"([^/]+\.parquet)(/[^/]+)?$", 1)
+    return files.select(named.alias("file_name"), "extension", "accepted").distinct()
 
 
 @query(
@@ -286,30 +349,33 @@ def _s13(spark, sf):
 
 @query(
     "s14_classifier_run",
-    f"WITH {ctes('files')} SELECT customer_id, string_agg(file_name, ',' ORDER BY file_name) "
-    "AS list_of_files, '[' || string_agg(to_json({'file_name': file_name, 'file_size': "
-    "file_size, 'source': source}), ',' ORDER BY file_name) || ']' AS json_output "
-    "FROM files GROUP BY customer_id",
+    f"WITH {ctes('files')} SELECT customer_id, file_name AS list_of_files, '[' || "
+    "to_json({'file_name': file_name, 'file_size': file_size, 'source': source}) || ']' "
+    "AS json_output FROM files",
 )
 def _s14(spark, sf):
     reports = fixture(spark, sf, "files")
-    runs = results.classifier_run(
-        reports, report=["file_name", "file_size", "source"], files_per_row=1_000_000
-    )
+    runs = results.classifier_run(reports, report=["file_name", "file_size", "source"])
     return runs.select(
         "customer_id", F.array_join("list_of_files", ",").alias("list_of_files"), "json_output"
     )
 
 
 @query(
-    "s14_classifier_run_parts",
-    f"WITH {ctes('files')} SELECT customer_id, file_name FROM files",
+    "s14_classifier_run_stored",
+    f"WITH {ctes('files')} SELECT customer_id, string_agg(file_name, ',' ORDER BY file_name) "
+    "AS files FROM files GROUP BY customer_id",
 )
-def _s14_parts(spark, sf):
-    """Runs cut into parts hold every file once."""
+def _s14_stored(spark, sf):
+    """Runs as they are read from the result table."""
+    path = scratch_path(spark, "runs")
     reports = fixture(spark, sf, "files")
-    runs = results.classifier_run(reports, report=["file_name", "file_size"], files_per_row=20)
-    return runs.select("customer_id", F.explode("list_of_files").alias("file_name"))
+    results.append_classifier_runs(
+        results.classifier_run(reports, report=["file_name", "file_size"]), path
+    )
+    files = spark.read.parquet(path).select("customer_id", F.explode("list_of_files").alias("f"))
+    listed = F.array_join(F.sort_array(F.collect_list("f")), ",")
+    return files.groupBy("customer_id").agg(listed.alias("files"))
 
 
 @query(
@@ -467,7 +533,7 @@ def _p09(spark, sf):
 )
 def _p10(spark, sf):
     turns = read(spark, sf, "conversations")
-    return prepare.combine_text(turns, "conv_id", "turn", "text").drop("segment")
+    return prepare.combine_text(turns, "conv_id", "turn", "text")
 
 
 @query(

@@ -12,7 +12,7 @@ from hushmap.plans import jobs
 from hushmap.rules import COLUMN_RULES, DOCUMENT_CLASSES, TEXT_RULES, Ruleset
 from hushmap.rules.documents import EMAIL_PATTERN, NRIC, PHONE_PATTERN
 from hushmap.session import scratch_path
-from hushmap.sources.catalog import VersionedTable
+from hushmap.sources.catalog import UploadedTable, VersionedTable
 from hushmap.sources.files import route_files
 from hushmap.sources.results import load_data_elements
 from hushmap.streaming.incremental import stream_scan, stream_upsert
@@ -402,9 +402,8 @@ def _d15(spark, sf):
     "CASE WHEN file_size < 1024 THEN file_size || ' B' "
     "ELSE CAST(round_even(file_size / 1024.0::DOUBLE, 0) AS BIGINT) || ' KB' END || "
     f"'\",\"results\":' || {_json_sql(f'coalesce({_ENTITY_OBJECT}, {text('{}')})')} || '}}' "
-    "AS report FROM filled) SELECT customer_id, string_agg(file_name, ',' ORDER BY file_name) AS "
-    "list_of_files, '[' || string_agg(report, ',' ORDER BY file_name) || ']' AS json_output "
-    "FROM reports GROUP BY customer_id",
+    "AS report FROM filled) SELECT customer_id, file_name AS list_of_files, "
+    "'[' || report || ']' AS json_output FROM reports",
 )
 def _d16(spark, sf):
     runs = jobs.classify_files(fixture(spark, sf, "files"))
@@ -564,27 +563,78 @@ def _t01(spark, sf):
             f"{base}/checkpoint",
             load_data_elements(spark),
         ).awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    return spark.read.parquet(f"{base}/out").drop("stream", "batch")
+
+
+@query("t01_new_checkpoint", _SCANNED_DOCS)
+def _t01_new(spark, sf):
+    """A second stream with a checkpoint of its own adds to the stored results."""
+    base = scratch_path(spark, "stream-scan")
+    docs = _docs(spark, sf)
+    for n, drop in enumerate((docs.filter("sub_service < 'es'"), docs.filter("sub_service >= 'es'"))):
+        drop.write.parquet(f"{base}/in{n}")
+        stream_scan(
+            spark, f"{base}/in{n}", docs.schema, f"{base}/out", f"{base}/checkpoint{n}",
+            load_data_elements(spark),
+        ).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("stream", "batch")
 
 
 _SECOND = """
 SELECT 't' || CAST(s_suppkey * 2 AS STRING) AS id, 'second' AS updatedBy, s_name AS name
 FROM $supplier$"""
-
-
-@query(
-    "t02_stream_upsert",
+_UPSERTED_STREAM = (
     f"WITH {ctes('table_entity')}, second AS ({_SECOND.replace('$supplier$', 'supplier')}) "
     "SELECT id, updatedBy, name FROM table_entity WHERE id NOT IN (SELECT id FROM second) "
-    "UNION ALL SELECT * FROM second",
+    "UNION ALL SELECT * FROM second"
 )
+
+
+def _stream_uploads(spark, base, drops, max_files=1_000):
+    for n, drop in enumerate(drops):
+        drop.write.parquet(f"{base}/in/upload-{n}")
+        stream_upsert(
+            spark, f"{base}/in", drop.schema, f"{base}/table", "id", f"{base}/checkpoint", max_files
+        ).awaitTermination()
+
+
+@query("t02_stream_upsert", _UPSERTED_STREAM)
 def _t02(spark, sf):
-    """Two catalog drops; the second replaces some rows of the first and adds others."""
+    """Two catalog uploads; the second replaces some rows of the first and adds others."""
     base = scratch_path(spark, "stream-upsert")
     first = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
-    for drop in (first, sql_over(spark, sf, _SECOND)):
-        drop.write.mode("append").parquet(f"{base}/in")
-        stream_upsert(
-            spark, f"{base}/in", first.schema, f"{base}/table", "id", f"{base}/checkpoint"
-        ).awaitTermination()
-    return VersionedTable(spark, f"{base}/table").read()
+    _stream_uploads(spark, base, (first, sql_over(spark, sf, _SECOND)))
+    return UploadedTable(spark, f"{base}/table", "id").read()
+
+
+@query("t02_existing_table", _UPSERTED_STREAM)
+def _t02_existing(spark, sf):
+    """The first upload of a stream changes a table that was there before, also once compacted."""
+    base = scratch_path(spark, "stream-existing")
+    first = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
+    VersionedTable(spark, f"{base}/table").write(first)
+    _stream_uploads(spark, base, (sql_over(spark, sf, _SECOND),))
+    table = UploadedTable(spark, f"{base}/table", "id")
+    table.compact()
+    return table.read()
+
+
+_DOUBLED = "SELECT 't' || CAST(s_suppkey % 40 AS STRING) AS id, s_name AS name FROM $supplier$"
+
+
+@query(
+    "t02_many_files",
+    f"WITH d AS ({_DOUBLED.replace('$supplier$', 'supplier')}) SELECT id, name, "
+    "max_files FROM d, (VALUES (1), (1000)) f(max_files)",
+)
+def _t02_many(spark, sf):
+    """Rows of one upload that share a key stay, whether files come one by one or at once."""
+    rows = sql_over(spark, sf, _DOUBLED).repartition(4)
+    out = []
+    for max_files in (1, 1_000):
+        base = scratch_path(spark, "stream-files")
+        old = rows.withColumn("name", F.lit("old"))
+        _stream_uploads(spark, base, (old, rows), max_files)
+        read_back = UploadedTable(spark, f"{base}/table", "id").read()
+        out.append(read_back.withColumn("max_files", F.lit(max_files)))
+    return out[0].unionByName(out[1])
