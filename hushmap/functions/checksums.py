@@ -40,6 +40,7 @@ VOTER_ID_FORMAT = "^[A-Z]{3}[0-9]{7}$"
 GST_FORMAT = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$"
 # The fourth letter names the kind of holder; serial number 0000 is not issued.
 PAN_FORMAT = "^[A-Z]{3}[ABCFGHJKLPT][A-Z](?!0000)[0-9]{4}[A-Z]$"
+# Forms of account and phone numbers.
 BANK_ACCOUNT_FORMAT = r"^\d{9,18}$"
 PHONE_FORMAT = r"^(?:\+|0{0,2})91[\s-]?([789]\d{9}|(\d[ -]?){10}\d)$"
 

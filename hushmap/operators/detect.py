@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,7 @@ from hushmap.rules.values import JAVA_FLAGS
 from hushmap.schemas import SPAN_FIELDS
 
 MAX_UTF8_BYTES = 4
+# Fixed value: form of a printed result.
 RESULT_LINE = r"type: ([A-Z_]+), start: (\d+), end: (\d+), score: ([\d.]+)"
 
 
@@ -184,12 +189,18 @@ def scan_with_model(
 ) -> DataFrame:
     """Hits of a user model.
 
-    ``factory`` is called once per task and returns a function from a batch of texts to one
-    list of (entity, start, end, score) per text; the hit text is cut from the input.
+    ``factory`` is called once per worker process, which serves many tasks, and returns a function
+    from a batch of texts to one list of (entity, start, end, score) per text; the hit text is cut
+    from the input.
     """
+    name = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def detect_all() -> Callable[[list[str]], list[list[tuple]]]:
-        model = factory()
+        # A module of the process, as what is sent with a task does not outlive it.
+        held = sys.modules.setdefault("_hushmap_models", types.ModuleType("_hushmap_models"))
+        if not hasattr(held, name):
+            setattr(held, name, factory())
+        model = getattr(held, name)
 
         def detect(texts: list[str]) -> list[list[tuple]]:
             return [

@@ -24,11 +24,10 @@ from hushmap.rules.documents import (
     DocumentClass,
 )
 from hushmap.rules.values import JAVA_FLAGS
-from hushmap.session import broadcast_if_small, checkpointed, local_table
+from hushmap.session import local_table
 
 # Matched tokens are at most half as long again as the longest keyword, so this many rows
 # stay well below the broadcast limit.
-MAX_BROADCAST_TOKENS = 1_000_000
 
 CLASS_SLOTS = 1024
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -55,18 +54,21 @@ def phones(text: Column) -> Column:
     return F.when(text.rlike(DIGIT_RUN), found).otherwise(F.array().cast("array<string>"))
 
 
-def class_identifiers(text: Column, exclude: Sequence[str] = ()) -> Column:
+def class_identifiers(
+    text: Column, exclude: Sequence[str] = (), everywhere: bool = False
+) -> Column:
     """array<struct<class_position, class, found>> of the regional classes that hit.
 
-    One look for a run of digits stands before the patterns that need one.
+    ``everywhere`` takes in the classes that belong to no region. One look for a run of digits
+    stands before the patterns that need one.
     """
     placed = [
         (place, rule)
         for place, rule in enumerate(DOCUMENT_CLASSES)
-        if rule.has_identifier and rule.name not in exclude
+        if (rule.has_identifier or everywhere and rule.regex) and rule.name not in exclude
     ]
-    digits = [(p, r) for p, r in placed if r.digit_run]
-    others = [(p, r) for p, r in placed if not r.digit_run]
+    digits = [(p, r) for p, r in placed if r.digit_run and r.region is not None]
+    others = [(p, r) for p, r in placed if (p, r) not in digits]
     groups = []
     if digits:
         groups.append(F.when(text.rlike(DIGIT_RUN), _class_hits(text, digits)))
@@ -105,13 +107,15 @@ def extract_identifiers(
     col: str = "text",
     ids: Sequence[str] = ("doc_id",),
     exclude: Sequence[str] = (),
+    everywhere: bool = False,
 ) -> DataFrame:
     """Distinct identifiers per document and class (ids, class_position, class, identifier).
 
     The pattern of one class, NRIC, takes any nine letters or digits; ``exclude`` leaves
-    classes out.
+    classes out. ``everywhere`` takes in the classes without a region, such as UUIDs.
     """
-    return df.select(*ids, F.inline(class_identifiers(F.col(col), exclude))).select(
+    found = class_identifiers(F.col(col), exclude, everywhere)
+    return df.select(*ids, F.inline(found)).select(
         *ids, "class_position", "class", F.explode("found").alias("identifier")
     )
 
@@ -206,7 +210,8 @@ def keyword_scores(
     """Per document and class the number of (token, keyword) pairs that are similar.
 
     Similarity is decided once per distinct token of the corpus. The few tokens that match are
-    joined back to the documents; classes without a pair have no row.
+    joined back to the documents, in the way their measured size allows; classes without a pair
+    have no row.
     """
     classes = local_table(
         df.sparkSession,
@@ -229,8 +234,6 @@ def keyword_scores(
         .groupBy("token", "class_position", "class")
         .agg(F.count(F.lit(1)).alias("pairs"))
     )
-    if not exact:
-        per_token = broadcast_if_small(checkpointed(per_token), MAX_BROADCAST_TOKENS)
     return (
         occurrences.join(per_token, "token")
         .groupBy(*ids, "class_position", "class")

@@ -9,6 +9,7 @@ from hushmap.rules.values import JAVA_FLAGS
 MIN_CLASS_SCORE = 5
 SIMILARITY_PERCENT = 80
 
+# Patterns of e-mail addresses and phone numbers.
 EMAIL_PATTERN = r"[A-Za-z0-9._+\-\']+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE_PATTERN = (
     r"((\+\d{1,2}\s)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}"

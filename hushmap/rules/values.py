@@ -95,6 +95,12 @@ class Ruleset:
     rules: tuple[Rule, ...]
     flags: str = field(default="")
 
+    def __post_init__(self) -> None:
+        # A linear form stands for its pattern as it is, not for the pattern under other flags.
+        if self.flags:
+            plain = tuple(replace(r, search=None) if r.search else r for r in self.rules)
+            object.__setattr__(self, "rules", plain)
+
     @property
     def entities(self) -> list[str]:
         return list(dict.fromkeys(rule.entity for rule in self.rules))
@@ -106,7 +112,8 @@ class Ruleset:
         """Append user rules (entity, regex, score).
 
         Patterns have to be literals of the plan so that each task compiles them once, so a
-        rule DataFrame is read to the driver, up to MAX_USER_RULES rows.
+        rule DataFrame is read to the driver. More than MAX_USER_RULES rows raise an error: a plan
+        does not hold more patterns.
         """
         if isinstance(rules, DataFrame):
             rows = rules.select("entity", "regex", "score").limit(MAX_USER_RULES + 1).collect()

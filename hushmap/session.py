@@ -1,4 +1,4 @@
-"""Session-level helpers: shared storage and size-checked broadcasts."""
+"""Session-level helpers: shared storage, small fixed tables, spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SPREAD_BYTES = 1 << 30
 
 
 def build_session(app: str = "hushmap", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,32 +58,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a written table when it has at most ``max_rows`` rows; otherwise leave the
-    join to shuffle."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def spread(df: DataFrame, *paths: str) -> DataFrame:
     """Let all cores take part in a scan of files too small for one split each.
 
     Pattern scans cost far more than reading, so a few small files would keep most cores idle.
-    Where the files make at least one split per core, nothing is moved.
+    Files of more than SPREAD_BYTES in all, or of at least one split per core, are not moved:
+    smaller splits (spark.sql.files.maxPartitionBytes) serve them better.
     """
     spark = df.sparkSession
     split_bytes = _bytes(spark, "spark.sql.files.maxPartitionBytes", "134217728b")
     cores = spark.sparkContext.defaultParallelism
-    if sum(stored_bytes(spark, path) for path in paths) >= cores * split_bytes:
+    if sum(stored_bytes(spark, path) for path in paths) >= min(cores * split_bytes, SPREAD_BYTES):
         return df
     return df.repartition(cores)
 

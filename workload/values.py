@@ -478,25 +478,10 @@ def _register_class(key: str, classes: list) -> None:
         zones = sql_over(spark, sf, f"{_ZONES} FROM $orders$")
         values = fixture(spark, sf, "corpus").unionByName(shapes).unionByName(zones)
         names = {c.name for c in classes}
-        if all(c.region is None for c in classes):
-            found = F.array(
-                *[
-                    F.struct(
-                        F.lit(c.name).alias("class"),
-                        F.array_distinct(
-                            F.regexp_extract_all("value", F.lit(JAVA_FLAGS + c.regex), F.lit(0))
-                        ).alias("found"),
-                    )
-                    for c in classes
-                ]
-            )
-            return values.select("source", "row_id", F.inline(found)).select(
-                "source", "row_id", "class", F.explode("found").alias("identifier")
-            )
         others = [c.name for c in DOCUMENT_CLASSES if c.name not in names]
-        return extract_identifiers(values, "value", ["source", "row_id"], others).drop(
-            "class_position"
-        )
+        everywhere = all(c.region is None for c in classes)
+        ids = ["source", "row_id"]
+        return extract_identifiers(values, "value", ids, others, everywhere).drop("class_position")
 
     query(key, sql)(run)
 
