@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,7 @@ STOP_WORDS = (
     "shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 
+CSV_DELIMITERS = (",", ";", "\t", "|")
 TOKEN_BREAK = "[ \n]"
 MIN_TOKEN_CHARS = 2
 WORD_OR_PUNCTUATION = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
@@ -180,6 +185,66 @@ def sample_values(
     )
 
 
+def table_cells(
+    files: DataFrame, keys: Sequence[str], name: str = "file_name", col: str = "text"
+) -> DataFrame:
+    """Cells (keys, column_name, row_id, value) of CSV and JSON files, one row of ``files`` each.
+
+    JSON may be an array, lines or one object; members of nested objects are columns of their
+    own, named by their path. Files that do not parse, and formats other than these, have no
+    cells. A file is one value; tables too large for that are read as tables and melted.
+    """
+    fields = [f for f in files.schema.fields if f.name in keys]
+    order = [f.name for f in fields]
+    schema = T.StructType(fields).add("column_name", "string").add("row_id", "long")
+
+    def cells(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                *key, file, body = row
+                found = list(_file_cells(file or "", body or ""))
+                out = pd.DataFrame(found, columns=["column_name", "row_id", "value"])
+                for at, field in enumerate(order):
+                    out.insert(at, field, [key[at]] * len(out))
+                yield out
+
+    source = files.select(*order, F.col(name).alias("_name"), F.col(col).alias("_text"))
+    return source.mapInPandas(cells, schema.add("value", "string"))
+
+
+def _file_cells(name: str, body: str):
+    kind = name.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        head = body.split("\n", 1)[0]
+        delimiter = max(CSV_DELIMITERS, key=head.count)
+        rows = csv.reader(io.StringIO(body), delimiter=delimiter)
+        header = next(rows, [])
+        for at, row in enumerate(rows):
+            yield from ((c, at, v) for c, v in zip(header, row))
+    elif kind == "json":
+        try:
+            whole = json.loads(body)
+            records = whole if isinstance(whole, list) else [whole]
+        except ValueError:
+            try:
+                records = [json.loads(line) for line in body.split("\n") if line.strip()]
+            except ValueError:
+                return
+        for at, record in enumerate(records):
+            yield from ((c, at, v) for c, v in _members(record, ""))
+
+
+def _members(value, path: str):
+    if isinstance(value, dict):
+        for name, inner in value.items():
+            yield from _members(inner, f"{path}.{name}" if path else name)
+    elif isinstance(value, list):
+        for inner in value:
+            yield from _members(inner, path)
+    elif value is not None:
+        yield path, str(value)
+
+
 def truncate_text(df: DataFrame, col: str = "text", n: int = MAX_TEXT_CHARS) -> DataFrame:
     return df.withColumn(col, F.substring(col, 1, n))
 

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from hushmap.functions.scalar import file_extension, human_size
 from hushmap.operators.detect import scan_first, scan_values
-from hushmap.operators.prepare import melt_columns, sample_values, strip_values
+from hushmap.operators.prepare import melt_columns, sample_values, strip_values, table_cells
 from hushmap.operators.reduce import (
+    NOT_FOUND,
     best_hits,
     enrich,
     label_by_count,
     label_rows,
+    register_unknown,
     result_json,
     with_missing,
 )
 from hushmap.rules import COLUMN_RULES, TEXT_RULES, Ruleset
 from hushmap.session import local_table
+from hushmap.sources.files import READ_AS
 from hushmap.sources.results import classifier_run
 
 # First-stage labels whose texts are scanned again by patterns.
@@ -100,6 +103,41 @@ def scan_documents(
     )
 
 
+def scan_files(
+    files: DataFrame,
+    lookup: DataFrame,
+    col: str = "text",
+    keys: Sequence[str] = FILE_COLUMNS,
+    name: str = "file_name",
+) -> tuple[DataFrame, DataFrame]:
+    """(result rows, rejected files) of files of any format, each sent to the scan for its route.
+
+    Texts go to the text scan. Tables are labelled by all entities over all their columns. Files
+    of formats that no reader takes are returned with their keys and ``route`` 'rejected'.
+    """
+    keys = list(keys)
+    extension = file_extension(F.col(name))
+    taken = F.coalesce(
+        *[F.when(extension == kind, F.lit(route)) for kind, route in READ_AS.items()]
+    )
+    routed = files.withColumn("_route", F.when(F.col(name).contains("."), taken))
+    texts = scan_documents(routed.filter("_route = 'text'"), lookup, col, keys)
+    cells = table_cells(routed.filter("_route = 'table'"), keys, name, col)
+    hits = scan_values(cells, "value", COLUMN_RULES, ids=[*keys, "column_name", "row_id"])
+    labels = label_by_count(hits, keys, order=("row_id", "position"))
+    tables = _stored(labels, keys, lookup).select(
+        *keys, "json", "detected_entity", "data_element"
+    )
+    rejected = routed.filter("_route IS NULL").select(*keys, F.lit("rejected").alias("route"))
+    return texts.unionByName(tables), rejected
+
+
+def register_seen(results: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Lookup with the entities of result rows that it did not have, under category UNKNOWN."""
+    seen = results.filter(F.col("detected_entity") != NOT_FOUND)
+    return register_unknown(lookup, seen, "detected_entity")
+
+
 def file_reports(
     files: DataFrame,
     col: str = "text",

@@ -12,6 +12,8 @@ from hushmap.functions.scalar import file_extension, source_name, sub_service_na
 TABLE_FORMATS = ("csv", "json", "xlsx", "xls")
 TEXT_FORMATS = ("txt", "pdf", "docx")
 IMAGE_FORMATS = ("jpg", "jpeg", "png")
+# Formats that the readers here take; other documents and workbooks come as texts and tables.
+READ_AS = {"csv": "table", "json": "table", "txt": "text"}
 
 
 def list_files(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -314,6 +315,82 @@ def _d13(spark, sf):
     return reduce.enrich(rows, load_data_elements(spark), "highest_label")
 
 
+@query(
+    "d13_register",
+    f"WITH {_SHAPES}, {ctes('data_element')}, {_SHAPE_HITS}, "
+    f"{oracle.label_sql('hits', ['kind'], 'row_id, position, nth')} "
+    "SELECT parameter_name, parameter_value, parameter_sensitivity FROM data_element UNION ALL "
+    "SELECT DISTINCT 'UNKNOWN', highest_label, 'UNKNOWN' FROM labels WHERE highest_label <> 'NA' "
+    "AND highest_label NOT IN (SELECT parameter_value FROM data_element)",
+)
+def _d13_register(spark, sf):
+    """Entities of a scan's results that the lookup did not have are added to it."""
+    labels = reduce.label_by_count(_shape_hits(spark, sf), ["kind"])
+    found = labels.select(F.col("highest_label").alias("detected_entity"))
+    return jobs.register_seen(found, load_data_elements(spark))
+
+
+def _mixed_files(spark, sf):
+    """Tables as CSV and JSON texts, plain texts, and files that no reader takes."""
+    rows = fixture(spark, sf, "value_shapes")
+    quoted = F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit('"'))
+    listed = F.sort_array(F.collect_list(F.struct("row_id", "line")))
+    as_csv = F.concat(F.lit("note,value\n,"), F.array_join(F.transform("l", lambda x: x["line"]), "\n,"))
+    as_json = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    tables = [
+        rows.withColumn("line", line).groupBy("kind").agg(listed.alias("l")).select(
+            F.concat("kind", F.lit(ending)).alias("file_name"), body.alias("text")
+        )
+        for line, ending, body in (
+            (quoted, ".csv", as_csv),
+            (F.to_json(F.struct(F.struct("value").alias("inner"))), ".json", as_json),
+        )
+    ]
+    texts = fixture(spark, sf, "corpus").where("source = 'documents'").select(
+        F.concat(F.lit("d"), "row_id", F.lit(".txt")).alias("file_name"), F.col("value").alias("text")
+    )
+    others = texts.select(F.replace("file_name", F.lit(".txt"), F.lit(".exe")).alias("file_name"), "text")
+    return reduce_union([*tables, texts, others])
+
+
+def reduce_union(frames):
+    return functools.reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@query(
+    "d15_table_files",
+    f"WITH {_SHAPES}, {_SHAPE_HITS}, "
+    f"{oracle.label_sql('hits', ['kind'], 'row_id, position, nth')} "
+    "SELECT kind || ending AS file_name, highest_label AS detected_entity, "
+    "CAST(confidence_score AS DOUBLE) AS confidence FROM labels, (VALUES ('.csv'), ('.json')) e(ending)",
+)
+def _d15_tables(spark, sf):
+    found, _ = jobs.scan_files(_mixed_files(spark, sf), load_data_elements(spark), keys=["file_name"])
+    confidence = F.get_json_object("json", "$.confidence_score").cast("double")
+    return found.where("NOT file_name LIKE '%.txt'").select(
+        "file_name", "detected_entity", confidence.alias("confidence")
+    )
+
+
+@query(
+    "d19_dispatch",
+    f"WITH {_CORPUS}, docs AS (SELECT 'd' || row_id || '.txt' AS file_name, value FROM corpus "
+    "WHERE source = 'documents'), "
+    f"hits AS ({oracle.text_hits('docs', ['file_name'])}), "
+    f"{oracle.label_sql('hits', ['file_name'], 'position, nth')} "
+    "SELECT file_name, highest_label AS outcome FROM labels UNION ALL "
+    "SELECT replace(file_name, '.txt', '.exe'), 'rejected' FROM docs",
+)
+def _d19_dispatch(spark, sf):
+    """Texts are scanned as texts; what no reader takes is returned as rejected."""
+    found, rejected = jobs.scan_files(
+        _mixed_files(spark, sf), load_data_elements(spark), keys=["file_name"]
+    )
+    return found.where("file_name LIKE '%.txt'").select(
+        "file_name", F.col("detected_entity").alias("outcome")
+    ).unionByName(rejected.select("file_name", F.col("route").alias("outcome")))
+
+
 def _json_sql(entities: str) -> str:
     """Stored JSON of a label, from CTE columns."""
     return (
