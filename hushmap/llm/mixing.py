@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushmap.llm.shared import count_words, running_totals, stored
+from hushmap.llm.shared import count_words, running_totals, stored, unused
 
 #: One expected copy in the whole numbers that are summed.
 SHIFT = 24
@@ -125,11 +125,12 @@ def emit(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     Keys are taken to be unique; of rows with a repeated or null key, ``mix`` has as many lines,
     and each row is emitted as often as they say on average, rounded down.
     """
-    copies = mixed.groupBy(F.col(key).alias("_key")).agg(
-        F.floor(F.avg("copies")).cast("int").alias("_copies")
-    ).where(F.col("_copies") > 0)
+    own, n = unused(docs, "_key"), unused(docs, "_copies")
+    copies = mixed.groupBy(F.col(key).alias(own)).agg(
+        F.floor(F.avg("copies")).cast("int").alias(n)
+    )
     return (
-        docs.join(copies, F.col(key).eqNullSafe(F.col("_key")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+        docs.join(copies.where(F.col(n) > 0), F.col(key).eqNullSafe(F.col(own)))
+        .withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n))))
         .select(*docs.columns)
     )

@@ -14,9 +14,17 @@ from hushmap.llm.shared import BLANK, LOWER, Tokenized, components, mixed, store
 N = 5
 #: A link needs this many hundredths of the union in common.
 PERCENT = 75
-#: Keys of a set and least values in a key. Two sets that just reach the threshold have no key in
-#: common with a probability of (1 - 0.75 ** 3) ** 48, under 1e-11.
-KEYS, KEY_VALUES = 48, 3
+#: Keys of a set and least values in a key. Two sets that just reach the threshold share each key
+#: with probability 0.75 ** 4; that they share fewer than 2 of 60 has a probability under 1e-8, and
+#: any other way that links them serves as well.
+KEYS, KEY_VALUES, LEAST_KEYS = 60, 4, 2
+#: Mean number of elements in a set's sample: those whose hash, as a share of all, is below
+#: SAMPLE / size. Of two linked sets the larger holds at most 4/3 as many elements, so the share
+#: 0.75 * SAMPLE / size of one set is sampled in the other, too: about 72 elements that both
+#: samples show. Of these at least 3/4 are shared; that under 4/10 are has a probability under 1e-8.
+SAMPLE, SAMPLE_PERCENT = 96, 40
+#: Keys of documents are broadcast up to this many rows (8 bytes each).
+MOST_BROADCAST = 1_000_000
 
 _random = np.random.default_rng(415)
 _TIMES = _random.integers(1, 1 << 62, KEYS * KEY_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,13 +105,23 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def sample_of(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sampled elements of a sorted set, how many of them, the first, its linked sets sample)."""
+    if len(values) <= SAMPLE:
+        return values, len(values)
+    share = SAMPLE / len(values)
+    n = int(np.searchsorted(values, np.uint64(int(share * 2.0**64))))
+    return values[:n], int(np.searchsorted(values[:n], np.uint64(int(0.75 * share * 2.0**64))))
+
+
 def _signature(values: np.ndarray) -> tuple:
     if not len(values):
-        return 0, 0, 0, None
+        return 0, 0, 0, None, 0
     with np.errstate(over="ignore"):
         sums = (values.sum(dtype=np.uint64), mixed(values ^ np.uint64(0xA5A5)).sum(dtype=np.uint64))
     a, b = _signed(np.array(sums, np.uint64)).tolist()
-    return len(values), a, b, _signed(set_keys(values))
+    part, asked = sample_of(values)
+    return len(values), a, b, _signed(part), asked
 
 
 def similar_documents(
@@ -118,32 +136,31 @@ def similar_documents(
     counts. Extra columns are not read. An empty table gives an empty result.
 
     1. Sets that are equal are one class, represented by its least key.
-    2. Representatives fall into groups: each set's keys (minima under random orders) lead it to
-       the least representative with a key in common; the leader with most keys in common is
-       compared exactly, and linked representatives form a group.
-    3. The token-group matrix holds each group's token union, for the groups of sets that share
-       a key with a set of another group. A set can only link into other groups if at least
-       ``percent`` hundredths of its tokens are in their unions; all other sets are done.
-    4. For the rest, the bound is taken per set and group with a key in common, and only
-       qualifying groups are opened: their members that share a key are compared exactly.
+    2. A sample of each set, by hash, shows whether enough of its elements are in any other set.
+       Sets for which this fails, the great majority, can have no link.
+    3. The rest falls into groups: each set's keys (minima under random orders) lead it to the
+       least set with a key in common; the one with most keys in common is compared exactly, and
+       linked sets form a group.
+    4. The token-group matrix holds the groups' token unions, of samples first: a set can only
+       link into another group if enough of its sample is in the unions of other groups.
+    5. What is left asks single groups. Of two linked sets the smaller has at least
+       2 * percent / (100 + percent) of its tokens in the other, so it asks the groups with keys
+       in common, the bound is taken with the whole token union, and only qualifying groups are
+       opened: their members that share keys are compared exactly.
 
     No step gathers a group: equal sets, leaders and unions are aggregates, and pairs are only
     made inside groups whose unions pass the bound.
     """
     if percent < 75:
         raise ValueError("percent must be 75 or more")
-    texts = (
-        docs.where(F.col(key).isNotNull())
-        .select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    )
-    signed = stored(
-        _over_texts(texts, "id long, n long, a long, b long, keys array<bigint>", _signature)
+    texts = docs.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")
     )
-    if signed.select("id").distinct().count() < signed.count():
+    schema = "id long, n long, a long, b long, sample array<bigint>, asked long"
+    signed = stored(_over_texts(texts, schema, _signature))
+    if not signed.groupBy("id").count().where("count > 1").isEmpty():
         texts = texts.groupBy("id").agg(F.min("t").alias("t"))
-        signed = stored(
-            _over_texts(texts, "id long, n long, a long, b long, keys array<bigint>", _signature)
-        )
+        signed = stored(_over_texts(texts, schema, _signature))
     # Equal sets: two independent 64-bit sums over the elements and the size agree.
     classes = stored(
         signed.where("n > 0")
@@ -151,45 +168,44 @@ def similar_documents(
         .agg(F.min("id").alias("rep"))
         .withColumnsRenamed({"n": "n2", "a": "a2", "b": "b2"})
     )
+    equal = (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+    first = F.col("id") == F.col("rep")
     member = stored(
         signed.where("n > 0")
-        .join(classes, (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
-        .select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys"))
+        .join(classes, equal)
+        .select("id", "rep", "asked", F.when(first, F.col("sample")).alias("sample"))
+    )
+    samples = member.where(first).select("id", F.col("id").alias("g"), "asked", "sample")
+    able = _seen_elsewhere(samples)
+    wide = _over_texts(
+        _only(texts, able),
+        "id long, n long, s array<bigint>, keys array<bigint>",
+        lambda values: (len(values), _signed(values), _signed(set_keys(values))),
     )
-    spots = member.where("id = rep").select("id", "n", F.explode("keys").alias("k"))
-    # Sizes of linked sets differ by no more than the threshold allows, which splits no link.
+    sets = stored(wide)
+    spots = sets.select("id", F.explode("keys").alias("k"))
     leaders = stored(
         spots.groupBy("k")
         .agg(F.min("id").alias("leader"), F.max("id").alias("other"))
         .where("leader < other")
         .select(F.col("k").alias("k2"), "leader")
     )
-    shared = stored(spots.join(leaders, F.col("k") == F.col("k2")).select("id", "n", "k", "leader"))
-    best = (
-        shared.where("leader < id")
+    tried = stored(
+        spots.join(leaders, F.col("k") == F.col("k2"), "left")
+        .where("leader < id")
         .groupBy("id", "leader")
         .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") >= LEAST_KEYS)
         .groupBy("id")
-        .agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+        .agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("with"))
     )
-    tried = stored(best)
-    wanted = stored(shared.select("id").distinct())
-    sets = stored(
-        _over_texts(
-            texts.join(wanted.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2")).select("id", "t"),
-            "id long, s array<bigint>",
-            lambda values: (_signed(values),),
-        )
-    )
-    grouped = stored(_linked(tried.select("id", F.col("leader").alias("with")), sets, percent))
-    links = grouped
-    groups = stored(components(grouped.select(F.col("id").alias("a"), F.col("with").alias("b"))))
-    crossing = _crossing(shared, groups, sets, percent)
+    links = stored(_linked(tried, sets, percent))
+    groups = stored(components(links, "id", "with").withColumnsRenamed({"id": "id2"}))
+    crossing = _crossing(samples, groups, sets, able, percent)
     if crossing is not None:
         links = links.unionByName(crossing)
-    edges = links.select(F.col("id").alias("a"), F.col("with").alias("b"))
-    joined = stored(components(edges).withColumnsRenamed({"id": "id2"}))
-    placed = member.select("id", "rep").join(joined, F.col("rep") == F.col("id2"), "left")
+        groups = stored(components(links, "id", "with").withColumnsRenamed({"id": "id2"}))
+    placed = member.select("id", "rep").join(groups, F.col("rep") == F.col("id2"), "left")
     classed = placed.select(
         F.col("id").alias("id3"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -200,79 +216,108 @@ def similar_documents(
     )
 
 
-def _crossing(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the given ids, which are broadcast if they are few and else shuffled."""
+    named = ids.select(F.col("id").alias("id2"))
+    few = ids.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(named) if few else named, F.col("id") == F.col("id2"), "left_semi")
+
+
+def _seen_elsewhere(samples: DataFrame) -> DataFrame:
+    """Ids of sets with enough of their sample in sets of other groups ``g``.
+
+    The join keeps all elements, so that its size does not depend on how many are shared.
+    """
+    tokens = samples.select("id", "g", "asked", F.posexplode("sample").alias("at", "x"))
+    common = stored(
+        tokens.groupBy("x")
+        .agg(F.min("g").alias("low"), F.max("g").alias("high"))
+        .where("low < high")
+        .select(F.col("x").alias("x2"))
+    )
+    own = tokens.where("at < asked").select("id", "asked", "x")
+    return stored(
+        own.join(common, F.col("x") == F.col("x2"), "left")
+        .groupBy("id", "asked")
+        .agg(F.count("x2").alias("c"))
+        .where(100 * F.col("c") >= SAMPLE_PERCENT * F.col("asked"))
+        .select("id")
+    )
+
+
+def _crossing(
+    samples: DataFrame, groups: DataFrame, sets: DataFrame, able: DataFrame, percent: int
+) -> DataFrame | None:
     """Links between sets of different groups, found through the token-group matrix."""
-    grouped = shared.join(groups.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2"), "left")
-    spots = stored(
-        grouped.select("id", "n", "k", F.coalesce("component", "id").alias("g"))
+    grouped = stored(
+        _only(samples.select("id", "asked", "sample"), able)
+        .join(groups, F.col("id") == F.col("id2"), "left")
+        .select("id", F.coalesce("component", "id").alias("g"), "asked", "sample")
+    )
+    left = _seen_elsewhere(grouped)
+    rest = stored(
+        _only(sets, left)
+        .join(grouped.select(F.col("id").alias("id3"), "g"), F.col("id") == F.col("id3"))
+        .select("id", "n", "g", "s", "keys")
     )
+    spots = rest.select("id", "n", "g", F.explode("keys").alias("k"))
     mixed_keys = stored(
         spots.groupBy("k")
-        .agg(F.min("g").alias("low"), F.max("g").alias("high"))
+        .agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max("n").alias("most"))
         .where("low < high")
-        .select(F.col("k").alias("k2"))
+        .select(F.col("k").alias("k2"), "most")
     )
-    open_spots = stored(spots.join(mixed_keys, F.col("k") == F.col("k2")).select("id", "n", "k", "g"))
-    ids = stored(open_spots.groupBy("id").agg(F.min("n").alias("n"), F.min("g").alias("g")))
-    if ids.isEmpty():
-        return None
-    # The token-group matrix, reduced to what the first bound needs: whether a token is in more
-    # than one group.
-    tokens = stored(
-        sets.join(ids.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2")).select(
-            "id", "n", "g", F.explode("s").alias("x")
-        )
+    # A set asks if it is the smaller of two in at least LEAST_KEYS keys.
+    open_spots = stored(
+        spots.join(mixed_keys, F.col("k") == F.col("k2"), "left")
+        .where("k2 IS NOT NULL")
+        .select("id", "n", "g", "k", "most")
     )
-    common = stored(
-        tokens.groupBy("x")
-        .agg(F.min("g").alias("low"), F.max("g").alias("high"))
-        .where("low < high")
-        .select(F.col("x").alias("x2"))
+    members = open_spots.groupBy(F.col("k").alias("k2"), F.col("g").alias("h")).agg(
+        F.max("n").alias("largest")
     )
-    able = stored(
-        tokens.join(common, F.col("x") == F.col("x2"))
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-        .where(100 * F.col("c") >= percent * F.col("n"))
-        .select(F.col("id").alias("id2"))
-    )
-    left = stored(open_spots.join(able, F.col("id") == F.col("id2")).select("id", "n", "k", "g"))
-    # Bound of each set against each group it shares a key with; a link shows from both sides,
-    # so the set of the later group asks.
-    members = left.select(F.col("k").alias("k2"), F.col("g").alias("h")).distinct()
     asks = stored(
-        left.join(members, (F.col("k") == F.col("k2")) & (F.col("h") < F.col("g")))
+        open_spots.where("most >= n")
+        .join(
+            members,
+            (F.col("k") == F.col("k2")) & (F.col("h") != F.col("g")) & (F.col("largest") >= F.col("n")),
+        )
+        .groupBy("id", "n", "h")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") >= LEAST_KEYS)
         .select("id", "n", "h")
-        .distinct()
     )
     if asks.isEmpty():
         return None
-    union = stored(
-        tokens.select(F.col("g").alias("g2"), F.col("x").alias("x2")).distinct()
-    )
-    wide = stored(
-        asks.join(sets.withColumnRenamed("id", "id2"), F.col("id") == F.col("id2")).select(
-            "id", "n", "h", F.explode("s").alias("x")
-        )
-    )
+    tokens = rest.select("id", "g", F.explode("s").alias("x"))
+    union = stored(tokens.select(F.col("g").alias("g2"), F.col("x").alias("x2")).distinct())
+    wide = asks.join(
+        rest.select(F.col("id").alias("id2"), "s"), F.col("id") == F.col("id2")
+    ).select("id", "n", "h", F.explode("s").alias("x"))
+    # Of two linked sets the smaller asks, and has this share of its tokens in the other.
+    enough = (100 + percent) * F.col("c") >= 2 * percent * F.col("n")
     passed = stored(
-        wide.join(union, (F.col("h") == F.col("g2")) & (F.col("x") == F.col("x2")))
-        .groupBy("id", "h")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-        .where(100 * F.col("c") >= percent * F.col("n"))
+        wide.join(union, (F.col("h") == F.col("g2")) & (F.col("x") == F.col("x2")), "left")
+        .groupBy("id", "n", "h")
+        .agg(F.count("x2").alias("c"))
+        .where(enough)
         .select(F.col("id").alias("id2"), F.col("h").alias("h2"))
     )
     asked = stored(
-        left.join(passed, F.col("id") == F.col("id2")).select("id", "n", "k", F.col("h2").alias("h"))
+        open_spots.join(passed, F.col("id") == F.col("id2")).select(
+            "id", "n", "k", F.col("h2").alias("h")
+        )
     )
-    others = left.select(
+    others = open_spots.select(
         F.col("id").alias("with"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("g").alias("g2")
     )
     pairs = stored(
         asked.join(others, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("g2")))
-        .where((100 * F.col("n2") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n2")))
+        .where((F.col("n2") >= F.col("n")) & (100 * F.col("n") >= percent * F.col("n2")))
+        .groupBy("id", "with")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") >= LEAST_KEYS)
         .select("id", "with")
-        .distinct()
     )
     return stored(_linked(pairs, sets, percent))
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushmap.llm.shared import count_words, words
+from hushmap.llm.shared import count_words, unused, words
 
 #: Words in a window whose repetition counts.
 WINDOW = 8
@@ -63,7 +63,8 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     windows are sorted, so the work stays near-linear in the length of a text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    w, h, p, at = F.col("_words"), F.col("_windows"), F.col("_pairs"), F.col("_places")
+    names = [unused(df, n) for n in ("_words", "_windows", "_pairs", "_places", "_lines")]
+    w, h, p, at, each = map(F.col, names)
     windows = F.when(
         F.size(w) >= WINDOW,
         F.transform(
@@ -91,23 +92,23 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     )
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
-        df.withColumn("_words", words(F.col(text)))
-        .withColumn("_windows", windows)
-        .withColumn("_pairs", pairs)
-        .withColumn("_places", places)
-        .withColumn("_lines", lines)
+        df.withColumn(names[0], words(F.col(text)))
+        .withColumn(names[1], windows)
+        .withColumn(names[2], pairs)
+        .withColumn(names[3], places)
+        .withColumn(names[4], lines)
         .withColumns(
             {
                 "n_words": F.size(w).cast("long"),
                 "word_chars": F.length(F.array_join(w, "")).cast("long"),
                 "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
                 "n_dup_lines": (
-                    F.size("_lines") - F.size(F.array_distinct("_lines"))
+                    F.size(each) - F.size(F.array_distinct(each))
                 ).cast("long"),
                 "n_repeat_words": covered.cast("long"),
             }
         )
-        .drop("_words", "_windows", "_pairs", "_places", "_lines")
+        .drop(*names)
         .withColumn(
             "base_failed",
             (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),

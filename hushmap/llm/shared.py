@@ -27,6 +27,14 @@ def count_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read from there.
 

@@ -39,10 +39,11 @@ def labelled_sample(
     ]
     # At most 2 * per_class rows, so their size is bounded.
     rows = (
-        docs.join(F.broadcast(taken[0].unionByName(taken[1])), F.col(key) == F.col("_key"))
-        .where(F.length(text) <= max_chars)
+        docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+        .join(F.broadcast(taken[0].unionByName(taken[1])), F.col("_doc") == F.col("_key"))
+        .where(F.length("_text") <= max_chars)
         .groupBy("_key")
-        .agg(F.min(text).alias("t"), F.min("_label").alias("y"))
+        .agg(F.min("_text").alias("t"), F.min("_label").alias("y"))
         .collect()
     )
     return [(r["t"], r["y"]) for r in sorted(rows, key=lambda r: r["_key"])]
