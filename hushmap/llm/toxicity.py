@@ -267,17 +267,19 @@ def _chosen(hashes: np.ndarray, first: np.ndarray, labels: np.ndarray):
     return keys[at], odds[at] * np.sqrt(np.minimum(seen[at], 25) / 25)
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Model | None:
+def train(sample: list[tuple[str, int]], steps: int = 200, seed: int = 5) -> Model | None:
     """Fit the network to windows, then the document's score to the highest window.
 
     A label says that a document has a toxic place, not where. Windows of clean documents are
     clean. A toxic document stands for its most telling window: first by the log-odds of the
     known groups in it, later by the network itself. A fifth of the sample only sets the scale
-    of the score. None if a class is missing.
+    of the score. There are about ``steps`` steps of 256 windows, at least 8 passes and at most
+    60. None if a class is missing.
     """
     labels = np.array([y for _, y in sample], np.int64)
     if not len(labels) or labels.min() == labels.max():
         return None
+    epochs = int(np.clip(steps * 256 // (labels.sum() + 5 * (labels == 0).sum()), 8, 60))
     rng = np.random.default_rng(seed)
     parts, firsts, at = [], [np.zeros(1, np.int64)], 0
     for _, _, data, offsets in text_chunks(pa.array([t for t, _ in sample], pa.string())):
@@ -300,9 +302,9 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Mode
     fit = rng.random(len(labels)) < 0.8
     fit = fit if len(set(labels[fit].tolist())) == 2 else np.ones(len(labels), bool)
     word_worth = np.concatenate([worth[numbers].max(1), np.zeros(WINDOW, np.float32)])
-    steps = np.arange(WINDOW)
+    ahead = np.arange(WINDOW)
     window_worth = np.where(
-        starts[:, None] + steps < ends[:, None], word_worth[starts[:, None] + steps], -9
+        starts[:, None] + ahead < ends[:, None], word_worth[starts[:, None] + ahead], -9
     ).max(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in values.items()}
     count = 0
@@ -317,7 +319,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Mode
         rng.shuffle(use)
         for low in range(0, len(use), 256):
             rows = use[low : low + 256]
-            where = starts[rows][:, None] + steps
+            where = starts[rows][:, None] + ahead
             on = where < ends[rows][:, None]
             ids = np.where(on[:, :, None], numbers[np.minimum(where, len(numbers) - 1)], 0)
             y = labels[owner[rows]].astype(np.float32)
