@@ -125,22 +125,27 @@ def scan_token_files(
     )
     # The open document of a block begins behind the last separator of the blocks before it: the
     # sum of how far each block with separators moves that place.
-    moved = _last_places(found.select("file", "offset", "n", F.element_at("ends", -1).alias("last")))
+    moved = _last_places(found.select("file", "offset", "n", F.try_element_at("ends", F.lit(-1)).alias("last")))
     placed = found.join(moved, ["file", "offset"])
-    ends = F.concat(F.array(F.col("_open")), F.transform("ends", lambda e: e + 1))
-    inner = F.transform(
-        F.col("ends"),
-        lambda e, i: F.struct(
-            (F.col("_done") + i).alias("ordinal"),
-            F.get(ends, i).alias("start"),
-            (e - F.get(ends, i)).alias("n_tokens"),
+    # Each document begins behind the end of the one before it, the first of a block at _open.
+    begins = F.concat(
+        F.array(F.col("_open")),
+        F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e: e + 1),
+    )
+    closed = (
+        placed.where("n > 0")
+        .select("file", "_done", F.posexplode(F.arrays_zip(begins.alias("start"), F.col("ends").alias("stop"))).alias("i", "d"))
+        .select(
+            "file",
+            (F.col("_done") + F.col("i")).alias("ordinal"),
+            F.col("d.start").alias("start"),
+            (F.col("d.stop") - F.col("d.start")).alias("n_tokens"),
             F.lit(True).alias("ended"),
-        ),
+        )
     )
-    closed = placed.select("file", F.explode(inner).alias("d")).select("file", "d.*")
     last = placed.groupBy("file").agg(
         F.sum("n").alias("ordinal"),
-        F.max(F.coalesce(F.element_at("ends", -1) + 1, F.lit(0))).alias("start"),
+        F.max(F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.lit(0))).alias("start"),
         F.max("tokens").alias("tokens"),
     )
     rest = last.where(F.col("start") < F.col("tokens")).select(
@@ -150,7 +155,7 @@ def scan_token_files(
         (F.col("tokens") - F.col("start")).alias("n_tokens"),
         F.lit(False).alias("ended"),
     )
-    return closed.select("file", "ordinal", "start", "n_tokens", "ended").unionByName(rest)
+    return closed.unionByName(rest)
 
 
 def _last_places(blocks: DataFrame) -> DataFrame:
