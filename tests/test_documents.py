@@ -3,7 +3,9 @@
 import re
 from difflib import SequenceMatcher
 
-from hushmap.operators import documents
+from pyspark.sql import functions as F
+
+from hushmap.operators import detect, documents, prepare
 from hushmap.rules import DOCUMENT_CLASSES
 from hushmap.rules.documents import EMAIL_PATTERN, PHONE_PATTERN
 from workload.scans import _papers
@@ -89,3 +91,44 @@ def test_reports_equal_a_plain_loop(spark, sf):
             set(report.phone_numbers),
         ) == plain_report(row.text)
         assert (report.faces, report.addresses) == (0, [])
+
+
+def test_models_load_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: [[("X", 0, 1, 0.5)] for _ in texts]
+
+    df = spark.range(400).select(F.col("id").alias("row_id"), F.lit("abc").alias("text")).repartition(40)
+    for _ in range(2):
+        assert detect.scan_with_model(df, "text", factory).count() == 400
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) <= 16
+
+
+def test_cells_of_table_files(spark):
+    files = spark.createDataFrame(
+        [
+            ("a.csv", 'x;y\n1;"two; with\nbreak"\n3;'),
+            ("b.json", '[{"x": {"y": [1, null, "z"]}}, {"w": true}]'),
+            ("c.JSON", '{"x": 1}\n\n{"x": 2}'),
+            ("d.json", "{broken"),
+            ("e.csv", ""),
+            ("f.csv", None),
+            ("g.exe", "x,y\n1,2"),
+        ],
+        "file_name string, text string",
+    )
+    got = prepare.table_cells(files, ["file_name"]).collect()
+    assert sorted(map(tuple, got)) == sorted(
+        [
+            ("a.csv", "x", 0, "1"), ("a.csv", "y", 0, "two; with\nbreak"),
+            ("a.csv", "x", 1, "3"), ("a.csv", "y", 1, ""),
+            ("b.json", "x.y", 0, "1"), ("b.json", "x.y", 0, "z"), ("b.json", "w", 1, "True"),
+            ("c.JSON", "x", 0, "1"), ("c.JSON", "x", 1, "2"),
+        ]
+    )
