@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushmap.llm import length_buckets, mixing, ngram_jaccard, quality_crf, quality_rules
-from hushmap.llm.shared import count_words, stored
+from hushmap.llm.shared import count_words, if_few, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,10 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id."""
     groups = ngram_jaccard.similar_documents(docs)
-    kept = groups.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    others = stored(
+        groups.where("component_id <> doc_id").select(F.col("doc_id").alias("other_id"))
+    )
+    return docs.join(if_few(others), F.col("doc_id") == F.col("other_id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushmap.llm.shared import count_words, running_totals, stored, unused
+from hushmap.llm.shared import count_words, if_few, running_totals, stored, unused
 
 #: One expected copy in the whole numbers that are summed.
 SHIFT = 24
@@ -129,8 +129,9 @@ def emit(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     copies = mixed.groupBy(F.col(key).alias(own)).agg(
         F.floor(F.avg("copies")).cast("int").alias(n)
     )
+    taken = if_few(stored(copies.where(F.col(n) > 0)))
     return (
-        docs.join(copies.where(F.col(n) > 0), F.col(key).eqNullSafe(F.col(own)))
+        docs.join(taken, F.col(key).eqNullSafe(F.col(own)))
         .withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n))))
         .select(*docs.columns)
     )

@@ -9,7 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushmap.llm.shared import BLANK, LOWER, Tokenized, components, mixed, stored, text_chunks
+from hushmap.llm.shared import (
+    BLANK,
+    LOWER,
+    Tokenized,
+    components,
+    if_few,
+    mixed,
+    stored,
+    text_chunks,
+)
 
 N = 5
 #: A link needs this many hundredths of the union in common.
@@ -23,8 +32,6 @@ KEYS, KEY_VALUES, LEAST_KEYS = 60, 4, 2
 #: 0.75 * SAMPLE / size of one set is sampled in the other, too: about 72 elements that both
 #: samples show. Of these at least 3/4 are shared; that under 4/10 are has a probability under 1e-8.
 SAMPLE, SAMPLE_PERCENT = 96, 40
-#: Keys of documents are broadcast up to this many rows (8 bytes each).
-MOST_BROADCAST = 1_000_000
 
 _random = np.random.default_rng(415)
 _TIMES = _random.integers(1, 1 << 62, KEYS * KEY_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,10 +224,9 @@ def similar_documents(
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the given ids, which are broadcast if they are few and else shuffled."""
-    named = ids.select(F.col("id").alias("id2"))
-    few = ids.count() <= MOST_BROADCAST
-    return rows.join(F.broadcast(named) if few else named, F.col("id") == F.col("id2"), "left_semi")
+    """Rows of the given ids."""
+    named = if_few(ids.select(F.col("id").alias("id2")))
+    return rows.join(named, F.col("id") == F.col("id2"), "left_semi")
 
 
 def _seen_elsewhere(samples: DataFrame) -> DataFrame:

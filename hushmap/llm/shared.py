@@ -16,6 +16,8 @@ from hushmap.session import scratch_path
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that vectorised passes take at once.
 CHUNK_BYTES = 1 << 20
+#: Rows of numbers that are broadcast to a join; more are shuffled.
+MOST_BROADCAST = 500_000
 
 
 def words(text: Column) -> Column:
@@ -46,6 +48,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A stored table of a few narrow columns, to be broadcast if it has at most ``most`` rows;
+    otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def running_totals(
     df: DataFrame,
     value: str,
