@@ -32,6 +32,8 @@ KEYS, KEY_VALUES, LEAST_KEYS = 60, 4, 2
 #: 0.75 * SAMPLE / size of one set is sampled in the other, too: about 72 elements that both
 #: samples show. Of these at least 3/4 are shared; that under 4/10 are has a probability under 1e-8.
 SAMPLE, SAMPLE_PERCENT = 96, 40
+#: The same for the smaller of two linked sets, of which 6/7 at least are shared.
+SMALLER_PERCENT = 60
 
 _random = np.random.default_rng(415)
 _TIMES = _random.integers(1, 1 << 62, KEYS * KEY_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,8 +154,8 @@ def similar_documents(
        link into another group if enough of its sample is in the unions of other groups.
     5. What is left asks single groups. Of two linked sets the smaller has at least
        2 * percent / (100 + percent) of its tokens in the other, so it asks the groups with keys
-       in common, the bound is taken with the whole token union, and only qualifying groups are
-       opened: their members that share keys are compared exactly.
+       in common, the bound is taken with its sample and the group's union, and only qualifying
+       groups are opened: their members that share keys are compared exactly.
 
     No step gathers a group: equal sets, leaders and unions are aggregates, and pairs are only
     made inside groups whose unions pass the bound.
@@ -247,7 +249,7 @@ def _seen_elsewhere(samples: DataFrame) -> DataFrame:
         .groupBy("id", "asked")
         .agg(F.count("x2").alias("c"))
         .where(100 * F.col("c") >= SAMPLE_PERCENT * F.col("asked"))
-        .select("id")
+        .select("id", (100 * F.col("c") >= SMALLER_PERCENT * F.col("asked")).alias("may_ask"))
     )
 
 
@@ -262,11 +264,12 @@ def _crossing(
     )
     left = _seen_elsewhere(grouped)
     rest = stored(
-        _only(sets, left)
-        .join(grouped.select(F.col("id").alias("id3"), "g"), F.col("id") == F.col("id3"))
-        .select("id", "n", "g", "s", "keys")
+        _only(sets.select("id", "n", "keys"), left)
+        .join(grouped.withColumnRenamed("id", "id3"), F.col("id") == F.col("id3"))
+        .join(left.select(F.col("id").alias("id4"), "may_ask"), F.col("id") == F.col("id4"))
+        .select("id", "n", "g", "asked", "sample", "keys", "may_ask")
     )
-    spots = rest.select("id", "n", "g", F.explode("keys").alias("k"))
+    spots = rest.select("id", "n", "g", "may_ask", F.explode("keys").alias("k"))
     mixed_keys = stored(
         spots.groupBy("k")
         .agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max("n").alias("most"))
@@ -277,13 +280,13 @@ def _crossing(
     open_spots = stored(
         spots.join(mixed_keys, F.col("k") == F.col("k2"), "left")
         .where("k2 IS NOT NULL")
-        .select("id", "n", "g", "k", "most")
+        .select("id", "n", "g", "k", "may_ask", "most")
     )
     members = open_spots.groupBy(F.col("k").alias("k2"), F.col("g").alias("h")).agg(
         F.max("n").alias("largest")
     )
     asks = stored(
-        open_spots.where("most >= n")
+        open_spots.where("may_ask AND most >= n")
         .join(
             members,
             (F.col("k") == F.col("k2")) & (F.col("h") != F.col("g")) & (F.col("largest") >= F.col("n")),
@@ -295,18 +298,16 @@ def _crossing(
     )
     if asks.isEmpty():
         return None
-    tokens = rest.select("id", "g", F.explode("s").alias("x"))
+    tokens = rest.select("g", F.explode("sample").alias("x"))
     union = stored(tokens.select(F.col("g").alias("g2"), F.col("x").alias("x2")).distinct())
     wide = asks.join(
-        rest.select(F.col("id").alias("id2"), "s"), F.col("id") == F.col("id2")
-    ).select("id", "n", "h", F.explode("s").alias("x"))
-    # Of two linked sets the smaller asks, and has this share of its tokens in the other.
-    enough = (100 + percent) * F.col("c") >= 2 * percent * F.col("n")
+        rest.select(F.col("id").alias("id2"), "asked", "sample"), F.col("id") == F.col("id2")
+    ).select("id", "h", "asked", F.explode(F.slice("sample", F.lit(1), F.col("asked").cast("int"))).alias("x"))
     passed = stored(
         wide.join(union, (F.col("h") == F.col("g2")) & (F.col("x") == F.col("x2")), "left")
-        .groupBy("id", "n", "h")
+        .groupBy("id", "h", "asked")
         .agg(F.count("x2").alias("c"))
-        .where(enough)
+        .where(100 * F.col("c") >= SMALLER_PERCENT * F.col("asked"))
         .select(F.col("id").alias("id2"), F.col("h").alias("h2"))
     )
     asked = stored(
