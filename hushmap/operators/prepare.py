@@ -8,7 +8,7 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,18 +198,23 @@ def table_cells(
     order = [f.name for f in fields]
     schema = T.StructType(fields).add("column_name", "string").add("row_id", "long")
 
-    def cells(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                *key, file, body = row
-                found = list(_file_cells(file or "", body or ""))
-                out = pd.DataFrame(found, columns=["column_name", "row_id", "value"])
-                for at, field in enumerate(order):
-                    out.insert(at, field, [key[at]] * len(out))
-                yield out
+    def cells(batches):
+        for batch in batches:
+            *held, names, texts = batch.columns
+            found = [
+                (at, *cell)
+                for at, (file, body) in enumerate(zip(names.to_pylist(), texts.to_pylist()))
+                for cell in _file_cells(file or "", body or "")
+            ]
+            at, column, row, value = zip(*found) if found else [()] * 4
+            made = [pa.array(column, pa.string()), pa.array(row, pa.int64()), pa.array(value, pa.string())]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(rows) for c in held), *made], [*order, "column_name", "row_id", "value"]
+            )
 
     source = files.select(*order, F.col(name).alias("_name"), F.col(col).alias("_text"))
-    return source.mapInPandas(cells, schema.add("value", "string"))
+    return source.mapInArrow(cells, schema.add("value", "string"))
 
 
 def _file_cells(name: str, body: str):
