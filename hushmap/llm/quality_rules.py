@@ -90,6 +90,11 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0),
         lambda total, x: total + x,
     )
+    # The second condition always holds. The optimizer does not move filters below a column like
+    # this, where it would copy the nested expressions of the counts many times over.
+    failed = (
+        (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    ) & (F.monotonically_increasing_id() >= 0)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
         df.withColumn(names[0], words(F.col(text)))
@@ -109,10 +114,7 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
             }
         )
         .drop(*names)
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        )
+        .withColumn("base_failed", failed)
     )
 
 
@@ -175,7 +177,4 @@ def quality_rules(
     order = ordered(measure(df, rules, text, sample_rows))
     base = Rule("base", lambda t: F.col("base_failed"))
     judged = cascade(base_counts(df, text), [base, *order], text)
-    # The second condition always holds. The optimizer does not move filters on such a column below
-    # the counts, where it would copy their nested expressions into the filter many times over.
-    kept = F.col("rejected_by").isNull() & (F.monotonically_increasing_id() >= 0)
-    return judged.withColumn("kept", kept).drop("rejected_by")
+    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("rejected_by")
