@@ -13,12 +13,16 @@ THRESHOLD = 0.93
 #: Neighbours per list, and how like two vectors must be for their lists to be followed.
 NEIGHBOURS = 10
 FOLLOW = 0.5
-#: Random orders for the first lists, places looked ahead in each, and bits of an order.
+#: Random orders for the first lists, places looked ahead in each, and bits of an order, at least.
 ORDERS, AHEAD, BITS = 8, 12, 20
+#: How probable it may be that a pair at the threshold, in evenly spread vectors, meets in no order;
+#: where that takes more orders than this, vectors are compared block by block at once.
+LOST, MOST_ORDERS = 0.001, 128
 ROUNDS = 6
-#: Vectors whose links are searched by brute force, and the share of links that must be found.
+#: Vectors whose links are searched by brute force, and the share of them with all links found.
 AUDIT, RECALL = 1_024, 0.99
-BLOCK = 512
+#: Vectors in a block of a component, and of a label that is compared as a whole.
+BLOCK, WIDE_BLOCK = 512, 4_096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -62,7 +66,24 @@ def _unit(classes: DataFrame) -> DataFrame:
     )
 
 
-def first_lists(units: DataFrame, seed: int, orders: int = ORDERS) -> DataFrame:
+def orders_for(most: int, threshold: float) -> tuple[int, int]:
+    """(orders, bits) for labels of up to ``most`` vectors.
+
+    A pair meets in an order if the two agree in the first log2(most / AHEAD) bits, as about AHEAD
+    vectors do then. They agree in each bit with probability 1 - angle / pi.
+    """
+    agree = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    met = agree ** np.log2(max(most / AHEAD, 1))
+    if met <= 1e-9:
+        orders = MOST_ORDERS + 1
+    else:
+        orders = int(np.ceil(np.log(LOST) / np.log1p(-met))) if met < 1 else 1
+    return max(ORDERS, orders), min(62, max(BITS, int(np.ceil(np.log2(max(most, 1)))) + 4))
+
+
+def first_lists(
+    units: DataFrame, seed: int, orders: int = ORDERS, bits: int = BITS
+) -> DataFrame:
     """Pairs (a, b, sim) of vectors of one label that lie close in one of several random orders.
 
     An order sorts vectors by the sides of random planes they are on. Sorting is by range, so a
@@ -78,10 +99,10 @@ def first_lists(units: DataFrame, seed: int, orders: int = ORDERS) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
                     rng = np.random.default_rng([seed, dim])
-                    planes[dim] = rng.standard_normal((dim, orders * BITS))
+                    planes[dim] = rng.standard_normal((dim, orders * bits))
                 x = _matrix(part.column(3))
-                sides = (x @ planes[dim] > 0).reshape(len(x), orders, BITS)
-                codes = sides @ (1 << np.arange(BITS)[::-1]).astype(np.int64)
+                sides = (x @ planes[dim] > 0).reshape(len(x), orders, bits)
+                codes = sides @ (np.int64(1) << np.arange(bits, dtype=np.int64)[::-1])
                 for t in range(orders):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -264,6 +285,55 @@ def _counts(grouped: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def block_links(units: DataFrame, threshold: float, block: int = WIDE_BLOCK) -> DataFrame:
+    """Pairs (a, b) that join exactly the vectors that links join, from all pairs of each label.
+
+    A label's vectors, in blocks, meet block by block in separate tasks. Of the links of two blocks
+    a spanning forest leaves the task, so what is made does not grow with the square of a group.
+    """
+    space = [F.col("label"), F.col("dim")]
+    sizes = stored(
+        units.groupBy(F.col("label").alias("label2"), F.col("dim").alias("dim2")).agg(
+            F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")
+        )
+    )
+    placed = units.join(sizes, (space[0] == F.col("label2")) & (space[1] == F.col("dim2"))).select(
+        "id", "label", "dim", "v", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block")
+    )
+    meeting = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        "label", "dim",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block", "id", "v",
+    )
+
+    def compare(key, table):
+        side = table.column("block").to_numpy()
+        ids = table.column("id").to_numpy()
+        x = _matrix(table.column("v").combine_chunks())
+        one, two = np.flatnonzero(side == key[2].as_py()), np.flatnonzero(side == key[3].as_py())
+        root = np.arange(len(ids))
+        a, b = [], []
+        for low in range(0, len(one), BLOCK):
+            rows = one[low : low + BLOCK]
+            sims = x[rows] @ x[two].T
+            for r, c in np.argwhere(np.abs(sims - threshold) < 1e-9).tolist():
+                sims[r, c] = 2.0 if float(np.dot(x[rows[r]], x[two[c]])) >= threshold else -2.0
+            linked = sims >= threshold
+            for r in np.flatnonzero(linked.any(1)).tolist():
+                own = root[rows[r]]
+                met = np.unique(root[two[linked[r]]])
+                met = met[met != own]
+                if len(met):
+                    a += [ids[rows[r]]] * len(met)
+                    b += ids[met].tolist()
+                    root[np.isin(root, met)] = own
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return meeting.groupBy("label", "dim", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _near(x: np.ndarray, y: np.ndarray, angle: float) -> bool:
     a, b = x.mean(0), y.mean(0)
     if not (a.any() and b.any()):
@@ -274,12 +344,25 @@ def _near(x: np.ndarray, y: np.ndarray, angle: float) -> bool:
 
 
 def audit(units: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of ``queries`` vectors, compared with all vectors, that are found.
+    """Share of vectors with links, compared with all vectors, that have all their links found.
 
-    ``units`` has one row per distinct vector, ``found`` (id, others) counts distinct vectors. The
-    queries, those with the least hash of their key, are at most ``queries`` rows.
+    It is taken apart for vectors with up to NEIGHBOURS links and with more, and the lower share
+    counts, so that large groups do not hide what small ones lose. ``units`` has one row per
+    distinct vector, ``found`` (id, others) counts distinct vectors. ``queries`` vectors at most,
+    those with the least hash of their key, are drawn from all, and as many from those for which no
+    more than NEIGHBOURS links are found.
     """
-    drawn = units.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    counted = found.select(F.col("id").alias("id3"), F.col("others").alias("seen"))
+    few = (
+        units.join(counted, F.col("id") == F.col("id3"), "left")
+        .where(F.coalesce("seen", F.lit(0)) <= NEIGHBOURS)
+        .select(*units.columns)
+    )
+    drawn = {
+        r["id"]: r
+        for rows in (units, few)
+        for r in rows.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    }.values()
     if not drawn:
         return 1.0
     by: dict[tuple[str, int], tuple[list, list]] = {}
@@ -297,7 +380,8 @@ def audit(units: DataFrame, found: DataFrame, threshold: float, queries: int = A
                 at = np.flatnonzero([s == space for s in spaces])
                 x = _matrix(batch.column(3).take(pa.array(at)))
                 q_ids, q = asked[space]
-                hit = (q @ x.T >= threshold) & (q_ids[:, None] != ids[at][None, :])
+                # Pairs at the edge round as they like and are not asked for.
+                hit = (q @ x.T >= threshold + 1e-9) & (q_ids[:, None] != ids[at][None, :])
                 n = hit.sum(1)
                 some = n > 0
                 yield pa.RecordBatch.from_arrays(
@@ -305,12 +389,13 @@ def audit(units: DataFrame, found: DataFrame, threshold: float, queries: int = A
                 )
 
     true = units.mapInArrow(run, "id2 long, n long").groupBy("id2").agg(F.sum("n").alias("n"))
-    row = (
+    rows = (
         true.join(found, F.col("id2") == F.col("id"), "left")
-        .agg(F.sum("n"), F.sum(F.least("n", F.coalesce("others", F.lit(0)))))
-        .first()
+        .groupBy((F.col("n") <= NEIGHBOURS).alias("small"))
+        .agg(F.avg((F.coalesce("others", F.lit(0)) >= F.col("n")).cast("int")).alias("share"))
+        .collect()
     )
-    return row[1] / row[0] if row[0] else 1.0
+    return min((r["share"] for r in rows), default=1.0)
 
 
 def near_embeddings(
@@ -329,9 +414,11 @@ def near_embeddings(
     components link with nothing. Equal vectors of one label are one node. Lists start from random
     orders and are refined by neighbours of neighbours until no list changes. Lists that are
     full of links are enlarged to their whole component, which is compared block by block; all
-    counts come from that comparison. An audit by brute force for a bounded set of vectors then
-    measures recall, and further random orders are added until it is met. Rows with a null key
-    get no links and a null component. Of rows with one key, the least (label, vector) counts.
+    counts come from that comparison. The number of orders and their bits grow with the largest
+    label. An audit by brute force for a bounded set of vectors then measures the share of vectors
+    with all their links, and further random orders are added until it is met. After ``tries``
+    times, or where orders cannot serve the threshold, all vectors of a label are compared block by
+    block. Rows with a null key get no links and a null component. Of rows with one key, the least (label, vector) counts.
     An empty table gives an empty result.
     """
     rows = usable(df, key, vector, label)
@@ -345,13 +432,20 @@ def near_embeddings(
     units = stored(_unit(classes))
     sizes = classes.select(F.col("id").alias("id2"), "size")
     edges, links, found, comps = None, None, None, None
-    for attempt in range(tries):
-        made = first_lists(units, attempt)
-        made = made if edges is None else edges.unionByName(made)
-        edges = stored(made.groupBy("a", "b").agg(F.max("sim").alias("sim")))
-        seen = edges.where(F.col("sim") >= threshold).select("a", "b").distinct()
-        links = stored(seen if links is None else seen.unionByName(links).distinct())
-        links = descend(edges, units, links, neighbours, threshold)
+    most = units.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    orders, bits = orders_for(most, threshold)
+    if orders > MOST_ORDERS or threshold < FOLLOW:
+        tries = 0
+    for attempt in range(tries + 1):
+        if attempt == tries:
+            links = stored(block_links(units, threshold))
+        else:
+            made = first_lists(units, attempt, orders, bits)
+            made = made if edges is None else edges.unionByName(made)
+            edges = stored(made.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+            seen = edges.where(F.col("sim") >= threshold).select("a", "b").distinct()
+            links = stored(seen if links is None else seen.unionByName(links).distinct())
+            links = descend(edges, units, links, neighbours, threshold)
         comps = stored(components(links))
         grouped = stored(
             comps.join(units, "id").join(sizes, F.col("id") == F.col("id2")).select(
@@ -359,7 +453,7 @@ def near_embeddings(
             )
         )
         found = stored(_counts(grouped.withColumn("size", F.lit(1).cast("long")), threshold))
-        if audit(units, found, threshold) >= RECALL:
+        if attempt == tries or audit(units, found, threshold) >= RECALL:
             break
     # Copies count with every node they belong to.
     found = stored(_counts(grouped, threshold)) if _copies(classes) else found

@@ -264,3 +264,36 @@ def test_near_embeddings_follow_brute_force(spark):
     assert {r.vec_id: r.component_id for r in got} == {i: groups.find(i) for i in links}
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert near_embeddings.near_embeddings(df.limit(0)).count() == 0
+
+
+def test_near_pairs_are_found_beside_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=24)
+    rows = [(i, (centre + rng.normal(size=24) * 0.03).tolist(), 1) for i in range(200)]
+    for i in range(200, 260, 2):
+        pair = rng.normal(size=24)
+        rows += [(i + k, (pair + rng.normal(size=24) * 0.03).tolist(), 1) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    units = near_embeddings._unit(near_embeddings.usable(df, "vec_id", "embedding", "label"))
+    # All links of the group, none of the pairs: over 99 % of the links, half of the vectors.
+    found = spark.range(200).select("id", F.lit(199).cast("long").alias("others"))
+    assert near_embeddings.audit(units, found, 0.93) < 0.5
+    # Orders that never meet a pair: what they leave is compared block by block.
+    lists = near_embeddings.first_lists
+    monkeypatch.setattr(near_embeddings, "first_lists", lambda *a: lists(*a).where("b < 200"))
+    got = near_embeddings.near_embeddings(df, tries=1).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: 199 if i < 200 else 1 for i, *_ in rows}
+    assert {r.vec_id: r.component_id for r in got} == {i: 0 if i < 200 else i // 2 * 2 for i, *_ in rows}
+    blocks = near_embeddings.block_links(units, 0.93, block=50).collect()
+    groups = Groups()
+    for r in blocks:
+        groups.join(r.a, r.b)
+    assert all(groups.find(i) == (0 if i < 200 else i // 2 * 2) for i, *_ in rows)
+    assert len(blocks) < 10 * len(rows)
+
+
+def test_orders_grow_with_the_label():
+    for n in (1, 30_000, 300_000, 1_600_000, 10**8):
+        orders, bits = near_embeddings.orders_for(n, 0.93)
+        met = (1 - np.arccos(0.93) / np.pi) ** max(np.log2(n / near_embeddings.AHEAD), 0)
+        assert (1 - met) ** orders <= 0.001 and 2**bits >= 16 * n
