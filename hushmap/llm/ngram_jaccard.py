@@ -30,10 +30,11 @@ KEYS, KEY_VALUES, LEAST_KEYS = 60, 4, 2
 #: Mean number of elements in a set's sample: those whose hash, as a share of all, is below
 #: SAMPLE / size. Of two linked sets the larger holds at most 4/3 as many elements, so the share
 #: 0.75 * SAMPLE / size of one set is sampled in the other, too: about 72 elements that both
-#: samples show. Of these at least 3/4 are shared; that under 4/10 are has a probability under 1e-8.
+#: samples show, all of a set of up to 72. Of these at least 3/4 are shared; that under 4/10 are
+#: has a probability of at most 2e-9.
 SAMPLE, SAMPLE_PERCENT = 96, 40
-#: The same for the smaller of two linked sets, of which 6/7 at least are shared.
-SMALLER_PERCENT = 60
+#: The same for the smaller of two linked sets, of which 6/7 at least are shared: at most 1e-9.
+SMALLER_PERCENT = 54
 
 _random = np.random.default_rng(415)
 _TIMES = _random.integers(1, 1 << 62, KEYS * KEY_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,11 +117,11 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def sample_of(values: np.ndarray) -> tuple[np.ndarray, int]:
     """(sampled elements of a sorted set, how many of them, the first, its linked sets sample)."""
-    if len(values) <= SAMPLE:
-        return values, len(values)
-    share = SAMPLE / len(values)
-    n = int(np.searchsorted(values, np.uint64(int(share * 2.0**64))))
-    return values[:n], int(np.searchsorted(values[:n], np.uint64(int(0.75 * share * 2.0**64))))
+    def below(share: float) -> int:
+        return len(values) if share >= 1 else int(np.searchsorted(values, np.uint64(int(share * 2.0**64))))
+
+    share = SAMPLE / max(len(values), 1)
+    return values[: below(share)], below(0.75 * share)
 
 
 def _signature(values: np.ndarray) -> tuple:
@@ -154,8 +155,9 @@ def similar_documents(
        link into another group if enough of its sample is in the unions of other groups.
     5. What is left asks single groups. Of two linked sets the smaller has at least
        2 * percent / (100 + percent) of its tokens in the other, so it asks the groups with keys
-       in common, the bound is taken with its sample and the group's union, and only qualifying
-       groups are opened: their members that share keys are compared exactly.
+       in common. A first bound is taken with its sample and the union of the group's samples;
+       for what passes, the bound is taken with all its tokens and the group's whole union. Only
+       qualifying groups are opened: their members that share keys are compared exactly.
 
     No step gathers a group: equal sets, leaders and unions are aggregates, and pairs are only
     made inside groups whose unions pass the bound.
@@ -310,6 +312,7 @@ def _crossing(
         .where(100 * F.col("c") >= SMALLER_PERCENT * F.col("asked"))
         .select(F.col("id").alias("id2"), F.col("h").alias("h2"))
     )
+    passed = _bounded(passed, rest.select("id", "g"), sets, percent)
     asked = stored(
         open_spots.join(passed, F.col("id") == F.col("id2")).select(
             "id", "n", "k", F.col("h2").alias("h")
@@ -329,6 +332,32 @@ def _crossing(
     return stored(_linked(pairs, sets, percent))
 
 
+def _bounded(passed: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Questions (id2, h2) whose set has enough of its tokens in the whole union of the group.
+
+    Of two linked sets the smaller asks, and has 2 * percent / (100 + percent) of its tokens in the
+    other. ``placed``: (id, g) of the members.
+    """
+    asked = if_few(stored(passed.select(F.col("h2").alias("h3")).distinct()))
+    members = placed.join(asked, F.col("g") == F.col("h3"), "left_semi").select(
+        F.col("id").alias("id3"), "g"
+    )
+    union = (
+        sets.join(members, F.col("id") == F.col("id3"))
+        .select("g", F.explode("s").alias("x2"))
+        .distinct()
+    )
+    return stored(
+        passed.join(sets.select("id", "n", "s"), F.col("id") == F.col("id2"))
+        .select("id2", "h2", "n", F.explode("s").alias("x"))
+        .join(union, (F.col("h2") == F.col("g")) & (F.col("x") == F.col("x2")), "left")
+        .groupBy("id2", "h2", "n")
+        .agg(F.count("x2").alias("c"))
+        .where((100 + percent) * F.col("c") >= 2 * percent * F.col("n"))
+        .select("id2", "h2")
+    )
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (id, with) whose sets overlap enough, by exact comparison."""
     one = sets.select(F.col("id").alias("id1"), F.col("s").alias("s1"))

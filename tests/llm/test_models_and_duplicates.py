@@ -226,6 +226,48 @@ def test_keys_meet_with_the_similarity_of_the_sets():
     assert abs(np.mean(met) - (500 / 700) ** ngram_jaccard.KEY_VALUES) < 0.05
 
 
+def as_sets(texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    return ngram_jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offsets)
+
+
+def test_samples_of_linked_sets_show_what_they_share(spark):
+    # 96 shingles, all in a set of 128 that samples few of them, and a nearer set of less id.
+    rng = np.random.default_rng(8)
+    for at in range(100_000):
+        long = [f"w{at}x{i}" for i in range(132)]
+        (large,) = as_sets([" ".join(long)])
+        if (large < np.uint64(3 << 62)).sum() > 92:
+            continue
+        for cut in range(0, 33):
+            (small,) = as_sets([" ".join(long[cut : cut + 100])])
+            if (small < np.uint64(3 << 62)).sum() < 58:
+                break
+        else:
+            continue
+        break
+    small_text, large_text = " ".join(long[cut : cut + 100]), " ".join(long)
+    part, asked = ngram_jaccard.sample_of(small)
+    shown, _ = ngram_jaccard.sample_of(large)
+    assert np.isin(part[:asked], shown).all()
+    # The large set is led to another one, which it does not link with.
+    keys = [ngram_jaccard.set_keys(s) for s in (small, large)]
+    for _ in range(1_000):
+        own = [f"z{rng.integers(10**9)}" for _ in range(20)]
+        near = " ".join(long[:112] + own if cut >= 16 else own + long[20:])
+        (third,) = as_sets([near])
+        key = ngram_jaccard.set_keys(third)
+        if (keys[1] == key).sum() > ((keys[1] == keys[0]) & (keys[1] != key)).sum():
+            break
+    rows = [(1, near, "s"), (2, small_text, "s"), (3, large_text, "s")]
+    a, b, c = (plain_sets(t) for _, t, _ in rows)
+    assert 100 * len(a & c) < 75 * len(a | c) and 100 * len(a & b) < 75 * len(a | b)
+    assert 100 * len(b & c) == 75 * len(b | c)
+    got = ngram_jaccard.similar_documents(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2}
+
+
 def test_near_embeddings_follow_brute_force(spark):
     rng = np.random.default_rng(9)
     rows, at = [], 0
