@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushmap.llm import length_buckets, mixing, ngram_jaccard, quality_crf, quality_rules
-from hushmap.llm.shared import count_words, if_few, stored
+from hushmap.llm.shared import count_words, if_few, stored, unused
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, stored with a number of their own, and the name of that column."""
+    row = unused(docs, "_row_id")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +37,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.emit(docs, mixing.mix(docs))
+    """Documents as often as the mix takes them, also those with null or repeated ids."""
+    rows, row = numbered(docs)
+    return mixing.emit(rows, mixing.mix(rows, row=row), row).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,7 @@ def mix(
     most: int = MOST,
     text: str = "text",
     key: str = "doc_id",
+    row: str | None = None,
 ) -> DataFrame:
     """(key, source, size, source_size, target, copies) for every row of ``docs``.
 
@@ -86,10 +87,13 @@ def mix(
     whole numbers of 2^-24 copies, so nothing depends on rounding, and no document is taken more
     than ``most`` times. Null and empty texts have size 0. A null source is a source. Rows that
     repeat a document count as documents; rows alike in source, size and key are interchangeable.
-    An empty table gives an empty result. Other columns of ``docs`` are not read.
+    ``row`` names a column that tells all rows apart; it orders these, too, and is added to the
+    result. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
+    own = [] if row is None else [F.col(row).alias("_row")]
     sizes = stored(
         docs.select(
+            *own,
             F.col(key).alias("_key"),
             F.col("source").cast("string").alias("source"),
             count_words(F.col(text)).alias("size"),
@@ -105,9 +109,8 @@ def mix(
     expected = stored(
         sizes.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     )
-    summed = running_totals(
-        expected, "_units", ["source"], [F.col("size"), F.col("_key").asc_nulls_last()], "_before"
-    )
+    order = [F.col("size"), F.col("_key").asc_nulls_last()] + [F.col("_row")] * len(own)
+    summed = running_totals(expected, "_units", ["source"], order, "_before")
     offset = F.conv(
         F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10
     ).cast("long")
@@ -115,21 +118,24 @@ def mix(
     copies = F.shiftright(low + F.col("_units"), SHIFT) - F.shiftright(low, SHIFT)
     return summed.select(
         F.col("_key").alias(key), "source", "size", "source_size", "target",
-        copies.alias("copies"),
+        copies.alias("copies"), *[F.col("_row").alias(row) for _ in own],
     )
 
 
 def emit(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs``, each as often as ``mixed`` says for its key.
 
-    Keys are taken to be unique; of rows with a repeated or null key, ``mix`` has as many lines,
-    and each row is emitted as often as they say on average, rounded down.
+    A key that ``mixed`` has more than once does not tell which row has which copies, and raises
+    ValueError. Tables with null or repeated keys need the ``row`` of ``mix`` as their key here.
     """
     own, n = unused(docs, "_key"), unused(docs, "_copies")
     copies = mixed.groupBy(F.col(key).alias(own)).agg(
-        F.floor(F.avg("copies")).cast("int").alias(n)
+        F.sum("copies").cast("int").alias(n), F.count(F.lit(1)).alias("_lines")
     )
-    taken = if_few(stored(copies.where(F.col(n) > 0)))
+    copies = stored(copies.where((F.col(n) > 0) | (F.col("_lines") > 1)))
+    if not copies.where("_lines > 1").isEmpty():
+        raise ValueError(f"{key} is not unique: mix with a row column")
+    taken = if_few(copies.drop("_lines"))
     return (
         docs.join(taken, F.col(key).eqNullSafe(F.col(own)))
         .withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n))))

@@ -1,6 +1,10 @@
 import importlib
+from collections import Counter
 
-from tests.llm.helpers import Groups, words
+import pytest
+
+from hushmap.llm import mixing
+from tests.llm.helpers import Groups, documents, words
 from tests.llm.test_models_and_duplicates import plain_sets
 from tests.llm.test_rules_and_mixing import plain_counts
 
@@ -51,3 +55,21 @@ def test_names_of_the_stages():
     assert [n for n, _ in pipeline.STAGES] == [
         "quality classifier", "quality rules", "n-gram Jaccard join", "mixing", "packing",
     ]
+
+
+def test_mixing_emits_rows_with_null_and_repeated_ids_as_often_as_mixed(spark):
+    # Source a is taken less than once a row on average, b more than once.
+    rows = [(None if i % 3 == 0 else i % 7, f"w{i} " * (5 + i % 9), "ab"[i % 2]) for i in range(120)]
+    docs = documents(spark, rows)
+    mixed = mixing.mix(docs).collect()
+    want = Counter()
+    for r in mixed:
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = pipeline.mix_sources(spark, docs, None)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert Counter((r.doc_id, r.source, len(words(r.text))) for r in got) == +want
+    assert any(r.doc_id is None and r.source == "a" for r in got)
+    assert max(Counter(r.text for r in got).values()) <= 3
+    with pytest.raises(ValueError):
+        mixing.emit(docs, mixing.mix(docs))
