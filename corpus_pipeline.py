@@ -28,12 +28,28 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    groups = ngram_jaccard.similar_documents(docs)
+    """One row of each group of near-duplicates: the one with the least id, null last.
+
+    Rows are judged one by one, so those with null or repeated ids are compared like all others.
+    """
+    rows, row = numbered(docs)
+    groups = stored(
+        ngram_jaccard.similar_documents(rows, key=row).select(F.col(row).alias("_row"), "component_id")
+    )
+    ids = rows.select(F.col(row).alias("_row2"), "doc_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+    kept = stored(
+        groups.join(ids, F.col("_row") == F.col("_row2"))
+        .groupBy(F.col("component_id").alias("_component"))
+        .agg(least.alias("_kept"), F.count(F.lit(1)).alias("_members"))
+        .where("_members > 1")
+    )
     others = stored(
-        groups.where("component_id <> doc_id").select(F.col("doc_id").alias("other_id"))
+        groups.join(if_few(kept), F.col("component_id") == F.col("_component"))
+        .where("_row <> _kept")
+        .select(F.col("_row").alias("_other"))
     )
-    return docs.join(if_few(others), F.col("doc_id") == F.col("other_id"), "left_anti")
+    return rows.join(if_few(others), F.col(row) == F.col("_other"), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

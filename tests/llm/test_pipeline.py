@@ -73,3 +73,13 @@ def test_mixing_emits_rows_with_null_and_repeated_ids_as_often_as_mixed(spark):
     assert max(Counter(r.text for r in got).values()) <= 3
     with pytest.raises(ValueError):
         mixing.emit(docs, mixing.mix(docs))
+
+
+def test_near_duplicates_are_rows_not_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [
+        (None, two, "s"), (None, two, "s"), (None, three, "s"), (None, three, "s"),
+        (5, one, "s"), (9, one, "s"), (9, two, "s"), (7, "z " + two, "t"),
+    ]
+    got = pipeline.keep_one_of_each(spark, documents(spark, rows).repartition(3), None).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == {(5, one): 1, (7, "z " + two): 1, (None, three): 1}
