@@ -34,7 +34,7 @@ def _share(text: Column, pattern: str) -> Column:
 
 def _adjacent(text: Column) -> Column:
     """Share of words that repeat the word before them."""
-    same = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=\x20\1(?![^\x20\x09-\x0D]))"))
+    same = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))"))
     return same / F.greatest(count_words(text), F.lit(1))
 
 

@@ -64,6 +64,19 @@ def test_rules_are_ordered_by_rejection_per_cost():
     assert [r.name for r in quality_rules.ordered(measured)] == ["b", "a", "c"]
 
 
+def test_stutter_counts_over_all_gaps(spark):
+    gaps = [" ", "\n", "\t", "  ", "\r\n", " \n\t ", "\x0b"]
+    rows = [(k, " ".join(f"w{i}{gap}w{i}" for i in range(25)), "s") for k, gap in enumerate(gaps)]
+    rows += [(50, "\n".join(f"w{i}\tx{i} w{i}w{i}" for i in range(25)), "s"), (51, "a\n\na a aa\ta", "s")]
+    docs = documents(spark, rows)
+    share = {r.doc_id: r.s for r in docs.select("doc_id", quality_rules._adjacent(F.col("text")).alias("s")).collect()}
+    for i, text, _ in rows:
+        w = words(text)
+        assert math.isclose(share[i], sum(a == b for a, b in zip(w, w[1:])) / len(w)), i
+    kept = quality_rules.quality_rules(docs).where("kept").collect()
+    assert {r.doc_id for r in kept} == {50}
+
+
 def test_rules_on_an_empty_table(spark):
     assert quality_rules.quality_rules(documents(spark, []).limit(0)).count() == 0
 
