@@ -12,13 +12,16 @@ TABLES = (
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    rows = [
-        tuple(
-            None
-            if value is None or value is pd.NaT or (isinstance(value, float) and value != value)
-            else (repr(round(float(value), 9)) if isinstance(value, float) else str(value))
-            for value in row
-        )
-        for row in frame.itertuples(index=False)
-    ]
+    rows = [tuple(_plain(value) for value in row) for row in frame.itertuples(index=False)]
     return sorted(rows, key=lambda row: tuple("" if v is None else "~" + v for v in row))
+
+
+def _plain(value) -> str | None:
+    """Whole numbers alike, whether a column with nulls came as floats or as integers."""
+    if value is None or value is pd.NaT or value is pd.NA:
+        return None
+    if isinstance(value, float):
+        if value != value:
+            return None
+        return str(int(value)) if value.is_integer() else repr(round(float(value), 9))
+    return str(value)
