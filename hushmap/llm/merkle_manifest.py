@@ -177,12 +177,12 @@ def manifest(
     """
     if fan_out < 2:
         raise ValueError("fan_out must be 2 or more")
-    leaves = rows.select(
+    leaves = stored(rows.select(
         F.col(group).cast("string").alias("grp"),
         F.col(key).alias("key"),
         row_digest(*[F.col(c) for c in columns]).alias("leaf"),
         *[c.alias(f"x_{name}") for name, c in (extra or {}).items()],
-    )
+    ))
     placed, groups = ranked(leaves)
     nodes = placed.select("g", "idx", "n", F.col("leaf").alias("hash"))
     most = nodes.agg(F.max("n")).first()[0] or 0
