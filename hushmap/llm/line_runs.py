@@ -229,7 +229,8 @@ def _without(rows: DataFrame, drops: DataFrame) -> DataFrame:
     """The rows with ``n_lines``, ``n_dropped`` and ``kept_text``.
 
     What stays is put together from the stretches between dropped lines, so the work is linear in
-    the lines of a text.
+    the lines of a text. Texts are shuffled to their places once, at every size, and not sorted:
+    a partition's places are a small part of its texts.
     """
     t, at = F.col("_text"), F.col("positions")
     n_lines = (F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1).cast("long")
@@ -240,7 +241,11 @@ def _without(rows: DataFrame, drops: DataFrame) -> DataFrame:
         return F.slice(F.col("_split"), begin + 1, end - begin)
 
     joined = (
-        rows.join(drops.withColumnRenamed("_row", "_dropped"), F.col("_row") == F.col("_dropped"), "left")
+        rows.join(
+            drops.withColumnRenamed("_row", "_dropped").hint("shuffle_hash"),
+            F.col("_row") == F.col("_dropped"),
+            "left",
+        )
         .withColumn("n_lines", n_lines)
         .withColumn("n_dropped", F.when(at.isNull(), F.lit(0).cast("long")).otherwise(dropped))
         .withColumn("_split", F.when(at.isNotNull(), F.split(t, "\n")))
