@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +35,9 @@ STOP_WORDS = (
 ).split()
 
 CSV_DELIMITERS = (",", ";", "\t", "|")
+# Characters at the start of a CSV text that tell its delimiter.
+HEAD_CHARS = 65_536
+JSON_LEVELS = 64
 TOKEN_BREAK = "[ \n]"
 MIN_TOKEN_CHARS = 2
 WORD_OR_PUNCTUATION = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
@@ -49,8 +48,22 @@ def melt_columns(
 ) -> DataFrame:
     """Wide table to rows (ids, column_name, value), every value as string."""
     names = [c for c in (columns or df.columns) if c not in ids]
-    wide = df.select(*ids, *[F.col(f"`{name}`").cast("string").alias(name) for name in names])
-    return wide.unpivot(list(ids), [f"`{name}`" for name in names], "column_name", "value")
+    held = [quoted(c) for c in ids]
+    wide = df.select(*held, *[F.col(quoted(name)).cast("string").alias(name) for name in names])
+    return wide.unpivot(held, [quoted(name) for name in names], "column_name", "value")
+
+
+def quoted(name: str) -> str:
+    """A column's name as an identifier, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def melt_tables(
@@ -62,13 +75,11 @@ def melt_tables(
     melted = []
     for name, df in tables.items():
         key = (ids or {}).get(name)
-        row = F.col(key) if key else F.monotonically_increasing_id()
+        row, at = F.col(quoted(key)) if key else F.monotonically_increasing_id(), free_name(df, "_row")
         wanted = [c for c in (columns or df.columns) if c in df.columns and c != key]
-        long = melt_columns(df.withColumn("_row", row), wanted, ids=["_row"])
+        long = melt_columns(df.withColumn(at, row), wanted, ids=[at])
         melted.append(
-            long.select(
-                F.lit(name).alias("table"), F.col("_row").alias("row_id"), "column_name", "value"
-            )
+            long.select(F.lit(name).alias("table"), F.col(at).alias("row_id"), "column_name", "value")
         )
     return reduce(DataFrame.unionByName, melted)
 
@@ -92,7 +103,7 @@ def clean_values(df: DataFrame, mode: str = "csv", ids: Sequence[str] = ()) -> D
 
     names = [f.name for f in df.schema.fields if f.name not in ids and keeps(f.dataType)]
     flags = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
-    titled = {n: F.initcap(F.col(n).cast("string")) for n in names if n in flags}
+    titled = {n: F.initcap(F.col(quoted(n)).cast("string")) for n in names if n in flags}
     return strip_values(melt_columns(df.withColumns(titled), names, ids))
 
 
@@ -191,63 +202,190 @@ def table_cells(
     """Cells (keys, column_name, row_id, value) of CSV and JSON files, one row of ``files`` each.
 
     JSON may be an array, lines or one object; members of nested objects are columns of their
-    own, named by their path. Files that do not parse, and formats other than these, have no
-    cells. A file is one value; tables too large for that are read as tables and melted.
+    own, named by their path. Cells beyond the header's width have no column name. Formats other
+    than these have no cells. A file is one value; tables too large for that are read as tables
+    and melted.
+    """
+    return file_cells(files, keys, name, col).where(~F.col("broken")).drop("broken")
+
+
+def file_cells(
+    files: DataFrame, keys: Sequence[str], name: str = "file_name", col: str = "text"
+) -> DataFrame:
+    """``table_cells``, and with ``broken`` true the pieces of the records that do not parse.
+
+    These are JSON lines, or lines of a JSON text, that are no value by themselves in a file that
+    is none as a whole; and lines with an open quote in a CSV file whose quotes do not match. The
+    pieces are what stands between quotes, delimiters and brackets.
+    """
+    body = F.regexp_replace(F.coalesce(F.col(col), F.lit("")), "^\ufeff", "")
+    source = files.select(
+        F.struct(*[F.col(quoted(k)).alias(k) for k in keys]).alias("keys"),
+        F.lower(F.substring_index(F.coalesce(F.col(name), F.lit("")), ".", -1)).alias("kind"),
+        F.replace(body, F.lit("\r\n"), F.lit("\n")).alias("body"),
+    )
+    csv = _csv_cells(source.where("kind = 'csv'"))
+    cells = csv.unionByName(_json_cells(source.where("kind = 'json'")))
+    held = [F.col("keys").getField(k).alias(k) for k in keys]
+    return cells.select(*held, "column_name", "row_id", "value", "broken")
+
+
+# Control characters that stand between the cells and records of a CSV text, and for quotes that
+# are part of a value. Texts that hold these characters themselves get blanks for them.
+CELL, RECORD, LITERAL_QUOTE = "\x1f", "\x1e", "\x1d"
+
+
+def _csv_cells(files: DataFrame) -> DataFrame:
+    """Cells of CSV texts of any header, delimiter and width, in linear time.
+
+    Quotes part a text into what stands outside and, at every second place, inside of them. Only
+    outside, delimiters and line feeds become control characters, at which the text is then
+    split. A quote with a value on both sides is no delimiter of values, but part of one.
+
+    The arrays are exploded with ``outer``, though they are never empty: for plain generators the
+    optimizer adds a test for empty arrays, which repeats all expressions below.
+    """
+    text = F.regexp_replace("body", "[\x1d-\x1f]", " ")
+    head = F.substring_index(F.regexp_replace(F.substring(text, 1, HEAD_CHARS), '"[^"]*+"', ""), "\n", 1)
+    ranks = [
+        F.struct(
+            (F.length(head) - F.length(F.replace(head, F.lit(d)))).alias("n"),
+            F.lit(-i).alias("i"),
+            F.lit(d).alias("d"),
+        )
+        for i, d in enumerate(CSV_DELIMITERS)
+    ]
+    edge = F.concat(F.lit('[\n"'), "d", F.lit("]"))
+    inner = F.concat(F.lit("(?<!"), edge, F.lit(')(?<!^)"(?!'), edge, F.lit("|$)"))
+    prepared = (
+        files.select("keys", text.alias("raw"), F.array_max(F.array(*ranks))["d"].alias("d"))
+        .withColumn("inner", inner)
+        .select("keys", "d", F.regexp_replace("raw", F.col("inner"), F.lit(LITERAL_QUOTE)).alias("text"))
+    )
+
+    def marked(s: Column) -> Column:
+        outside = F.transform(
+            F.split(s, '"'),
+            lambda x, i: F.when(
+                i % 2 == 0, F.replace(F.replace(x, F.col("d"), F.lit(CELL)), F.lit("\n"), F.lit(RECORD))
+            ).otherwise(x),
+        )
+        return F.array_join(outside, '"')
+
+    def open_quote(s: Column) -> Column:
+        return (F.length(s) - F.length(F.replace(s, F.lit('"')))) % 2 == 1
+
+    def record(s: Column, broken: Column) -> Column:
+        return F.struct(s.alias("s"), broken.alias("broken"))
+
+    def cells(s: Column) -> Column:
+        def value(c: Column) -> Column:
+            whole = c.startswith('"') & c.endswith('"') & (F.length(c) >= 2)
+            bare = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+            return F.replace(F.when(whole, bare).otherwise(c), F.lit(LITERAL_QUOTE), F.lit('"'))
+
+        return F.transform(F.split(s, CELL), value)
+
+    by_record = F.transform(F.split(marked(F.col("text")), RECORD), lambda s: record(s, F.lit(False)))
+    by_line = F.transform(
+        F.split("text", "\n"),
+        lambda s: F.when(
+            open_quote(s), record(F.replace(F.replace(s, F.lit('"')), F.col("d"), F.lit(CELL)), F.lit(True))
+        ).otherwise(record(marked(s), F.lit(False))),
+    )
+    records = prepared.select(
+        "keys", F.when(open_quote(F.col("text")), by_line).otherwise(by_record).alias("records")
+    ).select("keys", cells(F.get("records", F.lit(0))["s"]).alias("names"), F.posexplode_outer("records").alias("at", "r"))
+    rows = records.where("r.s <> ''").select(
+        "keys", "names", "at", F.col("r.broken").alias("broken"), F.posexplode_outer(cells(F.col("r.s"))).alias("i", "value")
+    )
+    column = F.when(~F.col("broken"), F.get("names", F.col("i")))
+    return rows.where("at > 0 OR broken").select(
+        "keys", column.alias("column_name"), (F.col("at") - 1).cast("long").alias("row_id"), "value", "broken"
+    )
+
+
+def _json_cells(files: DataFrame) -> DataFrame:
+    """Cells of JSON texts of any form, level by level as VARIANT.
+
+    Values nested deeper than JSON_LEVELS come as their JSON text. Objects that name a member
+    twice are broken.
     """
-    fields = [f for f in files.schema.fields if f.name in keys]
-    order = [f.name for f in fields]
-    schema = T.StructType(fields).add("column_name", "string").add("row_id", "long")
-
-    def cells(batches):
-        for batch in batches:
-            *held, names, texts = batch.columns
-            found = [
-                (at, *cell)
-                for at, (file, body) in enumerate(zip(names.to_pylist(), texts.to_pylist()))
-                for cell in _file_cells(file or "", body or "")
-            ]
-            at, column, row, value = zip(*found) if found else [()] * 4
-            made = [pa.array(column, pa.string()), pa.array(row, pa.int64()), pa.array(value, pa.string())]
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(c.take(rows) for c in held), *made], [*order, "column_name", "row_id", "value"]
-            )
-
-    source = files.select(*order, F.col(name).alias("_name"), F.col(col).alias("_text"))
-    return source.mapInArrow(cells, schema.add("value", "string"))
-
-
-def _file_cells(name: str, body: str):
-    kind = name.rsplit(".", 1)[-1].lower()
-    if kind == "csv":
-        head = body.split("\n", 1)[0]
-        delimiter = max(CSV_DELIMITERS, key=head.count)
-        rows = csv.reader(io.StringIO(body), delimiter=delimiter)
-        header = next(rows, [])
-        for at, row in enumerate(rows):
-            yield from ((c, at, v) for c, v in zip(header, row))
-    elif kind == "json":
-        try:
-            whole = json.loads(body)
-            records = whole if isinstance(whole, list) else [whole]
-        except ValueError:
-            try:
-                records = [json.loads(line) for line in body.split("\n") if line.strip()]
-            except ValueError:
-                return
-        for at, record in enumerate(records):
-            yield from ((c, at, v) for c, v in _members(record, ""))
-
-
-def _members(value, path: str):
-    if isinstance(value, dict):
-        for name, inner in value.items():
-            yield from _members(inner, f"{path}.{name}" if path else name)
-    elif isinstance(value, list):
-        for inner in value:
-            yield from _members(inner, path)
-    elif value is not None:
-        yield path, str(value)
+    spark = files.sparkSession
+    whole = _strict_json(F.col("body"))
+    lines = F.filter(F.split("body", "\n"), lambda x: strip(x) != "")
+    units = F.when(whole.isNotNull(), F.array("body")).otherwise(lines)
+    rows = (
+        files.select("keys", whole.isNotNull().alias("whole"), F.posexplode_outer(units).alias("at", "unit"))
+        .where("unit <> ''")
+        .withColumn("value", _strict_json(F.col("unit")))
+    )
+    pieces = F.filter(
+        F.transform(F.split("unit", '"'), lambda x: F.trim(x, F.lit(" \t:,{}[]"))), lambda x: x != ""
+    )
+    broken = rows.where(F.col("value").isNull()).select(
+        "keys",
+        F.lit(None).cast("string").alias("column_name"),
+        F.col("at").cast("long").alias("row_id"),
+        F.explode(pieces).alias("value"),
+        F.lit(True).alias("broken"),
+    )
+    depth = files.agg(F.max(_json_depth(F.col("body")))).first()[0] or 0
+    found = rows.where(F.col("value").isNotNull()).select("keys", "whole", "at", F.lit("").alias("path"), "value")
+    for level in range(min(depth, JSON_LEVELS) + 1):
+        held = found.withColumnRenamed("value", "held")
+        inside = held.lateralJoin(spark.tvf.variant_explode_outer(F.col("held").outer()))
+        # Level 0 takes off the brackets put around every unit; level 1 holds a text's records.
+        element = F.col("whole") & F.col("key").isNull() & F.lit(level == 1)
+        found = inside.select(
+            "keys",
+            "whole",
+            F.when(element, F.coalesce("pos", "at")).otherwise(F.col("at")).alias("at"),
+            F.when(F.col("key").isNull(), F.col("path"))
+            .when(F.col("path") == "", F.col("key"))
+            .otherwise(F.concat("path", F.lit("."), "key"))
+            .alias("path"),
+            F.when(F.col("pos").isNull(), F.col("held")).otherwise(F.col("value")).alias("value"),
+        )
+    kind = F.schema_of_variant("value")
+    shown = F.col("value").cast("string")
+    return (
+        found.select(
+            "keys",
+            F.col("path").alias("column_name"),
+            F.col("at").cast("long").alias("row_id"),
+            F.when(kind == "BOOLEAN", F.initcap(shown)).otherwise(shown).alias("value"),
+            F.lit(False).alias("broken"),
+            kind.rlike("^(OBJECT|ARRAY)").alias("nested"),
+        )
+        .where("value IS NOT NULL AND NOT (nested AND value IN ('{}', '[]'))")
+        .drop("nested")
+        .unionByName(broken)
+    )
+
+
+def _strict_json(text: Column) -> Column:
+    """The text as the one element of a VARIANT array, or null where it is no JSON.
+
+    The parser stops at the end of the first value, whatever follows. What follows a value breaks
+    the brackets put around it, or the braces.
+    """
+    array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}")))
+    return F.when(member.isNotNull(), array)
+
+
+def _json_depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested."""
+    bare = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(F.regexp_replace(bare, '"[^"]*+"', ""), r"[^\[\]{}]++", "")
+
+    def step(at: Column, c: Column) -> Column:
+        now = F.when(c.isin("[", "{"), at["now"] + 1).otherwise(F.greatest(at["now"] - 1, F.lit(0)))
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(brackets, ""), start, step, lambda at: at["most"])
 
 
 def truncate_text(df: DataFrame, col: str = "text", n: int = MAX_TEXT_CHARS) -> DataFrame:

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from hushmap.functions.scalar import file_extension, human_size
 from hushmap.operators.detect import scan_first, scan_values
-from hushmap.operators.prepare import melt_columns, sample_values, strip_values, table_cells
+from hushmap.operators.prepare import (
+    file_cells,
+    free_name,
+    melt_columns,
+    quoted,
+    sample_values,
+    strip_values,
+)
 from hushmap.operators.reduce import (
     NOT_FOUND,
     best_hits,
@@ -35,9 +42,6 @@ RESCANNED_LABELS = (
     "VOTER ID NUMBER",
 )
 
-# Row key within a table scan; no column of the table bears this name.
-ROW = "_row"
-
 FILE_COLUMNS = (
     "source_bucket",
     "file_name",
@@ -64,13 +68,13 @@ def scan_table(
     All columns are scanned in one job. ``key`` names a row key, which makes ties and samples
     repeatable; it is not scanned.
     """
-    row = F.col(key) if key else F.monotonically_increasing_id()
+    row, at = F.col(quoted(key)) if key else F.monotonically_increasing_id(), free_name(df, "_row")
     names = [c for c in (columns or df.columns) if c != key]
-    values = strip_values(melt_columns(df.withColumn(ROW, row), names, ids=[ROW]))
-    sampled = sample_values(values, sample_size, key=[ROW], seed=seed)
-    hits = scan_first(sampled, rules=rules, ids=["column_name", ROW])
+    values = strip_values(melt_columns(df.withColumn(at, row), names, ids=[at]))
+    sampled = sample_values(values, sample_size, key=[at], seed=seed)
+    hits = scan_first(sampled, rules=rules, ids=["column_name", at])
     expected = local_table(df.sparkSession, [(n,) for n in names], column_name=pa.string())
-    labels = label_by_count(hits, ["column_name"], order=(ROW, "position"))
+    labels = label_by_count(hits, ["column_name"], order=(at, "position"))
     labels = with_missing(labels, expected, ["column_name"])
     return _stored(labels, ["column_name"], lookup).select(
         table_id.alias("table_id"), "column_name", "json", "detected_entity", "data_element"
@@ -112,8 +116,10 @@ def scan_files(
 ) -> tuple[DataFrame, DataFrame]:
     """(result rows, rejected files) of files of any format, each sent to the scan for its route.
 
-    Texts go to the text scan. Tables are labelled by all entities over all their columns. Files
-    of formats that no reader takes are returned with their keys and ``route`` 'rejected'.
+    Texts go to the text scan. Tables are labelled by all entities over all their columns, cells
+    beyond the header's width and the pieces of broken records included. Files of formats that
+    no reader takes are returned with their keys and ``route`` 'rejected', broken records of tables
+    with ``route`` 'broken' and their ``row_id``.
     """
     keys = list(keys)
     extension = file_extension(F.col(name))
@@ -122,14 +128,17 @@ def scan_files(
     )
     routed = files.withColumn("_route", F.when(F.col(name).contains("."), taken))
     texts = scan_documents(routed.filter("_route = 'text'"), lookup, col, keys)
-    cells = table_cells(routed.filter("_route = 'table'"), keys, name, col)
+    cells = file_cells(routed.filter("_route = 'table'"), keys, name, col)
     hits = scan_values(cells, "value", COLUMN_RULES, ids=[*keys, "column_name", "row_id"])
     labels = label_by_count(hits, keys, order=("row_id", "position"))
     tables = _stored(labels, keys, lookup).select(
         *keys, "json", "detected_entity", "data_element"
     )
-    rejected = routed.filter("_route IS NULL").select(*keys, F.lit("rejected").alias("route"))
-    return texts.unionByName(tables), rejected
+    rejected = routed.filter("_route IS NULL").select(
+        *keys, F.lit("rejected").alias("route"), F.lit(None).cast("long").alias("row_id")
+    )
+    broken = cells.where("broken").select(*keys, F.lit("broken").alias("route"), "row_id").distinct()
+    return texts.unionByName(tables), rejected.unionByName(broken)
 
 
 def register_seen(results: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def classify_files(
     customer: str = "customer_id",
     rules: Ruleset = TEXT_RULES,
 ) -> DataFrame:
-    """Run rows of uploaded files: one per customer, with the reports of all their files."""
+    """Run rows of uploaded files: one per file, with its customer and its report."""
     reports = file_reports(files, col, [customer, "file_name", "file_size"], rules)
     return classifier_run(reports, customer)
 

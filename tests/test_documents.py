@@ -136,3 +136,60 @@ def test_cells_of_table_files(spark):
             ("c.JSON", "x", 0, "1"), ("c.JSON", "x", 1, "2"),
         ]
     )
+
+
+def test_broken_records_and_surplus_cells_are_kept(spark):
+    long = "y" * 140_000
+    files = spark.createDataFrame(
+        [
+            ("h.csv", 'a,b\n1,"q ""in"" q",surplus,"s, 2"\n5" disk,x" y\n"",z\n'),
+            ("i.csv", 'a,b\n1,"open\n2,"fine, yes"\n3,x'),
+            ("j.json", '{"a": "p\\"q\\\\", "e": {}, "t": [[{"k": "v"}]]}\n{"a": oops}\n{"a": 2} x\n{"a": 3}}'),
+            ("k.json", '{\n "a": {"b": 1.5},\n "c": "x"\n}'),
+            ("l.csv", "\ufeffname\r\nJohn\r\n"),
+            ("m.csv", f'a,b\n"{long}",{long}\n'),
+            ("n.json", '[1, "two", [3]]'),
+        ],
+        "`file.name` string, text string",
+    )
+    got = prepare.file_cells(files, ["file.name"], name="`file.name`").collect()
+    good = sorted((f, "?" if c is None else c, r, v) for f, c, r, v, broken in got if not broken)
+    assert good == [
+        ("h.csv", "?", 0, "s, 2"), ("h.csv", "?", 0, "surplus"),
+        ("h.csv", "a", 0, "1"), ("h.csv", "a", 1, '5" disk'), ("h.csv", "a", 2, ""),
+        ("h.csv", "b", 0, 'q "in" q'), ("h.csv", "b", 1, 'x" y'), ("h.csv", "b", 2, "z"),
+        ("i.csv", "a", 1, "2"), ("i.csv", "a", 2, "3"), ("i.csv", "b", 1, "fine, yes"),
+        ("i.csv", "b", 2, "x"),
+        ("j.json", "a", 0, 'p"q\\'), ("j.json", "t.k", 0, "v"),
+        ("k.json", "a.b", 0, "1.5"), ("k.json", "c", 0, "x"),
+        ("l.csv", "name", 0, "John"),
+        ("m.csv", "a", 0, long), ("m.csv", "b", 0, long),
+        ("n.json", "", 0, "1"), ("n.json", "", 1, "two"), ("n.json", "", 2, "3"),
+    ]
+    assert {(r[0], r.row_id, r.value) for r in got if r.broken} == {
+        ("i.csv", 0, "1"), ("i.csv", 0, "open"),
+        ("j.json", 1, "a"), ("j.json", 1, "oops"),
+        ("j.json", 2, "a"), ("j.json", 2, "2} x"),
+        ("j.json", 3, "a"), ("j.json", 3, "3"),
+    }
+
+
+def test_deep_json_is_kept(spark):
+    deep = "[" * 80 + '"ABCPK1234Z"' + "]" * 80
+    files = spark.createDataFrame([("a.json", f'{{"x": {deep}, "y": 1}}')], "file_name string, text string")
+    got = {r.column_name: r.value for r in prepare.table_cells(files, ["file_name"]).collect()}
+    assert got["y"] == "1" and "ABCPK1234Z" in got["x"]
+
+
+def test_table_columns_of_any_name(spark):
+    from hushmap.plans import jobs
+    from hushmap.sources.results import load_data_elements
+
+    df = spark.createDataFrame(
+        [(1, "ABCPK1234Z", "ABCPK1234Z", "x"), (2, "ABCPK1234Z", "ABCPK1234Z", "x")],
+        "`k.id` int, _row string, `a``b` string, `c.d` string",
+    )
+    found = jobs.scan_table(df, F.lit("t"), load_data_elements(spark), key="k.id", sample_size=2)
+    assert {r.column_name: r.detected_entity for r in found.collect()} == {
+        "_row": "PAN", "a`b": "PAN", "c.d": "NA",
+    }

@@ -391,6 +391,62 @@ def _d19_dispatch(spark, sf):
     ).unionByName(rejected.select("file_name", F.col("route").alias("outcome")))
 
 
+_SURPLUS, _LONG = "ABCPK1234Z", "y" * 140_000
+_BROKEN_FILES_SQL = (
+    f"WITH {_SHAPES}, one AS (SELECT kind || '.csv' AS file_name, row_id, "
+    "replace(value, chr(10), ' ') AS value FROM value_shapes UNION ALL "
+    "SELECT kind || '.json', row_id, value FROM value_shapes UNION ALL "
+    f"SELECT DISTINCT kind || '.csv', 1000000000000001, '{_SURPLUS}' FROM value_shapes UNION ALL "
+    "SELECT DISTINCT kind || '.csv', 1000000000000002, repeat('y', 140000) FROM value_shapes), "
+    f"hits AS ({oracle.column_hits('one', ['file_name', 'row_id'])}), "
+    f"{oracle.label_sql('hits', ['file_name'], 'row_id, position, nth')} "
+    "SELECT file_name, highest_label AS outcome, CAST(confidence_score AS DOUBLE) AS confidence, "
+    "NULL::BIGINT AS row_id FROM labels UNION ALL "
+    "SELECT DISTINCT kind || ending, 'broken', NULL::DOUBLE, 0 FROM value_shapes, "
+    "(VALUES ('.csv'), ('.json')) e(ending)"
+)
+
+
+def broken_files(spark, sf):
+    """Tables as CSV and JSON texts whose first record is broken; the CSV texts also have a hit
+    beyond the header's width and a very long cell."""
+    rows = fixture(spark, sf, "value_shapes")
+    flat = F.replace("value", F.lit("\n"), F.lit(" "))
+    cell = F.concat(F.lit('"'), F.replace(flat, F.lit('"'), F.lit('""')), F.lit('"'))
+    out = []
+    for ending, line, start, join, end in (
+        (".csv", cell, 'note,value\nx,"open\n,', "\n,", f"\nx,y,{_SURPLUS}\n,{_LONG}\n"),
+        (".json", F.to_json(F.struct(F.struct("value").alias("inner"))), '{"inner": {"value": x\n', "\n", ""),
+    ):
+        listed_rows = F.sort_array(F.collect_list(F.struct("row_id", line.alias("line"))))
+        body = F.array_join(F.transform(listed_rows, lambda x: x["line"]), join)
+        out.append(
+            rows.groupBy("kind").agg(F.concat(F.lit(start), body, F.lit(end)).alias("text")).select(
+                F.concat("kind", F.lit(ending)).alias("file_name"), "text"
+            )
+        )
+    return reduce_union(out)
+
+
+@query("d19_broken_files", _BROKEN_FILES_SQL)
+def _d19_broken(spark, sf):
+    """Broken records are listed, all others labelled, and nothing of a file is left unread."""
+    found, rejected = jobs.scan_files(
+        broken_files(spark, sf), load_data_elements(spark), keys=["file_name"]
+    )
+    confidence = F.get_json_object("json", "$.confidence_score").cast("double")
+    return found.select(
+        "file_name",
+        F.col("detected_entity").alias("outcome"),
+        confidence.alias("confidence"),
+        F.lit(None).cast("long").alias("row_id"),
+    ).unionByName(
+        rejected.select(
+            "file_name", F.col("route").alias("outcome"), F.lit(None).cast("double").alias("confidence"), "row_id"
+        )
+    )
+
+
 def _json_sql(entities: str) -> str:
     """Stored JSON of a label, from CTE columns."""
     return (
