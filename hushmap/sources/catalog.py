@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +15,12 @@ from hushmap.functions.scalar import (
     repaired_document,
 )
 from hushmap.schemas import CATALOG_KEYS
+from hushmap.session import scratch_path
 
 MISSING_TEXT = "NA"
 TABLE_PROFILE = "tableProfile"
+#: Partitions, by hash of the key, of a table that uploads are merged into.
+KEY_BUCKETS = 64
 
 
 def catalog_key(entity_type: str) -> str:
@@ -133,111 +134,109 @@ def upsert_profiler_metadata(metadata: DataFrame, batch: DataFrame) -> DataFrame
     return upsert_by_key(metadata, derived, "entityFQNHash", keys=batch)
 
 
-class VersionedTable:
-    """Parquet table kept as numbered versions; the newest complete one is current.
-
-    A replacement is written beside the version it reads and counts only once Spark's commit
-    marker is there, so a job that dies half-way changes nothing.
-    """
+class UploadedRows:
+    """A stored table in which the rows of an upload replace those of earlier ones by key.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path.rstrip("/")
-
-    def version(self) -> int | None:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = hadoop_path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        complete = [
-            int(status.getPath().getName().removeprefix("v"))
-            for status in fs.listStatus(root)
-            if status.getPath().getName().removeprefix("v").isdigit()
-            and fs.exists(hadoop_path(status.getPath(), "_SUCCESS"))
-        ]
-        return max(complete, default=None)
+    The rows lie in partitions by the hash of their key. A merge reads and writes only the
+    partitions that its keys fall into, in Spark's dynamic overwrite mode. Each row keeps the
+    place of its upload in the order of arrival, so of several uploads with a key the last to
+    arrive wins, in whatever order their files are merged; and it keeps its writer, so a merge
+    that is run again replaces its own rows. The places of uploads are listed beside the rows.
 
-    def read(self) -> DataFrame:
-        version = self.version()
-        if version is None:
-            raise FileNotFoundError(f"no complete version below {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{version}")
-
-    def write(self, df: DataFrame, sort: Sequence[str] = (), version: int | None = None) -> int:
-        """Publish a new version; sorting inside files keeps their min/max ranges narrow."""
-        if version is None:
-            current = self.version()
-            version = 0 if current is None else current + 1
-        rows = df.sortWithinPartitions(*sort) if sort else df
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        return version
-
-    def upsert(self, batch: DataFrame, key: str, version: int | None = None) -> int:
-        current = self.version()
-        merged = batch if current is None else upsert_by_key(self.read(), batch, key)
-        return self.write(merged, sort=[key], version=version)
-
-
-class UploadedTable(VersionedTable):
-    """A table with the changes of later uploads beside it.
-
-    Appending writes the new rows only. Reading keeps, for each key, the rows of its last upload;
-    the numbered versions come before all uploads. ``compact`` writes what is read as a new
-    version and notes which changes it holds.
+    Only one merge into a table may run at a time. A merge that dies while Spark moves its
+    partitions into place is made whole by running it again, if its old partitions still stand;
+    keep a copy of the table where that matters.
     """
 
-    UPLOAD = "_upload"
-
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        super().__init__(spark, path)
-        self.key = key
+    UPLOAD, WRITTEN = "_upload", "_written"
+    ARRIVAL, WRITER, BUCKET = "_arrival", "_writer", "_bucket"
 
-    def append(self, rows: DataFrame, writer: str) -> None:
-        """Add rows that carry their upload's name; the same ``writer`` replaces its own rows."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/changes/{writer}")
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = KEY_BUCKETS):
+        """``buckets`` counts for a new table; a stored one keeps its own."""
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.uploads = f"{self.path}/_uploads"
+        self.buckets = buckets
 
-    def changes(self) -> list[str]:
-        """Complete changes that the current version does not hold."""
-        version = self.version()
-        held = set()
-        if version is not None and self._exists(f"{self.path}/held/v{version}/_SUCCESS"):
-            held = {r.writer for r in self.spark.read.parquet(f"{self.path}/held/v{version}").collect()}
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/changes/*/*/_SUCCESS")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [s.getPath().getParent() for s in fs.globStatus(path) or []]
-        names = {f"{p.getParent().getName()}/{p.getName()}" for p in found}
-        return sorted(names - held)
+    def create(self, rows: DataFrame) -> None:
+        """Store a table that comes before all uploads."""
+        self._list("create", self.spark.createDataFrame([(None, 0)], "upload string, arrival long"))
+        placed = rows.withColumns({self.ARRIVAL: F.lit(0).cast("long"), self.WRITER: F.lit("create")})
+        self._store(self._placed(placed, self.buckets))
 
     def read(self) -> DataFrame:
-        names = self.changes()
-        version = self.version()
-        if not names:
-            return super().read()
-        rows = self.spark.read.parquet(*[f"{self.path}/changes/{n}" for n in names])
-        if version is not None:
-            stored = super().read()
-            rows = rows.select(*stored.columns, self.UPLOAD).unionByName(
-                stored.withColumn(self.UPLOAD, F.lit(None).cast("string"))
+        return self.spark.read.parquet(self.path).drop(self.ARRIVAL, self.WRITER, self.BUCKET)
+
+    def merge(self, rows: DataFrame, writer: str) -> None:
+        """Add rows that carry ``UPLOAD``, the name of their upload, and ``WRITTEN``, the time it
+        was written.
+
+        Rows with the same key stay together if they are of the same upload, however many merges
+        bring it. Rows with a null key replace nothing and are never replaced.
+        """
+        step = scratch_path(self.spark, "upload")
+        rows.write.parquet(step)
+        rows = self.spark.read.schema(rows.schema).parquet(step)
+        if rows.isEmpty():
+            return
+        arrivals, buckets = self._arrivals(rows, writer)
+        placed = rows.join(arrivals, F.col(self.UPLOAD).eqNullSafe(F.col("upload"))).withColumns(
+            {self.ARRIVAL: F.col("arrival"), self.WRITER: F.lit(writer)}
+        )
+        placed = self._placed(placed.drop("upload", "arrival", self.UPLOAD, self.WRITTEN), buckets)
+        touched = [r[0] for r in placed.select(self.BUCKET).distinct().collect()]
+        both = placed
+        if self._exists(self.path, rows=True):
+            stored = self.spark.read.parquet(self.path).where(
+                F.col(self.BUCKET).isin(touched) & (F.col(self.WRITER) != writer)
             )
-        last = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max(self.UPLOAD).alias("_last"))
-        latest = rows.join(last, F.col(self.key) == F.col("_key"), "left").where(
-            F.col("_key").isNull() | F.col(self.UPLOAD).eqNullSafe(F.col("_last"))
+            both = stored.unionByName(placed, allowMissingColumns=True)
+        last = both.groupBy(F.col(self.key).alias("_key")).agg(F.max(self.ARRIVAL).alias("_last"))
+        latest = both.join(last, F.col(self.key) == F.col("_key"), "left").where(
+            F.col("_key").isNull() | (F.col(self.ARRIVAL) == F.col("_last"))
         )
-        return latest.drop("_key", "_last", self.UPLOAD)
-
-    def compact(self) -> int:
-        names = self.changes()
-        current = self.version()
-        version = 0 if current is None else current + 1
-        if current is not None and self._exists(f"{self.path}/held/v{current}/_SUCCESS"):
-            before = self.spark.read.parquet(f"{self.path}/held/v{current}").collect()
-            names = names + [r.writer for r in before]
-        rows = self.read()
-        held = self.spark.createDataFrame([(n,) for n in names], "writer string")
-        held.write.mode("overwrite").parquet(f"{self.path}/held/v{version}")
-        return self.write(rows, sort=[self.key], version=version)
-
-    def _exists(self, path: str) -> bool:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+        self._store(latest.drop("_key", "_last"))
+
+    def _arrivals(self, rows: DataFrame, writer: str) -> tuple[DataFrame, int]:
+        """(upload, arrival) of the uploads in ``rows``, and the table's number of partitions."""
+        mine = rows.groupBy(F.col(self.UPLOAD).alias("upload")).agg(F.min(self.WRITTEN).alias("written"))
+        start, buckets = 0, self.buckets
+        known = self.spark.createDataFrame([], "upload string, arrival long")
+        if self._exists(self.uploads):
+            listed = self.spark.read.parquet(self.uploads)
+            others = listed.where(F.col("writer") != _folder(writer))
+            start = others.agg(F.max("arrival")).first()[0] or 0
+            buckets = listed.agg(F.max("buckets")).first()[0]
+            known = others.groupBy("upload").agg(F.min("arrival").alias("arrival"))
+        # At most one upload per file of a trigger.
+        fresh = mine.join(known.where("upload IS NOT NULL").select("upload"), "upload", "left_anti")
+        order = Window.orderBy("written", "upload")
+        numbered = fresh.select("upload", (F.row_number().over(order) + start).cast("long").alias("arrival"))
+        self._list(writer, numbered, buckets)
+        own = self.spark.read.parquet(f"{self.uploads}/writer={_folder(writer)}")
+        all_known = known.select("upload", "arrival").unionByName(own.select("upload", "arrival"))
+        return all_known.join(mine.select(F.col("upload").alias("_mine")), F.col("upload").eqNullSafe(F.col("_mine"))).select(
+            "upload", "arrival"
+        ), buckets
+
+    def _list(self, writer: str, uploads: DataFrame, buckets: int | None = None) -> None:
+        rows = uploads.withColumn("buckets", F.lit(buckets or self.buckets))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.uploads}/writer={_folder(writer)}")
+
+    def _placed(self, rows: DataFrame, buckets: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(buckets)).cast("int")
+        return rows.withColumn(self.BUCKET, place)
+
+    def _store(self, rows: DataFrame) -> None:
+        """Rebalancing splits a partition that holds a hot key between several writers."""
+        rows.hint("rebalance", self.BUCKET).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(self.BUCKET).parquet(self.path)
+
+    def _exists(self, path: str, rows: bool = False) -> bool:
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{self.BUCKET}=*" if rows else path)
+        fs = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return bool(fs.globStatus(hadoop_path))
+
+
+def _folder(writer: str) -> str:
+    return writer.replace("/", "-")

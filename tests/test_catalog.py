@@ -7,7 +7,13 @@ from hushmap.plans import jobs
 from hushmap.plans.views import VIEWS, register_views
 from hushmap.schemas import TABLES
 from hushmap.sources import catalog, results
-from hushmap.streaming.incremental import stream_scan, stream_scan_files, stream_upsert
+from hushmap.streaming.incremental import (
+    file_status,
+    rejected_files,
+    stream_scan,
+    stream_scan_files,
+    stream_upsert,
+)
 from workload.fixtures import fixture
 from workload.scans import _docs
 
@@ -15,7 +21,11 @@ ROW = "id string, v int"
 
 
 def rows(df):
-    return sorted(map(tuple, df.collect()))
+    return ordered(map(tuple, df.collect()))
+
+
+def ordered(found):
+    return sorted(found, key=lambda row: [(v is None, str(v)) for v in row])
 
 
 def test_upsert_replaces_keys_and_keeps_duplicates(spark):
@@ -26,16 +36,36 @@ def test_upsert_replaces_keys_and_keeps_duplicates(spark):
     assert rows(catalog.upsert_by_key(once, batch, "id")) == rows(once)
 
 
-def test_versions_are_published_whole(spark, tmp_path):
-    table = catalog.VersionedTable(spark, str(tmp_path / "t"))
-    assert table.version() is None
-    with pytest.raises(FileNotFoundError):
-        table.read()
-    table.upsert(spark.createDataFrame([("a", 1), ("b", 2)], ROW), "id")
-    (tmp_path / "t" / "v7").mkdir()  # a write that never finished
-    assert table.version() == 0
-    table.upsert(spark.createDataFrame([("b", 3)], ROW), "id")
-    assert (table.version(), rows(table.read())) == (1, [("a", 1), ("b", 3)])
+def uploaded(spark, *drops):
+    """Rows (upload, written, id, n)."""
+    return spark.createDataFrame(list(drops), "_upload string, _written double, id string, n long")
+
+
+def test_merged_uploads_replace_by_arrival(spark, tmp_path):
+    table = catalog.UploadedRows(spark, str(tmp_path / "t"), "id", buckets=3)
+    table.create(spark.createDataFrame([("a", 0), ("z", 0), (None, 0)], "id string, n long"))
+    table.merge(uploaded(spark, ("u9", 1.0, "a", 1), ("u9", 1.0, "b", 1), ("u9", 1.0, "b", 2)), "s/0")
+    table.merge(uploaded(spark, ("u10", 2.0, "a", 3), ("u8", 3.0, "c", 4), ("u10", 2.0, "c", 5)), "s/1")
+    want = [("a", 3), ("b", 1), ("b", 2), ("c", 4), ("z", 0), (None, 0)]
+    assert rows(table.read()) == ordered(want)
+    # A merge that is run again replaces its own rows, a late part of an upload does not win.
+    again = catalog.UploadedRows(spark, str(tmp_path / "t"), "id", buckets=99)
+    again.merge(uploaded(spark, ("u10", 2.0, "a", 3), ("u8", 3.0, "c", 4), ("u10", 2.0, "c", 5)), "s/1")
+    again.merge(uploaded(spark, ("u9", 9.0, "a", 7), ("u9", 9.0, "b", 8), ("u9", 9.0, None, 9)), "s/2")
+    want += [("b", 8), (None, 9)]
+    assert rows(again.read()) == ordered(want)
+    again.merge(uploaded(spark), "s/3")
+    assert rows(again.read()) == ordered(want)
+
+
+def test_merges_rewrite_only_the_partitions_of_their_keys(spark, tmp_path):
+    table = catalog.UploadedRows(spark, str(tmp_path / "t"), "id", buckets=16)
+    table.create(spark.range(500).select(F.col("id").cast("string"), F.lit(0).alias("n")))
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.glob("t/_bucket=*/*.parquet")}
+    table.merge(uploaded(spark, ("u", 1.0, "7", 1)), "s/0")
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.glob("t/_bucket=*/*.parquet")}
+    changed = {p.parent.name for p in before.keys() ^ after.keys()}
+    assert len(changed) == 1 and table.read().count() == 500
 
 
 def test_batches_are_checked_and_filled(spark):
@@ -133,20 +163,61 @@ def test_stream_upsert_equals_batch_upsert(spark, tmp_path):
     first = spark.createDataFrame([("a", 1), ("b", 2)], ROW)
     second = spark.createDataFrame([("b", 3), ("b", 4), ("c", 4)], ROW)
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "t", "checkpoint"))
-    catalog.VersionedTable(spark, target).write(spark.createDataFrame([("a", 0), ("z", 0)], ROW))
+    table = catalog.UploadedRows(spark, target, "id")
+    table.create(spark.createDataFrame([("a", 0), ("z", 0)], ROW))
     for n, batch in enumerate((first, second)):
         batch.repartition(2).write.parquet(f"{source}/{n}")
         for _ in range(2):
             stream_upsert(
                 spark, source, first.schema, target, "id", checkpoint, max_files=1
             ).awaitTermination()
-    table = catalog.UploadedTable(spark, target, "id")
-    want = [("a", 1), ("b", 3), ("b", 4), ("c", 4), ("z", 0)]
-    assert rows(table.read()) == want
-    table.compact()
-    assert table.changes() == [] and rows(table.read()) == want
-    spark.createDataFrame([("z", 9)], ROW).write.parquet(f"{source}/2")
-    stream_upsert(spark, source, first.schema, target, "id", checkpoint).awaitTermination()
-    assert rows(table.read()) == [*want[:-1], ("z", 9)]
-    table.compact()
-    assert table.changes() == [] and rows(table.read()) == [*want[:-1], ("z", 9)]
+    assert rows(table.read()) == [("a", 1), ("b", 3), ("b", 4), ("c", 4), ("z", 0)]
+
+
+def test_each_pass_over_a_flat_folder_is_an_upload(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in a", "t", "checkpoint"))
+    for n in range(2):
+        spark.createDataFrame([("a", n), ("b" if n else "c", n)], ROW).write.mode("append").parquet(source)
+        stream_upsert(
+            spark, source, spark.createDataFrame([], ROW).schema, target, "id", checkpoint
+        ).awaitTermination()
+    assert rows(catalog.UploadedRows(spark, target, "id").read()) == [("a", 1), ("b", 1), ("c", 0)]
+
+
+def test_files_that_fail_are_listed_retried_and_left(spark, tmp_path):
+    lookup = results.load_data_elements(spark)
+    source = tmp_path / "in"
+    (source / "sub").mkdir(parents=True)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (source / "a [1].txt").write_text("call 555-123-4567")
+    (source / "sub" / "a [1].txt").write_text("call 555-123-4568\ncall 555-123-4569")
+    (source / "b.csv").write_bytes(b"x,y\n\xff,555-123-4567\n")
+    (source / "c.json").write_bytes(b'{"x": "\xff"}')
+    (source / "d.exe").write_bytes(b"\xff")
+    (source / "e.json").write_text('{"x": "ABCPK1234Z"}\n{"x": ')
+
+    def scanned():
+        stream_scan_files(
+            spark, str(source), out, checkpoint, lookup, "s3", "bucket", "eu", max_attempts=2
+        ).awaitTermination()
+        status = {
+            r.path.rsplit("/in/")[-1]: (r.status, r.attempt) for r in file_status(spark, out).collect()
+        }
+        found = spark.read.parquet(out).select("file_name", "detected_entity", "file_size")
+        return status, rows(found)
+
+    status, found = scanned()
+    good = [("a [1].txt", "PHONE_NUMBER", 17), ("a [1].txt", "PHONE_NUMBER", 35), ("e.json", "PAN", 26)]
+    assert found == good
+    assert status["b.csv"] == status["c.json"] == ("failed", 1)
+    assert status["sub/a [1].txt"] == status["d.exe"] == ("done", 1)
+    (error,) = file_status(spark, out).where("path LIKE '%b.csv'").select("error").collect()
+    assert "no UTF-8 text" in error.error
+    (source / "b.csv").write_text("x,y\nz,ABCPK1234Z\n")
+    status, found = scanned()
+    assert found == ordered([*good, ("b.csv", "PAN", 17)])
+    assert status["b.csv"] == ("done", 2) and status["c.json"] == ("quarantined", 2)
+    (source / "c.json").write_text('{"x": "ABCPK1234Z"}')
+    assert scanned() == (status, found)
+    rejected = {(r.file_name, r.route, r.row_id) for r in rejected_files(spark, out).collect()}
+    assert rejected == {("d.exe", "rejected", None), ("e.json", "broken", 1)}

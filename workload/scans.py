@@ -13,12 +13,18 @@ from hushmap.plans import jobs
 from hushmap.rules import COLUMN_RULES, DOCUMENT_CLASSES, TEXT_RULES, Ruleset
 from hushmap.rules.documents import EMAIL_PATTERN, NRIC, PHONE_PATTERN
 from hushmap.session import scratch_path
-from hushmap.sources.catalog import UploadedTable, VersionedTable
+from hushmap.sources.catalog import UploadedRows
 from hushmap.sources.files import route_files
 from hushmap.sources.results import load_data_elements
-from hushmap.streaming.incremental import stream_scan, stream_upsert
+from hushmap.streaming.incremental import (
+    file_status,
+    rejected_files,
+    stream_scan,
+    stream_scan_files,
+    stream_upsert,
+)
 from workload import oracle
-from workload.fixtures import ctes, fixture, read_texts, sql_over, text
+from workload.fixtures import ctes, fixture, read, read_texts, sql_over, text
 from workload.registry import query
 
 _IDS = ["source", "row_id"]
@@ -713,6 +719,98 @@ def _t01_new(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("stream", "batch")
 
 
+def _written(spark, path: str, body: bytes) -> None:
+    """A file below the shared folder, with exactly these bytes."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop_path, True)
+    stream.write(bytearray(body))
+    stream.close()
+
+
+def _write_files(files, by_name: str, path: str) -> None:
+    """Write each text of ``files`` to the file it names, below ``path``; texts stay on executors."""
+    files.write.partitionBy("file_name").text(by_name)
+    spark = files.sparkSession
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path(path))
+    for part in fs.globStatus(hadoop_path(f"{by_name}/file_name=*/part-*")):
+        name = part.getPath().getParent().getName().removeprefix("file_name=")
+        fs.rename(part.getPath(), hadoop_path(f"{path}/{name}"))
+
+
+@query(
+    "t01_failed_file",
+    f"WITH scanned AS ({_SCANNED_DOCS}) SELECT file_name, detected_entity, 'results' AS found "
+    "FROM scanned UNION ALL VALUES ('bad.parquet', NULL, 'failed'), ('bad.parquet', NULL, 'done')",
+)
+def _t01_failed(spark, sf):
+    """One file cannot be read: the others are scanned at once, it is listed, and it is scanned
+    by the first pass after its repair."""
+    base = scratch_path(spark, "stream-failed")
+    docs = _docs(spark, sf)
+    good, late = docs.filter("sub_service < 'es'"), docs.filter("sub_service >= 'es'")
+    good.write.parquet(f"{base}/in")
+    _written(spark, f"{base}/in/bad.parquet", b"no parquet at all")
+    lookup = load_data_elements(spark)
+
+    def scanned():
+        stream_scan(
+            spark, f"{base}/in", docs.schema, f"{base}/out", f"{base}/checkpoint", lookup
+        ).awaitTermination()
+        status = file_status(spark, f"{base}/out").where("path LIKE '%/bad.parquet'")
+        return spark.read.parquet(f"{base}/out").drop("stream", "batch"), status.collect()
+
+    first, listed = scanned()
+    first.write.parquet(f"{base}/first")
+    late.coalesce(1).write.parquet(f"{base}/repaired")
+    repaired = spark.read.format("binaryFile").load(f"{base}/repaired/part-*").first().content
+    _written(spark, f"{base}/in/bad.parquet", bytes(repaired))
+    second, again = scanned()
+    both = spark.read.parquet(f"{base}/first").exceptAll(second)
+    bad = [("bad.parquet", r.status) for r in listed + again]
+    shown = spark.createDataFrame(bad, "file_name string, found string")
+    # Rows of the first pass that the second lost, of which there are none, would show as such.
+    rows = second.withColumn("found", F.lit("results")).unionByName(both.withColumn("found", F.lit("lost")))
+    return rows.select("file_name", "detected_entity", "found").unionByName(shown, allowMissingColumns=True)
+
+
+@query(
+    "t01_mixed_files",
+    f"{_BROKEN_FILES_SQL} UNION ALL SELECT 'n' || n_nationkey || '.exe', 'rejected', NULL, NULL "
+    "FROM nation UNION ALL SELECT 'bad.csv', 'failed', NULL, NULL",
+)
+def _t01_mixed(spark, sf):
+    """Tables, files of no known format and one that is no text, all in one folder."""
+    base = scratch_path(spark, "stream-mixed")
+    others = read(spark, sf, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey", F.lit(".exe")).alias("file_name"), F.col("n_name").alias("text")
+    )
+    _write_files(broken_files(spark, sf).unionByName(others), f"{base}/by-name", f"{base}/in")
+    _written(spark, f"{base}/in/bad.csv", b"a,b\n\xff\xfe,ABCPK1234Z\n")
+    for _ in range(2):
+        stream_scan_files(
+            spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", load_data_elements(spark),
+            "s3,lake", "bucket", "eu", max_files=40,
+        ).awaitTermination()
+    found = spark.read.parquet(f"{base}/out")
+    rejected = rejected_files(spark, f"{base}/out")
+    confidence = F.get_json_object("json", "$.confidence_score").cast("double")
+    failed = file_status(spark, f"{base}/out").where("status <> 'done'")
+    return (
+        found.select("file_name", F.col("detected_entity").alias("outcome"), confidence.alias("confidence"))
+        .unionByName(
+            rejected.select("file_name", F.col("route").alias("outcome"), "row_id"), allowMissingColumns=True
+        )
+        .unionByName(
+            failed.select(
+                F.substring_index("path", "/", -1).alias("file_name"), F.col("status").alias("outcome")
+            ),
+            allowMissingColumns=True,
+        )
+    )
+
+
 _SECOND = """
 SELECT 't' || CAST(s_suppkey * 2 AS STRING) AS id, 'second' AS updatedBy, s_name AS name
 FROM $supplier$"""
@@ -737,21 +835,59 @@ def _t02(spark, sf):
     base = scratch_path(spark, "stream-upsert")
     first = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
     _stream_uploads(spark, base, (first, sql_over(spark, sf, _SECOND)))
-    return UploadedTable(spark, f"{base}/table", "id").read()
+    return UploadedRows(spark, f"{base}/table", "id").read()
 
 
 @query("t02_existing_table", _UPSERTED_STREAM)
 def _t02_existing(spark, sf):
-    """The first upload of a stream changes a table that was there before, also once compacted."""
+    """The first upload of a stream changes a table that was there before."""
     base = scratch_path(spark, "stream-existing")
     first = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
-    VersionedTable(spark, f"{base}/table").write(first)
+    table = UploadedRows(spark, f"{base}/table", "id")
+    table.create(first)
     _stream_uploads(spark, base, (sql_over(spark, sf, _SECOND),))
-    table = UploadedTable(spark, f"{base}/table", "id")
-    table.compact()
     return table.read()
 
 
+@query("t02_flat_folder", _UPSERTED_STREAM)
+def _t02_flat(spark, sf):
+    """Files of two passes over one folder without subfolders: each pass is an upload."""
+    base = scratch_path(spark, "stream-flat")
+    first = fixture(spark, sf, "table_entity").select("id", "updatedBy", "name")
+    for drop in (first, sql_over(spark, sf, _SECOND)):
+        drop.write.mode("append").parquet(f"{base}/in")
+        stream_upsert(
+            spark, f"{base}/in", drop.schema, f"{base}/table", "id", f"{base}/checkpoint"
+        ).awaitTermination()
+    return UploadedRows(spark, f"{base}/table", "id").read()
+
+
+_PART = (
+    "SELECT 's' || CAST(s_suppkey % (3 * (11 - {n})) AS STRING) AS id, 'drop{n}' AS updatedBy, "
+    "s_name AS name FROM $supplier$"
+)
+_TEN_SQL = " UNION ALL ".join(
+    f"SELECT *, {n} AS n FROM ({_PART.format(n=n).replace('$supplier$', 'supplier')})" for n in range(1, 11)
+)
+
+
+@query(
+    "t02_ten_uploads",
+    f"WITH d AS ({_TEN_SQL}), l AS (SELECT id, max(n) AS n FROM d GROUP BY id) "
+    "SELECT id, updatedBy, name FROM d JOIN l USING (id, n)",
+)
+def _t02_ten(spark, sf):
+    """upload-10 comes after upload-9 though its name sorts before it; all wait for one pass."""
+    base = scratch_path(spark, "stream-ten")
+    for n in range(1, 11):
+        drop = sql_over(spark, sf, _PART.format(n=n))
+        drop.write.parquet(f"{base}/in/upload-{n}")
+    stream_upsert(
+        spark, f"{base}/in", drop.schema, f"{base}/table", "id", f"{base}/checkpoint", max_files=3
+    ).awaitTermination()
+    return UploadedRows(spark, f"{base}/table", "id").read()
+
+
 _DOUBLED = "SELECT 't' || CAST(s_suppkey % 40 AS STRING) AS id, s_name AS name FROM $supplier$"
 
 
@@ -768,6 +904,6 @@ def _t02_many(spark, sf):
         base = scratch_path(spark, "stream-files")
         old = rows.withColumn("name", F.lit("old"))
         _stream_uploads(spark, base, (old, rows), max_files)
-        read_back = UploadedTable(spark, f"{base}/table", "id").read()
+        read_back = UploadedRows(spark, f"{base}/table", "id").read()
         out.append(read_back.withColumn("max_files", F.lit(max_files)))
     return out[0].unionByName(out[1])
