@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,11 @@ IMAGE_FORMATS = ("jpg", "jpeg", "png")
 READ_AS = {"csv": "table", "json": "table", "txt": "text"}
 
 
+def literal_paths(paths: Sequence[str]) -> list[str]:
+    """Paths that stand for themselves, also with brackets and stars in them."""
+    return [re.sub(r"[\\{}\[\]*?]", r"\\\g<0>", path) for path in paths]
+
+
 def list_files(
     spark: SparkSession, path: str, formats: Sequence[str] = TABLE_FORMATS + TEXT_FORMATS
 ) -> DataFrame:

@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+from hushmap.operators.prepare import quoted
+from hushmap.sources.files import literal_paths
 
 CATALOG_SEPARATOR = ";"
 DELIMITERS = (",", ";", "\t", "|")
 PREVIEW_LINES = 20
+#: Bytes at the start of a file that tell its form.
+HEAD_BYTES = 65_536
 QUOTED = re.compile(r'"(?:[^"]|"")*"')
 
 
 def read_catalog_csv(
     spark: SparkSession,
     path: str,
-    schema: StructType | None = None,
+    schema: T.StructType | None = None,
     sep: str = CATALOG_SEPARATOR,
     multi_line: bool = True,
 ) -> DataFrame:
@@ -36,9 +44,92 @@ def read_catalog_csv(
 def read_csv_auto(
     spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True
 ) -> DataFrame:
-    """CSV whose delimiter is told from its first lines."""
-    reader = _csv(spark, multi_line).option("sep", detect_delimiter(spark, path))
-    return reader.option("inferSchema", infer).csv(path)
+    """CSV files whose delimiters and headers are told from their first lines, each by its own.
+
+    Files of one delimiter and header are read together; the readers are united by column name,
+    and a file without a column has nulls there. Columns whose types differ between readers are
+    strings, unless all are numbers.
+    """
+    parts = []
+    for sep, files in _dialects(spark, path):
+        reader = _csv(spark, multi_line).option("sep", sep).option("inferSchema", infer)
+        parts.append(reader.csv(literal_paths(files)))
+    if not parts:
+        return _csv(spark, multi_line).option("inferSchema", infer).csv(path)
+    return _united(parts)
+
+
+def _united(parts: Sequence[DataFrame]) -> DataFrame:
+    kinds: dict[str, set[T.DataType]] = {}
+    for field in (f for part in parts for f in part.schema.fields):
+        kinds.setdefault(field.name, set()).add(field.dataType)
+    mixed = {
+        name
+        for name, types in kinds.items()
+        if len(types) > 1 and not all(isinstance(t, T.NumericType) for t in types)
+    }
+    same = [
+        part.withColumns({n: F.col(quoted(n)).cast("string") for n in part.columns if n in mixed})
+        for part in parts
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)
+
+
+def _dialects(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(delimiter, files) of each delimiter and header; one address per file is on the driver."""
+
+    def told(batches):
+        for batch in batches:
+            heads = [
+                head.rsplit("\n", 1)[0] if length > HEAD_BYTES else head
+                for head, length in zip(batch.column("head").to_pylist(), batch.column("length").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("path"),
+                    pa.array([_delimiter(head) for head in heads], pa.string()),
+                    pa.array([head.lstrip("\ufeff").split("\n", 1)[0].rstrip("\r") for head in heads], pa.string()),
+                ],
+                ["path", "sep", "header"],
+            )
+
+    heads = file_heads(spark, path).where("length > 0")
+    found: dict[tuple[str, str], list[str]] = {}
+    for row in heads.mapInArrow(told, "path string, sep string, header string").sort("path").collect():
+        found.setdefault((row.sep, row.header), []).append(row.path)
+    return [(sep, files) for (sep, _), files in found.items()]
+
+
+def file_heads(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> DataFrame:
+    """(path, length, head): the first ``size`` bytes of each file as text, read in tasks.
+
+    Files in stores that these tasks cannot open by themselves are read whole by Spark, and cut.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+
+    def opened(batches):
+        for batch in batches:
+            heads = [_head(p, size) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(heads, pa.binary())], ["path", "length", "head"]
+            )
+
+    near = listed.select("path", "length").mapInArrow(opened, "path string, length long, head binary")
+    far = [r.path for r in near.where("head IS NULL").select("path").collect()]
+    heads = near.where("head IS NOT NULL")
+    if far:
+        whole = spark.read.format("binaryFile").load(literal_paths(far))
+        heads = heads.unionByName(whole.select("path", "length", F.substring("content", 1, size).alias("head")))
+    return heads.withColumn("head", F.make_valid_utf8(F.col("head").cast("string")))
+
+
+def _head(path: str, size: int) -> bytes | None:
+    try:
+        store, name = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+        with store.open_input_stream(name) as stream:
+            return stream.read(size)
+    except (OSError, pa.ArrowException, ValueError):
+        return None
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
@@ -47,7 +138,12 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     What stands in quotes, line breaks included, does not count.
     """
     rows = spark.read.text(path).limit(PREVIEW_LINES).collect()
-    bare = QUOTED.sub("", "\n".join(row.value for row in rows))
+    return _delimiter("\n".join(row.value for row in rows))
+
+
+def _delimiter(head: str) -> str:
+    first = "\n".join(head.replace("\r\n", "\n").split("\n")[:PREVIEW_LINES])
+    bare = QUOTED.sub("", first)
     # A value whose closing quote lies behind the preview takes its record's rest along.
     lines = bare.split('"')[0].split("\n")
     lines = lines[:-1] if '"' in bare else lines
@@ -73,31 +169,32 @@ def _csv(spark: SparkSession, multi_line: bool):
 
 
 def read_json_records(
-    spark: SparkSession, path: str, schema: StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame:
     """Records from JSON lines, JSON arrays and single objects, nested as they are.
 
-    Each file is read in its own form, which its first line that is not blank tells: JSON lines
-    begin with a whole object, arrays and indented objects do not.
+    Each file is read in its own form, which the first line of its head that is not blank tells:
+    JSON lines begin with a whole object, arrays and indented objects do not.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("at"),
-        F.trim("value").alias("value"),
+    line = F.regexp_extract("head", r"^\ufeff?\s*+([^\n]*+)", 1)
+    # An object on a line longer than the head has no line feed there.
+    cut = (F.col("length") > HEAD_BYTES) & ~F.ltrim("head").contains("\n")
+    by_lines = line.startswith("{") & (cut | F.get_json_object(line, "$").isNotNull())
+    forms = (
+        file_heads(spark, path)
+        .select(F.col("path").alias("file"), F.coalesce(by_lines, F.lit(False)).alias("lines"), "head")
+        .where(F.trim("head") != "")
+        .select("file", "lines")
+        .sort("file")
+        .collect()
     )
-    first = lines.where("value <> ''").groupBy("file").agg(F.min_by("value", "at").alias("value"))
-    whole = F.col("value").startswith("{") & F.get_json_object("value", "$").isNotNull()
-    forms = first.select("file", F.coalesce(whole, F.lit(False)).alias("lines")).collect()
     parts = []
     for by_line in (True, False):
         # One address per file, as Spark's own reader keeps on the driver.
         files = [r.file for r in forms if r.lines == by_line]
         if files:
             reader = spark.read.option("multiLine", not by_line)
-            parts.append((reader.schema(schema) if schema else reader).json(files))
+            parts.append((reader.schema(schema) if schema else reader).json(literal_paths(files)))
     if not parts:
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.json(path)

@@ -11,7 +11,6 @@ listed with its error and tried again by the next passes, a few times, then left
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -24,7 +23,7 @@ from pyspark.sql.types import StructType
 from hushmap.plans.jobs import FILE_COLUMNS, scan_documents, scan_files
 from hushmap.rules import TEXT_RULES, Ruleset
 from hushmap.sources.catalog import UploadedRows
-from hushmap.sources.files import file_metadata
+from hushmap.sources.files import file_metadata, literal_paths
 
 MAX_FILES = 1_000
 MAX_ATTEMPTS = 5
@@ -57,7 +56,7 @@ def stream_scan(
     """
 
     def scan(session: SparkSession, paths: list[str]) -> tuple[DataFrame, None]:
-        rows = session.read.schema(schema).parquet(*_literal(paths))
+        rows = session.read.schema(schema).parquet(*literal_paths(paths))
         return scan_documents(rows, lookup, col, keys, rules), None
 
     return _scan_arrived(spark, path, False, scan, out, checkpoint, max_files, max_attempts)
@@ -83,7 +82,7 @@ def stream_scan_files(
     """
 
     def scan(session: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-        files = session.read.format("binaryFile").load(_literal(paths))
+        files = session.read.format("binaryFile").load(literal_paths(paths))
         text = F.col("content").cast("string")
         readable = F.lower("path").rlike(r"\.(txt|csv|json)$")
         checked = F.when(F.is_valid_utf8(text), text).otherwise(
@@ -105,11 +104,6 @@ def stream_scan_files(
     return _scan_arrived(spark, path, True, scan, out, checkpoint, max_files, max_attempts)
 
 
-def _literal(paths: list[str]) -> list[str]:
-    """Paths that stand for themselves, also with brackets and stars in them."""
-    return [re.sub(r"[\\{}\[\]*?]", r"\\\g<0>", path) for path in paths]
-
-
 def file_status(spark: SparkSession, out: str) -> DataFrame:
     """Files (path, modified, status, attempt, error) that scans into ``out`` took, at their last attempt.
 

@@ -101,6 +101,34 @@ def test_delimiter_detection(spark, tmp_path):
         assert readers.read_csv_auto(spark, str(path)).columns == ["a", "b", "c"]
 
 
+def test_files_of_a_folder_are_read_each_by_its_own_form(spark, tmp_path):
+    (tmp_path / "a 1.csv").write_text("id,name\n1,x;y\n")
+    (tmp_path / "b.csv").write_text('\ufeffname;id\r\n"p;q";2\r\n')
+    (tmp_path / "c.csv").write_text("id|note|a.b\n3|z|w\n" + "4|long|" + "v" * 100_000 + "\n")
+    (tmp_path / "d.csv").write_text("id\tname\nx5\tq\n")
+    (tmp_path / "e.csv").write_text("")
+    back = readers.read_csv_auto(spark, str(tmp_path))
+    assert sorted(back.columns) == ["a.b", "id", "name", "note"]
+    got = {r["id"]: (r["name"], r["note"], r["a.b"]) for r in back.collect()}
+    assert got.pop("4") == (None, "long", "v" * 100_000)
+    assert got == {
+        "1": ("x;y", None, None), "2": ("p;q", None, None), "3": (None, "z", "w"), "x5": ("q", None, None),
+    }
+    heads = {r.path.rsplit("/", 1)[1]: r for r in readers.file_heads(spark, str(tmp_path)).collect()}
+    assert len(heads) == 4 and len(heads["c.csv"].head) == readers.HEAD_BYTES
+    assert readers._head("nostore://x/y", 10) is None
+
+
+def test_json_forms_are_told_from_heads(spark, tmp_path):
+    long = "v" * 70_000
+    (tmp_path / "a.json").write_text(f'{{"x": "{long}"}}\n{{"x": "b"}}')
+    (tmp_path / "b.json").write_text('\n\n{\n "x": "c"\n}')
+    (tmp_path / "c.json").write_text('[{"x": "d"},\n{"x": "e"}]')
+    (tmp_path / "d.json").write_text(" \n")
+    got = sorted(r.x for r in readers.read_json_records(spark, str(tmp_path)).collect())
+    assert got == ["b", "c", "d", "e", long]
+
+
 def test_text_files_and_inventory(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "one.txt").write_text("first\nsecond")

@@ -81,6 +81,30 @@ def _s03(spark, sf):
     return readers.read_csv_strings(spark, _csv_path(spark, df, "strings", ","))
 
 
+@query(
+    "s02_mixed_folder",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN o_orderpriority END AS priority, "
+    "CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN o_orderstatus END AS other "
+    "FROM orders",
+)
+def _s02_mixed(spark, sf):
+    """One folder with files of four delimiters and three headers, with columns in any order; a
+    column that holds numbers in some files and letters in others."""
+    base = scratch_path(spark, "auto-mixed")
+    orders = read(spark, sf, "orders").where("o_orderkey IS NOT NULL")
+    forms = {
+        ",": ("o_orderkey AS id", "o_orderpriority AS priority", "o_custkey AS other"),
+        ";": ("o_orderpriority AS priority", "o_orderkey AS id"),
+        "|": ("o_orderstatus AS other", "o_orderkey AS id"),
+        "\t": ("o_orderkey AS id", "'a,b;c|d' AS unused"),
+    }
+    for kind, (sep, columns) in enumerate(forms.items()):
+        part = orders.where(F.col("o_orderkey") % 4 == kind).selectExpr(*columns).repartition(2)
+        part.write.mode("append").option("header", True).option("sep", sep).csv(base)
+    back = readers.read_csv_auto(spark, base)
+    return back.select(F.col("id").cast("bigint"), "priority", F.col("other").cast("string"))
+
+
 def _records(spark, sf):
     """Orders as nested records with a ``name`` at several depths."""
     orders = read(spark, sf, "orders")
