@@ -7,6 +7,7 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -162,7 +163,78 @@ def scan_spans(
     rules: Ruleset = COLUMN_RULES,
     ids: Sequence[str] = ("row_id",),
 ) -> DataFrame:
-    """Hits with their character offsets."""
+    """Hits (ids, entity, start, end, score, text) with their character offsets.
+
+    A text that hits is split at the matches of the rule; the offset of a match is what the pieces
+    and matches before it are long together. This is done for rules that hit, texts without hits
+    cost what ``scan_values`` does. Rules that may match nothing, which no text can be split at,
+    go through Python one by one.
+    """
+    empty = [rule for rule in rules.rules if rule.may_be_empty]
+    if empty:
+        others = replace(rules, rules=tuple(r for r in rules.rules if not r.may_be_empty))
+        spans = _python_spans(df, col, replace(rules, rules=tuple(empty)), ids)
+        return scan_spans(df, col, others, ids).unionByName(spans) if others.rules else spans
+    value = F.col(col)
+    regexes = F.array(*[F.lit(rule.spark_regex(rules.flags)) for rule in rules.rules])
+    groups = F.array(*[F.lit(rule.group) for rule in rules.rules])
+    hit = (
+        df.select(
+            F.struct(*ids).alias("ids"), value.alias("value"), F.explode_outer(value_hits(value, rules)).alias("hit")
+        )
+        .where("hit IS NOT NULL")
+        .withColumn("regex", F.get(regexes, F.col("hit.position")))
+    )
+    # What a match holds before its group is passed over; nothing stands after it.
+    matches = F.when(
+        F.get(groups, F.col("hit.position")) > 0, F.regexp_extract_all("value", F.col("regex"), F.lit(0))
+    ).otherwise(F.col("hit.texts"))
+    sizes = F.transform(F.arrays_zip(F.split("value", F.col("regex")).alias("p"), matches.alias("m")), lambda x: (
+        F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+    ))
+    placed = with_prefix_sums(hit.select("ids", "hit", sizes.alias("sizes")), "sizes", "ends")
+    return placed.select("ids", "hit", "ends", F.posexplode_outer("hit.texts").alias("nth", "text")).select(
+        *[F.col("ids").getField(c).alias(c) for c in ids],
+        F.col("hit.entity").alias("entity"),
+        (F.get("ends", F.col("nth")) - F.length("text")).cast("int").alias("start"),
+        F.get("ends", F.col("nth")).cast("int").alias("end"),
+        F.col("hit.score").alias("score"),
+        "text",
+    )
+
+
+def with_prefix_sums(df: DataFrame, numbers: str, out: str, block: int = 64) -> DataFrame:
+    """Add, for an array column, the array of the sums of its elements up to each element.
+
+    Blocks are summed first, so an element adds the blocks before its own, whose sums are known,
+    and less than one block of elements. Each step is a column that the next one uses twice, which
+    keeps it from being copied into the step's inner function.
+    """
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def part(i: Column, length: Column) -> Column:
+        return F.slice(numbers, i * block + 1, length)
+
+    count = F.ceil(F.size(numbers) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: total(part(i, F.lit(block))))
+    before = F.transform("_blocks", lambda _, i: total(F.slice("_blocks", F.lit(1), i)))
+    sums = F.transform(
+        "_before",
+        lambda b, i: F.transform(part(i, F.lit(block)), lambda _, k: b + total(part(i, k + 1))),
+    )
+    return (
+        df.withColumn("_blocks", blocks)
+        .withColumn("_before", before)
+        .withColumn(out, F.flatten(sums))
+        .drop("_blocks", "_before")
+    )
+
+
+def _python_spans(
+    df: DataFrame, col: str, rules: Ruleset, ids: Sequence[str]
+) -> DataFrame:
     patterns = [
         (rule.entity, rule.score, python_regex(rule, rules.flags), rule.group)
         for rule in rules.rules

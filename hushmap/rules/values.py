@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from re import _parser
 
 from pyspark.sql import DataFrame
 
@@ -71,6 +72,11 @@ class Rule:
         """Whether a cheap test can tell that the rule does not hit."""
         return self.whole_value or bool(self.lead or self.search)
 
+    @property
+    def may_be_empty(self) -> bool:
+        """Whether the pattern may match no character, as patterns of users can."""
+        return _parser.parse(self.search or self.regex).getwidth()[0] == 0
+
     @property
     def trial(self) -> str:
         """Pattern that is found in every text the rule hits, fit for an alternation."""

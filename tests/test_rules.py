@@ -112,6 +112,20 @@ def test_scans_agree_with_a_plain_loop(spark, sf, rules):
     assert first == firsts
 
 
+def test_offsets_of_many_matches_and_of_empty_ones(spark):
+    text = "é😀 " + "Mr x " * 1000
+    values = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "row_id int, value string")
+    found = scan_spans(values, "value", COLUMN_RULES.only("TITLE")).collect()
+    assert sorted((r.start, r.end, r.text) for r in found) == [
+        (3 + 5 * k, 5 + 5 * k, "Mr") for k in range(1000)
+    ]
+    rules = COLUMN_RULES.only("TITLE").with_rules([("GAP", "(?=x)|z*", 0.5)])
+    some = spark.createDataFrame([(1, "Mr xzz")], "row_id int, value string")
+    spans = {(r.entity, r.start, r.end) for r in scan_spans(some, "value", rules).collect()}
+    want = {("GAP", m.start(), m.end()) for m in re.finditer("(?=x)|z*", "Mr xzz")}
+    assert spans == want | {("TITLE", 0, 2)}
+
+
 def test_long_line_is_scanned_in_linear_time(spark):
     line = "word " * 200_000
     values = spark.createDataFrame([(1, line + "1@"), (2, line + "A1@x")], "row_id int, value string")

@@ -7,6 +7,8 @@ do not exist there are put as equivalent SQL.
 
 from __future__ import annotations
 
+import re
+
 from hushmap.rules import COLUMN_RULES, TEXT_RULES, Rule, Ruleset
 from workload.fixtures import text
 
@@ -55,11 +57,14 @@ def matches(rule: Rule, list_name: str) -> str:
 # four kinds of character.
 _LINE_REST = f"regexp_replace(x, '^[^{WORD}]*', '')"
 _LINE_BODY = f"regexp_replace({_LINE_REST}, '[^{WORD}]*$', '')"
-PASSWORD_MATCHES = (
-    "list_transform(list_filter(string_split(value, chr(10)), lambda x: "
+_LINE_HITS = (
     f"regexp_matches({_LINE_REST}, '[0-9]') AND regexp_matches({_LINE_REST}, '[a-z]') "
     f"AND regexp_matches({_LINE_REST}, '[A-Z]') AND regexp_matches({_LINE_REST}, '[@#$%^&+=]') "
-    f"AND length({_LINE_BODY}) >= 8), lambda x: {_LINE_BODY})"
+    f"AND length({_LINE_BODY}) >= 8"
+)
+PASSWORD_MATCHES = (
+    f"list_transform(list_filter(string_split(value, chr(10)), lambda x: {_LINE_HITS}), "
+    f"lambda x: {_LINE_BODY})"
 )
 
 
@@ -114,3 +119,51 @@ labels AS (
   SELECT {", ".join("c." + x for x in keys)}, c.entity AS highest_label,
          {confidence("c.n", "c.total::BIGINT")} AS confidence_score, t.entities
   FROM ranked c JOIN lists t ON {on} WHERE rn = 1)"""
+
+
+def spans(rules: Ruleset, source: str, ids: list[str]) -> str:
+    """SQL for all hits with their offsets: entity, start, end, score, text."""
+    keys = ", ".join(ids)
+    parts = []
+    for rule in rules.rules:
+        found = matches(rule, rules.name)
+        if rule.whole_value:
+            starts = f"list_transform({found}, lambda x: 0)"
+        elif rule.entity == "PASSWORD":
+            lines = "string_split(value, chr(10))"
+            good = f"list_filter(range(len({lines})), lambda i: len(list_filter([{lines}[i + 1]], lambda x: {_LINE_HITS})) > 0)"
+            before = f"list_sum(list_transform({lines}[1:i], lambda x: length(x) + 1))"
+            skipped = f"list_transform([{lines}[i + 1]], lambda x: length(x) - length({_LINE_REST}))[1]"
+            starts = f"list_transform({good}, lambda i: coalesce({before}, 0) + {skipped})"
+        elif rule.entity == "ADDRESS":
+            inner = rule.regex.replace(r"\b", "").replace(r"\s", r"\s\s").replace(r"\w", f"[{WORD}]")
+            doubled = f"regexp_replace(value, '([^{WORD}])', '\\1\\1', 'g')"
+            around = f"(?:^|[^{WORD}])({inner})(?:$|[^{WORD}])"
+            bare = f"(?:^|[^{WORD}])(?:{inner})(?:$|[^{WORD}])"
+            whole = f"regexp_extract_all({doubled}, {text(around)}, 0)"
+            group = f"regexp_extract_all({doubled}, {text(around)}, 1)"
+            at = _starts(f"regexp_split_to_array({doubled}, {text(bare)})", whole)
+            # A doubled prefix, with the character before the match, has each other character twice.
+            head = f"left({doubled}, {at}[i] + strpos({whole}[i], {group}[i]) - 1)"
+            starts = (
+                f"list_transform(range(1, len({whole}) + 1), lambda i: length({head}) - "
+                f"length(regexp_replace({head}, '[{WORD}]', '', 'g')) // 2)"
+            )
+        else:
+            regex = re.sub(r"\((?!\?)", "(?:", rule.regex)
+            starts = _starts(f"regexp_split_to_array({MASK}, {text(regex)})", found)
+        parts.append(
+            f"SELECT {keys}, {text(rule.entity)} AS entity, CAST(start AS INT) AS start, "
+            f'CAST(start + length(text) AS INT) AS "end", CAST({rule.score} AS DOUBLE) AS score, text '
+            f"FROM (SELECT {keys}, unnest({starts}) AS start, unnest({found}) AS text FROM {source}) AS t"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def _starts(pieces: str, found: str) -> str:
+    """Offsets of matches, from the pieces around them."""
+    return (
+        f"list_transform(range(1, len({found}) + 1), lambda i: CAST("
+        f"coalesce(list_sum(list_transform(({pieces})[1:i], lambda s: length(s))), 0) + "
+        f"coalesce(list_sum(list_transform(({found})[1:i - 1], lambda s: length(s))), 0) AS BIGINT))"
+    )

@@ -68,7 +68,7 @@ def _d01_text(spark, sf):
     return _corpus_hits(spark, sf)
 
 
-@query("d02_scan_spans")
+@query("d02_scan_spans", f"WITH {_CORPUS} {oracle.spans(TEXT_RULES, 'corpus', _IDS)}")
 def _d02(spark, sf):
     return detect.scan_spans(fixture(spark, sf, "corpus"), "value", TEXT_RULES, _IDS)
 
