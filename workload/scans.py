@@ -273,7 +273,43 @@ _SCORES_SQL = (
 )
 
 
-@query("d10_keyword_scores")
+def _longest_block(a: str, b: str) -> str:
+    """The longest text in both, first in ``a``, as {k: length, i: place in a}."""
+    return (
+        f"list_filter(flatten(list_transform(range(least(length({a}), length({b})), 0, -1), lambda k: "
+        f"list_transform(range(1, length({a}) - k + 2), lambda i: {{'k': k, 'i': i}}))), "
+        f"lambda m: strpos({b}, substr({a}, m.i, m.k)) > 0)[1]"
+    )
+
+
+# Matching blocks of a token and a keyword, as the ratio of their similarity counts them: the
+# longest one, and in turn those to its left and to its right. Few pairs have an edit distance
+# that allows for the ratio; distances may count bytes, of which a character has up to four.
+_BLOCKS = f"""
+candidates AS (
+  SELECT token, keyword FROM (SELECT DISTINCT token FROM tokens) t
+  JOIN (SELECT DISTINCT keyword FROM keywords) k ON levenshtein(token, keyword) <=
+    (length(token) + length(keyword) - 1) // 5 *
+    CASE WHEN strlen(token) = length(token) AND strlen(keyword) = length(keyword) THEN 1 ELSE 4 END),
+blocks AS (
+  SELECT token, keyword, token AS a, keyword AS b, {_longest_block("token", "keyword")} AS m FROM candidates
+  UNION ALL
+  SELECT token, keyword, x.a, x.b, {_longest_block("x.a", "x.b")} FROM (
+    SELECT token, keyword, unnest([
+      {{'a': left(a, m.i - 1), 'b': left(b, strpos(b, substr(a, m.i, m.k)) - 1)}},
+      {{'a': substr(a, m.i + m.k), 'b': substr(b, strpos(b, substr(a, m.i, m.k)) + m.k)}}]) AS x
+    FROM blocks WHERE m IS NOT NULL) WHERE x.a <> '' AND x.b <> ''),
+near AS (
+  SELECT token, keyword FROM blocks GROUP BY token, keyword
+  HAVING 2.0::DOUBLE * sum(m.k) / (length(token) + length(keyword)) * 100 > 80)"""
+_FUZZY_SQL = (
+    _SCORES_SQL.split("scores AS (")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"{_BLOCKS}, scores AS (SELECT doc_id, class_position, class, count(*) AS score FROM tokens "
+    "JOIN near USING (token) JOIN keywords USING (keyword) GROUP BY doc_id, class_position, class)"
+)
+
+
+@query("d10_keyword_scores", f"{_FUZZY_SQL} SELECT * FROM scores")
 def _d10(spark, sf):
     return documents.keyword_scores(_papers(spark, sf))
 
@@ -300,7 +336,35 @@ def _d11(spark, sf):
     return documents.classify_documents(documents.keyword_scores(_papers(spark, sf), exact=True))
 
 
-@query("d12_document_report")
+def _in_order(values: str) -> str:
+    """Distinct elements of a list, in order, as one text."""
+    return (
+        f"array_to_string(list_filter({values}, lambda x, i: list_position({values}, x) = i), '|')"
+    )
+
+
+_FOUND_SQL = ", ".join(
+    f"nullif(regexp_extract_all(text, {text(c.regex)}), [])" for c in DOCUMENT_CLASSES if c.has_identifier
+)
+_PHONES_SQL = (
+    f"list_filter(list_concat(regexp_extract_all(text, {text(PHONE_PATTERN)}, 1), "
+    f"regexp_extract_all(text, {text(PHONE_PATTERN)}, 2)), lambda p: p <> '')"
+)
+
+
+@query(
+    "d12_document_report",
+    f"{_FUZZY_SQL}, regions AS (SELECT * FROM (VALUES {_REGION_ROWS}) AS r(class_position, "
+    "country_of_origin)), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score "
+    "DESC, class_position) AS rn FROM scores), found AS (SELECT doc_id, text, "
+    f"coalesce({_FOUND_SQL}, []) AS ids, regexp_extract_all(text, {text(EMAIL_PATTERN)}) AS mails, "
+    f"{_PHONES_SQL} AS phones FROM papers) "
+    "SELECT f.doc_id AS file_path, CASE WHEN score >= 5 THEN class END AS pii_class, "
+    "coalesce(score, 0) AS score, country_of_origin, 0 AS faces, "
+    f"{_in_order('ids')} AS identifiers, {_in_order('mails')} AS emails, "
+    f"{_in_order('phones')} AS phone_numbers, '' AS addresses FROM found f "
+    "LEFT JOIN best b ON b.doc_id = f.doc_id AND rn = 1 LEFT JOIN regions USING (class_position)",
+)
 def _d12(spark, sf):
     report = documents.document_report(_papers(spark, sf))
     lists = ("identifiers", "emails", "phone_numbers", "addresses")
