@@ -24,11 +24,13 @@ from hushmap.rules.documents import (
     DocumentClass,
 )
 from hushmap.rules.values import JAVA_FLAGS
-from hushmap.session import local_table
-
-# Matched tokens are at most half as long again as the longest keyword, so this many rows
-# stay well below the broadcast limit.
+from hushmap.session import local_table, scratch_path
 
+# Matched tokens are at most half as long again as the longest keyword, so this many rows of
+# them are a few megabytes, fit to be broadcast.
+MOST_BROADCAST = 50_000
+# Parts that each token is dealt into where they are shuffled.
+SALTS = 16
 CLASS_SLOTS = 1024
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -204,17 +206,49 @@ def similar_tokens(vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def normal_tokens(text: Column) -> Column:
+    """Tokens of a text in the form in which they are compared with keywords."""
+    long = F.filter(F.split(text, TOKEN_BREAK), lambda t: F.length(t) >= MIN_TOKEN_CHARS)
+    return F.transform(long, normalize_token)
+
+
+def token_histogram(df: DataFrame, col: str = "text", ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Rows (ids, token, n) of the distinct tokens of each document, counted in its row.
+
+    Equal tokens are neighbours once sorted, so their number is the distance between first ones.
+    """
+    sorted_in = df.select(F.struct(*ids).alias("ids"), F.sort_array(normal_tokens(F.col(col))).alias("s"))
+    place = F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)))
+    firsts = F.filter(place, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    counted = F.transform(
+        "h",
+        lambda i, k: F.struct(
+            F.get("s", i).alias("token"), (F.coalesce(F.get("h", k + 1), F.size("s")) - i).alias("n")
+        ),
+    )
+    rows = sorted_in.withColumn("h", firsts).select("ids", F.explode_outer(counted).alias("e"))
+    return rows.where("e.token IS NOT NULL").select(
+        *[F.col("ids").getField(c).alias(c) for c in ids], "e.token", "e.n"
+    )
+
+
 def keyword_scores(
-    df: DataFrame, col: str = "text", ids: Sequence[str] = ("doc_id",), exact: bool = False
+    df: DataFrame,
+    col: str = "text",
+    ids: Sequence[str] = ("doc_id",),
+    exact: bool = False,
+    most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """Per document and class the number of (token, keyword) pairs that are similar.
 
-    Similarity is decided once per distinct token of the corpus. The few tokens that match are
-    joined back to the documents, in the way their measured size allows; classes without a pair
-    have no row.
+    Similarity is decided once per distinct token of the corpus. The tokens that match are written
+    to the shared folder and counted. Up to ``most_broadcast`` rows of them are broadcast to the
+    documents' tokens; more are shuffled with the documents' token histograms, every token in SALTS
+    parts, so that one which stands in every document is spread. Classes without a pair have no row.
     """
+    spark = df.sparkSession
     classes = local_table(
-        df.sparkSession,
+        spark,
         _keyword_rows(),
         class_position=pa.int32(),
         **{"class": pa.string()},
@@ -234,10 +268,21 @@ def keyword_scores(
         .groupBy("token", "class_position", "class")
         .agg(F.count(F.lit(1)).alias("pairs"))
     )
-    return (
-        occurrences.join(per_token, "token")
-        .groupBy(*ids, "class_position", "class")
-        .agg(F.sum("pairs").alias("score"))
+    path = scratch_path(spark, "matched-tokens")
+    per_token.write.parquet(path)
+    matched = spark.read.schema(per_token.schema).parquet(path)
+    if matched.count() <= most_broadcast:
+        joined = occurrences.withColumn("n", F.lit(1)).join(F.broadcast(matched), "token")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salt = F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int")
+        joined = (
+            token_histogram(df, col, ids)
+            .withColumn("_salt", salt)
+            .join(matched.withColumn("_salt", salts), ["token", "_salt"])
+        )
+    return joined.groupBy(*ids, "class_position", "class").agg(
+        F.sum(F.col("pairs") * F.col("n")).alias("score")
     )
 
 

@@ -193,3 +193,16 @@ def test_table_columns_of_any_name(spark):
     assert {r.column_name: r.detected_entity for r in found.collect()} == {
         "_row": "PAN", "a`b": "PAN", "c.d": "NA",
     }
+
+
+def test_scores_are_the_same_however_matched_tokens_are_joined(spark):
+    texts = ["passport Passport PASSPORT. x", "pasport income tax tax", "", None, "- --", "india " * 50]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    scores = [
+        sorted(map(tuple, documents.keyword_scores(df, most_broadcast=most).collect())) for most in (0, 1000)
+    ]
+    assert scores[0] == scores[1] != []
+    counts = documents.token_histogram(df).groupBy("token").agg(F.sum("n").alias("n")).collect()
+    assert {r.token: r.n for r in counts} == {
+        "passport": 3, "pasport": 1, "income": 1, "tax": 2, "india": 50, "": 1,
+    }
