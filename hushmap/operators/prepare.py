@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 MAX_TEXT_CHARS = 1_232_500
 CHUNK_CHARS = 1_000
 SAMPLE_BUCKETS = 65_536
+# Counts below spark.sql.optimizer.windowGroupLimitThreshold are limited before the shuffle.
+SKETCH_ROWS = 1_000
 
 # Characters a string strip removes: every Unicode blank and the old text separators.
 BLANKS = (
@@ -164,9 +166,11 @@ def sample_values(
 ) -> DataFrame:
     """Sample per column: an int is a number of values, a float a share of them.
 
-    Values are ordered by a hash of their key, so a rerun draws the same sample. For a count,
-    a histogram of hash buckets finds how far each column must be read; only the rows up to
-    that bucket are ranked, so no column is sorted or gathered as a whole.
+    Values are ordered by a hash of their key, so a rerun draws the same sample. For a count
+    below SKETCH_ROWS each partition keeps the least hashes of each column, as many as asked for,
+    and only these are shuffled and ranked: the values are read once. For larger counts a
+    histogram of hash buckets finds how far each column must be read, and only the rows up to
+    that bucket are ranked. No column is sorted or gathered as a whole.
     """
     if sample_size is None:
         return values
@@ -178,6 +182,11 @@ def sample_values(
             return values
         return hashed.filter(place < F.lit(int(max(sample_size, 0.0) * (1 << 63)))).drop("_hash")
     bucketed = hashed.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(SAMPLE_BUCKETS)))
+    ranked = Window.partitionBy(*by).orderBy("_bucket", "_hash", *key)
+    if sample_size < SKETCH_ROWS:
+        # Spark keeps the first rows of each group before the shuffle, and again after it.
+        kept = bucketed.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= sample_size)
+        return kept.select(*values.columns)
     running = Window.partitionBy(*by).orderBy("_bucket")
     histogram = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     cut = (
@@ -186,7 +195,6 @@ def sample_values(
         .groupBy(*by)
         .agg(F.max("_bucket").alias("_cut"))
     )
-    ranked = Window.partitionBy(*by).orderBy("_bucket", "_hash", *key)
     return (
         bucketed.join(cut, list(by))
         .filter(F.col("_bucket") <= F.col("_cut"))
