@@ -139,5 +139,5 @@ def emit(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     return (
         docs.join(taken, F.col(key).eqNullSafe(F.col(own)))
         .withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n))))
-        .select(*docs.columns)
+        .drop(own, n)
     )

@@ -3,7 +3,10 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from hushmap.llm import mixing
+from hushmap.llm.shared import stored
 from tests.llm.helpers import Groups, documents, words
 from tests.llm.test_models_and_duplicates import plain_sets
 from tests.llm.test_rules_and_mixing import plain_counts
@@ -13,7 +16,6 @@ pipeline = importlib.import_module("corpus_pipeline")
 
 def test_stages_follow_plain_loops(spark, sf):
     from hushmap.llm import quality_crf
-    from hushmap.llm.shared import stored
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -83,3 +85,18 @@ def test_near_duplicates_are_rows_not_ids(spark):
     ]
     got = pipeline.keep_one_of_each(spark, documents(spark, rows).repartition(3), None).collect()
     assert Counter((r.doc_id, r.text) for r in got) == {(5, one): 1, (7, "z " + two): 1, (None, three): 1}
+
+
+def test_no_column_of_the_documents_is_lost_or_changed(spark, sf):
+    names = (
+        "score", "predicted", "held_out", "kept", "rejected_by", "n_words", "_other", "_row", "_row_id",
+        "_doc", "component_id", "copies", "size", "target", "a`b", "_key",
+    )
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for _, stage in pipeline.STAGES[:-1]:
+        wide = stored(stage(spark, wide, sf))
+        assert wide.columns == [*docs.columns, *names]
+        rows = wide.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    assert pipeline.pack(spark, wide, sf).count() == len(rows)
