@@ -301,9 +301,14 @@ def _csv_cells(files: DataFrame) -> DataFrame:
             open_quote(s), record(F.replace(F.replace(s, F.lit('"')), F.col("d"), F.lit(CELL)), F.lit(True))
         ).otherwise(record(marked(s), F.lit(False))),
     )
-    records = prepared.select(
-        "keys", F.when(open_quote(F.col("text")), by_line).otherwise(by_record).alias("records")
-    ).select("keys", cells(F.get("records", F.lit(0))["s"]).alias("names"), F.posexplode_outer("records").alias("at", "r"))
+    # The header is taken before the records part, so that no record carries all others along.
+    records = (
+        prepared.select(
+            "keys", F.when(open_quote(F.col("text")), by_line).otherwise(by_record).alias("records")
+        )
+        .withColumn("names", cells(F.get("records", F.lit(0))["s"]))
+        .select("keys", "names", F.posexplode_outer("records").alias("at", "r"))
+    )
     rows = records.where("r.s <> ''").select(
         "keys", "names", "at", F.col("r.broken").alias("broken"), F.posexplode_outer(cells(F.col("r.s"))).alias("i", "value")
     )
@@ -324,7 +329,8 @@ def _json_cells(files: DataFrame) -> DataFrame:
     lines = F.filter(F.split("body", "\n"), lambda x: strip(x) != "")
     units = F.when(whole.isNotNull(), F.array("body")).otherwise(lines)
     rows = (
-        files.select("keys", whole.isNotNull().alias("whole"), F.posexplode_outer(units).alias("at", "unit"))
+        files.select("keys", whole.isNotNull().alias("whole"), units.alias("units"))
+        .select("keys", "whole", F.posexplode_outer("units").alias("at", "unit"))
         .where("unit <> ''")
         .withColumn("value", _strict_json(F.col("unit")))
     )
@@ -341,7 +347,9 @@ def _json_cells(files: DataFrame) -> DataFrame:
     depth = files.agg(F.max(_json_depth(F.col("body")))).first()[0] or 0
     found = rows.where(F.col("value").isNotNull()).select("keys", "whole", "at", F.lit("").alias("path"), "value")
     for level in range(min(depth, JSON_LEVELS) + 1):
-        held = found.withColumnRenamed("value", "held")
+        # Only single values go along with what is exploded, so that no element carries its array.
+        single = F.when(~_nested(F.col("value")), F.col("value"))
+        held = found.withColumn("single", single).withColumnRenamed("value", "held")
         inside = held.lateralJoin(spark.tvf.variant_explode_outer(F.col("held").outer()))
         # Level 0 takes off the brackets put around every unit; level 1 holds a text's records.
         element = F.col("whole") & F.col("key").isNull() & F.lit(level == 1)
@@ -353,7 +361,7 @@ def _json_cells(files: DataFrame) -> DataFrame:
             .when(F.col("path") == "", F.col("key"))
             .otherwise(F.concat("path", F.lit("."), "key"))
             .alias("path"),
-            F.when(F.col("pos").isNull(), F.col("held")).otherwise(F.col("value")).alias("value"),
+            F.coalesce("single", "value").alias("value"),
         )
     kind = F.schema_of_variant("value")
     shown = F.col("value").cast("string")
@@ -364,14 +372,16 @@ def _json_cells(files: DataFrame) -> DataFrame:
             F.col("at").cast("long").alias("row_id"),
             F.when(kind == "BOOLEAN", F.initcap(shown)).otherwise(shown).alias("value"),
             F.lit(False).alias("broken"),
-            kind.rlike("^(OBJECT|ARRAY)").alias("nested"),
         )
-        .where("value IS NOT NULL AND NOT (nested AND value IN ('{}', '[]'))")
-        .drop("nested")
+        .where("value IS NOT NULL")
         .unionByName(broken)
     )
 
 
+def _nested(value: Column) -> Column:
+    return F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+
+
 def _strict_json(text: Column) -> Column:
     """The text as the one element of a VARIANT array, or null where it is no JSON.
 
