@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushmap.llm.shared import (
@@ -23,22 +23,14 @@ from hushmap.llm.shared import (
 N = 5
 #: A link needs this many hundredths of the union in common.
 PERCENT = 75
-#: Keys of a set and least values in a key. Two sets that just reach the threshold share each key
-#: with probability 0.75 ** 4; that they share fewer than 2 of 60 has a probability under 1e-8, and
-#: any other way that links them serves as well.
-KEYS, KEY_VALUES, LEAST_KEYS = 60, 4, 2
-#: Mean number of elements in a set's sample: those whose hash, as a share of all, is below
-#: SAMPLE / size. Of two linked sets the larger holds at most 4/3 as many elements, so the share
-#: 0.75 * SAMPLE / size of one set is sampled in the other, too: about 72 elements that both
-#: samples show, all of a set of up to 72. Of these at least 3/4 are shared; that under 4/10 are
-#: has a probability of at most 2e-9.
-SAMPLE, SAMPLE_PERCENT = 96, 40
-#: The same for the smaller of two linked sets, of which 6/7 at least are shared: at most 1e-9.
-SMALLER_PERCENT = 54
-
-_random = np.random.default_rng(415)
-_TIMES = _random.integers(1, 1 << 62, KEYS * KEY_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _random.integers(1, 1 << 63, KEYS * KEY_VALUES, dtype=np.uint64)
+#: Two sets must share one more of their first elements for every COMMON_STEP elements of the
+#: smaller one. Results do not depend on it: smaller steps read more elements, and ask less.
+COMMON_STEP = 32
+#: Frequencies are counted in 2 ** ORDER_BITS buckets of element hashes. They only order elements;
+#: results do not depend on them.
+ORDER_BITS = 18
+#: Rows of one element, or questions to one set, that share a part of a join; at most so many parts.
+HOT, MOST_PARTS = 512, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
@@ -74,24 +66,6 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
-def set_keys(values: np.ndarray) -> np.ndarray:
-    """KEYS numbers; sets of similarity s share each with probability s ** KEY_VALUES."""
-    least = np.full(KEYS * KEY_VALUES, np.iinfo(np.uint64).max, np.uint64)
-    work = np.empty((KEYS * KEY_VALUES, min(len(values), 256)), np.uint64)
-    for low in range(0, len(values), 256):
-        part = values[low : low + 256]
-        view = work[:, : len(part)]
-        # The high half of each value drives the product's high bits; these are compared.
-        np.multiply(part[None, :], _TIMES[:, None], out=view)
-        np.bitwise_xor(view, _PLUS[:, None], out=view)
-        np.minimum(least, view.min(axis=1), out=least)
-    parts = mixed(least).reshape(KEYS, KEY_VALUES)
-    key = np.arange(KEYS, dtype=np.uint64)
-    for i in range(KEY_VALUES):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, i])
-    return key
-
-
 def _over_texts(df: DataFrame, schema: str, row: Callable[[np.ndarray], tuple]) -> DataFrame:
     """Columns (id, text) to (id, *row(set)) for each text."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -115,259 +89,307 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def sample_of(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """(sampled elements of a sorted set, how many of them, the first, its linked sets sample)."""
-    def below(share: float) -> int:
-        return len(values) if share >= 1 else int(np.searchsorted(values, np.uint64(int(share * 2.0**64))))
-
-    share = SAMPLE / max(len(values), 1)
-    return values[: below(share)], below(0.75 * share)
-
-
-def _signature(values: np.ndarray) -> tuple:
+def _signature(values: np.ndarray) -> tuple[int, int, int]:
     if not len(values):
-        return 0, 0, 0, None, 0
+        return 0, 0, 0
     with np.errstate(over="ignore"):
         sums = (values.sum(dtype=np.uint64), mixed(values ^ np.uint64(0xA5A5)).sum(dtype=np.uint64))
     a, b = _signed(np.array(sums, np.uint64)).tolist()
-    part, asked = sample_of(values)
-    return len(values), a, b, _signed(part), asked
+    return len(values), a, b
+
+
+def least_common(n: int) -> int:
+    """How many of their first elements two linked sets share, the smaller having ``n``."""
+    return 1 + n // COMMON_STEP
+
+
+def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(short, long): first elements, rarest first, to look at in a set of ``n``.
+
+    Linked sets of n <= m elements have at least 2 * percent / (100 + percent) of n, and percent
+    hundredths of m, in common. In any order of all elements, the first ``least_common(n)`` of
+    these are then among the first short(n) of the one and the first long(m) of the other.
+    """
+    smaller = -(-2 * percent * n // (100 + percent))
+    larger = -(-percent * n // 100)
+    return n - smaller + least_common(n), n - larger + least_common(n)
+
+
+def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def token_order(texts: DataFrame, bits: int = ORDER_BITS) -> np.ndarray:
+    """Rank of each bucket of element hashes: how many sets have elements in it, in steps of an
+    eighth. A table of 2 ** bits bytes, whatever the size of the corpus."""
+
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(1)):
+                found = np.concatenate(shingle_sets(data, offsets))
+                counts += np.bincount(_bucket(found, bits), minlength=1 << bits)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "c"])
+
+    found = texts.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    ranks = np.zeros(1 << bits, np.uint8)
+    steps = np.floor(6 * np.log2(1 + found["c"].to_numpy().astype(float)))
+    ranks[found["at"].to_numpy()] = np.minimum(steps, 255)
+    return ranks
+
+
+def prefix(values: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first elements of a sorted set, by rank and then by hash: as many as ``prefix_sizes``
+    says for its part as the larger of two sets."""
+    order = np.argsort(ranks[_bucket(values, int(len(ranks)).bit_length() - 1)], kind="stable")
+    return values[order[: prefix_sizes(len(values), percent)[1]]]
 
 
 def similar_documents(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    percent: int = PERCENT,
+    order_bits: int = ORDER_BITS,
 ) -> DataFrame:
-    """(key, n_shingles, component_id) per distinct key of ``docs``.
-
-    Two documents link when 100 * shared >= ``percent`` * union of their shingle sets; 75 or more,
-    as the keys are chosen for that. Every two linked documents have one component_id, the least
-    key that links reach. Documents without words, and null texts, link with nothing. Rows with a
-    null key are left out, as nothing could refer to them; of rows with one key, the least text
-    counts. Extra columns are not read. An empty table gives an empty result.
-
-    1. Sets that are equal are one class, represented by its least key.
-    2. A sample of each set, by hash, shows whether enough of its elements are in any other set.
-       Sets for which this fails, the great majority, can have no link.
-    3. The rest falls into groups: each set's keys (minima under random orders) lead it to the
-       least set with a key in common; the one with most keys in common is compared exactly, and
-       linked sets form a group.
-    4. The token-group matrix holds the groups' token unions, of samples first: a set can only
-       link into another group if enough of its sample is in the unions of other groups.
-    5. What is left asks single groups. Of two linked sets the smaller has at least
-       2 * percent / (100 + percent) of its tokens in the other, so it asks the groups with keys
-       in common. A first bound is taken with its sample and the union of the group's samples;
-       for what passes, the bound is taken with all its tokens and the group's whole union. Only
-       qualifying groups are opened: their members that share keys are compared exactly.
-
-    No step gathers a group: equal sets, leaders and unions are aggregates, and pairs are only
-    made inside groups whose unions pass the bound.
+    """(key, n_shingles, component_id) per row of ``docs``.
+
+    Two rows link when 100 * shared >= ``percent`` * union of their shingle sets. Every two linked
+    rows have one component_id, the least key that links reach. Documents without words, and null
+    texts, link with nothing; their component_id is their key. Rows are judged one by one: rows
+    with repeated keys each give a row, and rows with a null key are linked like others, their
+    component_id being null where no key is in reach. Extra columns are not read. An empty table
+    gives an empty result.
+
+    1. Sets that are equal are one class, which has a number; one row stands for it.
+    2. Elements are ordered by how often they occur, rarest first. Two linked sets share a known
+       number of their first elements (``prefix_sizes``). Sets that do not share enough of them
+       with any sets, the great majority, can have no link.
+    3. The rest falls into groups: each first element leads to the least set that has it; the one
+       with most elements in common is compared exactly, and linked sets form a group.
+    4. The token-group matrix holds the union of the first elements of each group's sets. The
+       smaller of two linked sets asks: a group qualifies if the set's first elements have enough
+       in common with that union.
+    5. Only qualifying groups are opened: members that share enough first elements with the asking
+       set are compared exactly.
+
+    No step rests on chance beside the 64-bit hashes that stand for shingles. No step gathers a
+    group: classes, leaders and unions are aggregates. Elements with many rows are joined in parts.
     """
-    if percent < 75:
-        raise ValueError("percent must be 75 or more")
-    texts = docs.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")
-    )
-    schema = "id long, n long, a long, b long, sample array<bigint>, asked long"
-    signed = stored(_over_texts(texts, schema, _signature))
-    if not signed.groupBy("id").count().where("count > 1").isEmpty():
-        texts = texts.groupBy("id").agg(F.min("t").alias("t"))
-        signed = stored(_over_texts(texts, schema, _signature))
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    signed = stored(_over_texts(texts, "id long, n long, a long, b long", _signature))
     # Equal sets: two independent 64-bit sums over the elements and the size agree.
     classes = stored(
         signed.where("n > 0")
         .groupBy("n", "a", "b")
-        .agg(F.min("id").alias("rep"))
+        .agg(F.min("id").alias("least"))
         .withColumnsRenamed({"n": "n2", "a": "a2", "b": "b2"})
+        .withColumn("rep", F.monotonically_increasing_id())
     )
-    equal = (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
-    first = F.col("id") == F.col("rep")
-    member = stored(
-        signed.where("n > 0")
-        .join(classes, equal)
-        .select("id", "rep", "asked", F.when(first, F.col("sample")).alias("sample"))
-    )
-    samples = member.where(first).select("id", F.col("id").alias("g"), "asked", "sample")
-    able = _seen_elsewhere(samples)
-    wide = _over_texts(
-        _only(texts, able),
-        "id long, n long, s array<bigint>, keys array<bigint>",
-        lambda values: (len(values), _signed(values), _signed(set_keys(values))),
-    )
-    sets = stored(wide)
-    spots = sets.select("id", F.explode("keys").alias("k"))
-    leaders = stored(
-        spots.groupBy("k")
-        .agg(F.min("id").alias("leader"), F.max("id").alias("other"))
-        .where("leader < other")
-        .select(F.col("k").alias("k2"), "leader")
-    )
+    sets = _Sets(texts, signed, classes)
+    ranks = token_order(texts, order_bits)
+    spots, sizes = _spots(sets, ranks, percent)
     tried = stored(
-        spots.join(leaders, F.col("k") == F.col("k2"), "left")
-        .where("leader < id")
-        .groupBy("id", "leader")
+        spots.where("leader < rep")
+        .groupBy("rep", "leader")
         .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= LEAST_KEYS)
-        .groupBy("id")
+        .groupBy("rep")
         .agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("with"))
     )
     links = stored(_linked(tried, sets, percent))
-    groups = stored(components(links, "id", "with").withColumnsRenamed({"id": "id2"}))
-    crossing = _crossing(samples, groups, sets, able, percent)
+    groups = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
+    crossing = _crossing(spots, sizes, groups, sets, percent)
     if crossing is not None:
         links = links.unionByName(crossing)
-        groups = stored(components(links, "id", "with").withColumnsRenamed({"id": "id2"}))
-    placed = member.select("id", "rep").join(groups, F.col("rep") == F.col("id2"), "left")
-    classed = placed.select(
-        F.col("id").alias("id3"), F.coalesce("component", "rep").alias("component_id")
+        groups = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
+    # The least key of each class's component.
+    placed = classes.join(groups, F.col("rep") == F.col("id2"), "left").select(
+        "n2", "a2", "b2", "least", F.coalesce("component", "rep").alias("component")
     )
-    return signed.join(classed, F.col("id") == F.col("id3"), "left").select(
+    keys = placed.groupBy(F.col("component").alias("c2")).agg(F.min("least").alias("component_id"))
+    named = placed.join(keys, F.col("component") == F.col("c2")).select("n2", "a2", "b2", "component_id")
+    return signed.join(named, _same_set(), "left").select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the given ids."""
-    named = if_few(ids.select(F.col("id").alias("id2")))
-    return rows.join(named, F.col("id") == F.col("id2"), "left_semi")
+def _same_set() -> Column:
+    return (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+
+
+class _Sets:
+    """The sets of classes, made from the texts whenever they are asked for."""
 
+    schema = "id long, n long, a long, b long, s array<bigint>"
 
-def _seen_elsewhere(samples: DataFrame) -> DataFrame:
-    """Ids of sets with enough of their sample in sets of other groups ``g``.
+    def __init__(self, texts: DataFrame, signed: DataFrame, classes: DataFrame):
+        self.texts, self.classes = texts, classes
+        # With a key of its own for each row, the least key of a class tells its row.
+        self.keyed = signed.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty()
 
-    The join keeps all elements, so that its size does not depend on how many are shared.
+    def arrays(self, row: Callable[[np.ndarray], np.ndarray], only: DataFrame | None = None) -> DataFrame:
+        """(rep, n, s): what ``row`` makes of the set of each class, or of those in ``only`` (rep).
+
+        Where rows share keys, more than one may stand for a class; they are equal, and one is
+        kept, within map tasks first.
+        """
+        texts, classes = self.texts, self.classes
+        if only is not None:
+            named = if_few(only.select(F.col("rep").alias("rep3")))
+            classes = stored(classes.join(named, F.col("rep") == F.col("rep3"), "left_semi"))
+            ids = classes.select(F.col("least").alias("id4")).distinct()
+            texts = texts.join(
+                if_few(stored(ids)), F.col("id").eqNullSafe(F.col("id4")), "left_semi"
+            )
+        rows = _over_texts(texts, self.schema, lambda v: (*_signature(v), _signed(row(v))))
+        if self.keyed:
+            least = if_few(classes.select(F.col("least").alias("id2"), "rep"))
+            return rows.join(least, F.col("id") == F.col("id2")).select("rep", "n", "s")
+        chosen = _same_set() & F.col("id").eqNullSafe(F.col("least"))
+        return rows.join(classes, chosen).groupBy("rep").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+
+
+def _spots(sets: _Sets, ranks: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+    """First elements that several sets have, as (rep, brief, x, leader), and the sizes (rep, n).
+
+    ``brief``: the element is among those of the set as the smaller of two; ``leader``: the least
+    set that has it. Sets that have too few such elements for any link are left out.
     """
-    tokens = samples.select("id", "g", "asked", F.posexplode("sample").alias("at", "x"))
+    firsts = sets.arrays(lambda v: prefix(v, ranks, percent))
+    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + _least_common(F.col("n"))
+    # The number of a set and whether the element is brief share a column, as many rows move.
+    tokens = firsts.select("rep", short.alias("short"), F.posexplode("s").alias("at", "x")).select(
+        (F.col("rep") * 2 + (F.col("at") < F.col("short")).cast("long")).alias("spot"), "x"
+    )
+    rep = F.shiftright("spot", 1)
     common = stored(
-        tokens.groupBy("x")
-        .agg(F.min("g").alias("low"), F.max("g").alias("high"))
-        .where("low < high")
-        .select(F.col("x").alias("x2"))
+        tokens.select("x", rep.alias("rep"))
+        .groupBy("x")
+        .agg(F.min("rep").alias("leader"), F.max("rep").alias("high"))
+        .where("leader < high")
+        .select(F.col("x").alias("x2"), "leader")
+    )
+    spots = stored(
+        tokens.join(common, F.col("x") == F.col("x2")).select(
+            rep.alias("rep"), (F.col("spot") % 2 == 1).alias("brief"), "x", "leader"
+        )
     )
-    own = tokens.where("at < asked").select("id", "asked", "x")
-    return stored(
-        own.join(common, F.col("x") == F.col("x2"), "left")
-        .groupBy("id", "asked")
-        .agg(F.count("x2").alias("c"))
-        .where(100 * F.col("c") >= SAMPLE_PERCENT * F.col("asked"))
-        .select("id", (100 * F.col("c") >= SMALLER_PERCENT * F.col("asked")).alias("may_ask"))
+    sizes = sets.classes.select(F.col("rep").alias("rep2"), F.col("n2").alias("n"))
+    able = stored(_enough(spots, sizes, percent))
+    return _only(spots, able), able
+
+
+def _least_common(n: Column) -> Column:
+    return F.floor(n / COMMON_STEP) + 1
+
+
+def _enough(spots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(rep, n) of sets with as many spots as a link needs with the smallest set they link with."""
+    counted = spots.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
+    smallest = F.ceil(F.col("n") * percent / 100)
+    return (
+        counted.join(sizes, F.col("rep") == F.col("rep2"))
+        .where(F.col("c") >= _least_common(smallest))
+        .select("rep", "n")
     )
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the given sets."""
+    named = if_few(ids.select(F.col("rep").alias("rep3")))
+    return rows.join(named, F.col("rep") == F.col("rep3"), "left_semi")
+
+
 def _crossing(
-    samples: DataFrame, groups: DataFrame, sets: DataFrame, able: DataFrame, percent: int
+    spots: DataFrame, sizes: DataFrame, groups: DataFrame, sets: _Sets, percent: int
 ) -> DataFrame | None:
     """Links between sets of different groups, found through the token-group matrix."""
     grouped = stored(
-        _only(samples.select("id", "asked", "sample"), able)
-        .join(groups, F.col("id") == F.col("id2"), "left")
-        .select("id", F.coalesce("component", "id").alias("g"), "asked", "sample")
-    )
-    left = _seen_elsewhere(grouped)
-    rest = stored(
-        _only(sets.select("id", "n", "keys"), left)
-        .join(grouped.withColumnRenamed("id", "id3"), F.col("id") == F.col("id3"))
-        .join(left.select(F.col("id").alias("id4"), "may_ask"), F.col("id") == F.col("id4"))
-        .select("id", "n", "g", "asked", "sample", "keys", "may_ask")
+        spots.join(if_few(groups), F.col("rep") == F.col("id2"), "left").select(
+            "rep", "brief", "x", F.coalesce("component", "rep").alias("g")
+        )
     )
-    spots = rest.select("id", "n", "g", "may_ask", F.explode("keys").alias("k"))
-    mixed_keys = stored(
-        spots.groupBy("k")
-        .agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max("n").alias("most"))
+    between = stored(
+        grouped.groupBy("x")
+        .agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("c"))
         .where("low < high")
-        .select(F.col("k").alias("k2"), "most")
+        .select(
+            F.col("x").alias("x2"),
+            F.least(F.floor(F.col("c") / HOT) + 1, F.lit(MOST_PARTS)).alias("parts"),
+        )
     )
-    # A set asks if it is the smaller of two in at least LEAST_KEYS keys.
-    open_spots = stored(
-        spots.join(mixed_keys, F.col("k") == F.col("k2"), "left")
-        .where("k2 IS NOT NULL")
-        .select("id", "n", "g", "k", "may_ask", "most")
+    met = stored(
+        grouped.join(between, F.col("x") == F.col("x2")).select("rep", "brief", "x", "g", "parts")
     )
-    members = open_spots.groupBy(F.col("k").alias("k2"), F.col("g").alias("h")).agg(
-        F.max("n").alias("largest")
+    sizes = sizes.select(F.col("rep").alias("rep2"), "n")
+    left = stored(_enough(met, sizes, percent))
+    named = if_few(left.select(F.col("rep").alias("rep3"), "n"))
+    met = stored(
+        met.join(named, F.col("rep") == F.col("rep3")).select("rep", "n", "brief", "x", "g", "parts")
     )
-    asks = stored(
-        open_spots.where("may_ask AND most >= n")
-        .join(
-            members,
-            (F.col("k") == F.col("k2")) & (F.col("h") != F.col("g")) & (F.col("largest") >= F.col("n")),
-        )
-        .groupBy("id", "n", "h")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= LEAST_KEYS)
-        .select("id", "n", "h")
+    # Hot elements: the asking sets are dealt to parts, the other side goes to each part.
+    asking = met.where("brief").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    each_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part2")
+    matrix = (
+        met.groupBy(F.col("x").alias("x2"), F.col("g").alias("h"), "parts")
+        .agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+        .select("x2", "h", "smallest", "largest", each_part)
     )
-    if asks.isEmpty():
-        return None
-    tokens = rest.select("g", F.explode("sample").alias("x"))
-    union = stored(tokens.select(F.col("g").alias("g2"), F.col("x").alias("x2")).distinct())
-    wide = asks.join(
-        rest.select(F.col("id").alias("id2"), "asked", "sample"), F.col("id") == F.col("id2")
-    ).select("id", "h", "asked", F.explode(F.slice("sample", F.lit(1), F.col("asked").cast("int"))).alias("x"))
+    here = (F.col("x") == F.col("x2")) & (F.col("part") == F.col("part2"))
+    fits = (F.col("largest") >= F.col("n")) & (percent * F.col("smallest") <= 100 * F.col("n"))
     passed = stored(
-        wide.join(union, (F.col("h") == F.col("g2")) & (F.col("x") == F.col("x2")), "left")
-        .groupBy("id", "h", "asked")
-        .agg(F.count("x2").alias("c"))
-        .where(100 * F.col("c") >= SMALLER_PERCENT * F.col("asked"))
-        .select(F.col("id").alias("id2"), F.col("h").alias("h2"))
+        asking.join(matrix, here & (F.col("g") != F.col("h")) & fits)
+        .groupBy("rep", "n", "h")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") >= _least_common(F.col("n")))
+        .select(F.col("rep").alias("rep2"), F.col("h").alias("h"))
     )
-    passed = _bounded(passed, rest.select("id", "g"), sets, percent)
-    asked = stored(
-        open_spots.join(passed, F.col("id") == F.col("id2")).select(
-            "id", "n", "k", F.col("h2").alias("h")
-        )
+    if passed.isEmpty():
+        return None
+    asked = asking.join(if_few(passed), F.col("rep") == F.col("rep2")).select(
+        "rep", "n", "x", "h", "part"
     )
-    others = open_spots.select(
-        F.col("id").alias("with"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("g").alias("g2")
+    members = met.select(
+        F.col("rep").alias("with"), F.col("n").alias("m"), F.col("x").alias("x2"), "g", each_part
     )
+    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("rep") < F.col("with")))
     pairs = stored(
-        asked.join(others, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("g2")))
-        .where((F.col("n2") >= F.col("n")) & (100 * F.col("n") >= percent * F.col("n2")))
-        .groupBy("id", "with")
+        asked.join(members, here & (F.col("h") == F.col("g")))
+        .where(larger & (100 * F.col("n") >= percent * F.col("m")))
+        .groupBy("rep", "n", "with")
         .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= LEAST_KEYS)
-        .select("id", "with")
+        .where(F.col("c") >= _least_common(F.col("n")))
+        .select("rep", "with")
     )
     return stored(_linked(pairs, sets, percent))
 
 
-def _bounded(passed: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Questions (id2, h2) whose set has enough of its tokens in the whole union of the group.
+def _linked(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Pairs (rep, with) whose sets overlap enough, by exact comparison.
 
-    Of two linked sets the smaller asks, and has 2 * percent / (100 + percent) of its tokens in the
-    other. ``placed``: (id, g) of the members.
+    The second set is sent once for each part of the pairs that need it.
     """
-    asked = if_few(stored(passed.select(F.col("h2").alias("h3")).distinct()))
-    members = placed.join(asked, F.col("g") == F.col("h3"), "left_semi").select(
-        F.col("id").alias("id3"), "g"
-    )
-    union = (
-        sets.join(members, F.col("id") == F.col("id3"))
-        .select("g", F.explode("s").alias("x2"))
-        .distinct()
+    if pairs.isEmpty():
+        return pairs
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(MOST_PARTS)))
+    needed = dealt.select(F.col("with").alias("with2"), F.col("part").alias("part2")).distinct()
+    one = sets.arrays(lambda v: v, stored(pairs.select("rep").distinct()))
+    two = sets.arrays(lambda v: v, stored(pairs.select(F.col("with").alias("rep")).distinct()))
+    dealt = if_few(dealt.select(F.col("rep").alias("rep2"), "with", "part"))
+    first = one.join(dealt, F.col("rep") == F.col("rep2")).select(
+        "rep", "with", "part", F.col("s").alias("s1")
     )
-    return stored(
-        passed.join(sets.select("id", "n", "s"), F.col("id") == F.col("id2"))
-        .select("id2", "h2", "n", F.explode("s").alias("x"))
-        .join(union, (F.col("h2") == F.col("g")) & (F.col("x") == F.col("x2")), "left")
-        .groupBy("id2", "h2", "n")
-        .agg(F.count("x2").alias("c"))
-        .where((100 + percent) * F.col("c") >= 2 * percent * F.col("n"))
-        .select("id2", "h2")
-    )
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, with) whose sets overlap enough, by exact comparison."""
-    one = sets.select(F.col("id").alias("id1"), F.col("s").alias("s1"))
-    two = sets.select(F.col("id").alias("id2"), F.col("s").alias("s2"))
-    both = (
-        pairs.join(one, F.col("id") == F.col("id1"))
-        .select("id", "with", "s1")
-        .join(two, F.col("with") == F.col("id2"))
-        .select("id", "with", "s1", "s2")
+    second = two.join(if_few(stored(needed)), F.col("rep") == F.col("with2")).select(
+        "with2", "part2", F.col("s").alias("s2")
     )
+    both = first.join(
+        second, (F.col("with") == F.col("with2")) & (F.col("part") == F.col("part2"))
+    ).select("rep", "with", "s1", "s2")
 
     def compare(batches):
         for batch in batches:
@@ -383,7 +405,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * n >= percent * (len(a) + len(b) - n))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "id long, with long")
+    return both.mapInArrow(compare, "rep long, with long")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
