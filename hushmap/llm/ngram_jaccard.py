@@ -31,6 +31,8 @@ COMMON_STEP = 32
 ORDER_BITS = 18
 #: Rows of one element, or questions to one set, that share a part of a join; at most so many parts.
 HOT, MOST_PARTS = 512, 64
+#: Elements of the sets in a block of questions or members, 8 bytes each, when a group is opened.
+BLOCK = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
@@ -166,13 +168,14 @@ def similar_documents(
     2. Elements are ordered by how often they occur, rarest first. Two linked sets share a known
        number of their first elements (``prefix_sizes``). Sets that do not share enough of them
        with any sets, the great majority, can have no link.
-    3. The rest falls into groups: each first element leads to the least set that has it; the one
-       with most elements in common is compared exactly, and linked sets form a group.
+    3. The rest falls into groups: each first element leads to the least changed set that has
+       it; sets form groups with the ones that most of their elements lead to, and are compared
+       exactly with these.
     4. The token-group matrix holds the union of the first elements of each group's sets. The
        smaller of two linked sets asks: a group qualifies if the set's first elements have enough
        in common with that union.
-    5. Only qualifying groups are opened: members that share enough first elements with the asking
-       set are compared exactly.
+    5. Only qualifying groups are opened, block by block: members that share enough first elements
+       with the asking set are compared exactly, unless links join the two already.
 
     No step rests on chance beside the 64-bit hashes that stand for shingles. No step gathers a
     group: classes, leaders and unions are aggregates. Elements with many rows are joined in parts.
@@ -192,25 +195,25 @@ def similar_documents(
     sets = _Sets(texts, signed, classes)
     ranks = token_order(texts, order_bits)
     spots, sizes = _spots(sets, ranks, percent)
-    tried = stored(
-        spots.where("leader < rep")
-        .groupBy("rep", "leader")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("rep")
-        .agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("with"))
+    led = _leaders(spots, sizes, percent)
+    links = stored(_linked(led, sets, percent))
+    joined = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
+    groups = stored(components(led, "rep", "with").withColumnsRenamed({"id": "id3", "component": "g"}))
+    placed = stored(
+        sizes.join(if_few(joined), F.col("rep") == F.col("id2"), "left")
+        .join(if_few(groups), F.col("rep") == F.col("id3"), "left")
+        .select("rep", "n", F.coalesce("component", "rep").alias("linked"), F.coalesce("g", "rep").alias("g"))
     )
-    links = stored(_linked(tried, sets, percent))
-    groups = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
-    crossing = _crossing(spots, sizes, groups, sets, percent)
-    if crossing is not None:
-        links = links.unionByName(crossing)
-        groups = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
+    passed = _questions(spots, sizes, placed, percent)
+    if not passed.isEmpty():
+        links = links.unionByName(stored(_opened(passed, placed, sets, ranks, percent)))
+        joined = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
     # The least key of each class's component.
-    placed = classes.join(groups, F.col("rep") == F.col("id2"), "left").select(
+    found = classes.join(joined, F.col("rep") == F.col("id2"), "left").select(
         "n2", "a2", "b2", "least", F.coalesce("component", "rep").alias("component")
     )
-    keys = placed.groupBy(F.col("component").alias("c2")).agg(F.min("least").alias("component_id"))
-    named = placed.join(keys, F.col("component") == F.col("c2")).select("n2", "a2", "b2", "component_id")
+    keys = found.groupBy(F.col("component").alias("c2")).agg(F.min("least").alias("component_id"))
+    named = found.join(keys, F.col("component") == F.col("c2")).select("n2", "a2", "b2", "component_id")
     return signed.join(named, _same_set(), "left").select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
@@ -255,10 +258,11 @@ class _Sets:
 
 
 def _spots(sets: _Sets, ranks: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
-    """First elements that several sets have, as (rep, brief, x, leader), and the sizes (rep, n).
+    """First elements that several sets have, as (rep, brief, x, share), and the sizes (rep, n).
 
-    ``brief``: the element is among those of the set as the smaller of two; ``leader``: the least
-    set that has it. Sets that have too few such elements for any link are left out.
+    ``brief``: the element is among those of the set as the smaller of two; ``share``: how much of
+    the set's first elements others have, with a little of its own so that sets do not tie. Sets
+    that have too few such elements for any link are left out.
     """
     firsts = sets.arrays(lambda v: prefix(v, ranks, percent))
     short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + _least_common(F.col("n"))
@@ -270,18 +274,43 @@ def _spots(sets: _Sets, ranks: np.ndarray, percent: int) -> tuple[DataFrame, Dat
     common = stored(
         tokens.select("x", rep.alias("rep"))
         .groupBy("x")
-        .agg(F.min("rep").alias("leader"), F.max("rep").alias("high"))
-        .where("leader < high")
-        .select(F.col("x").alias("x2"), "leader")
+        .agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+        .where("low < high")
+        .select(F.col("x").alias("x2"))
     )
     spots = stored(
         tokens.join(common, F.col("x") == F.col("x2")).select(
-            rep.alias("rep"), (F.col("spot") % 2 == 1).alias("brief"), "x", "leader"
+            rep.alias("rep"), (F.col("spot") % 2 == 1).alias("brief"), "x"
         )
     )
     sizes = sets.classes.select(F.col("rep").alias("rep2"), F.col("n2").alias("n"))
     able = stored(_enough(spots, sizes, percent))
-    return _only(spots, able), able
+    firsts_of = F.col("n") - F.ceil(F.col("n") * percent / 100) + _least_common(F.col("n"))
+    own = F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) * 1e-12
+    named = if_few(able.select(F.col("rep").alias("rep3"), (F.col("c") / firsts_of + own).alias("share")))
+    return spots.join(named, F.col("rep") == F.col("rep3")).drop("rep3"), able
+
+
+def _leaders(spots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(rep, with): for each set the one to compare it with first.
+
+    Each element leads to the set with the largest share among those that have it, which of a
+    family of copies is the one least changed; of its leaders, a set takes the one that most of
+    its elements lead to, if these are enough for a link.
+    """
+    spots = stored(spots)
+    leaders = spots.groupBy(F.col("x").alias("x2")).agg(F.max_by("rep", "share").alias("leader"))
+    best = (
+        spots.join(leaders, F.col("x") == F.col("x2"))
+        .where("leader <> rep")
+        .groupBy("rep", "leader")
+        .agg(F.count(F.lit(1)).alias("common"))
+        .groupBy("rep")
+        .agg(F.max_by("leader", "common").alias("with"), F.max("common").alias("common"))
+    )
+    named = sizes.select(F.col("rep").alias("rep2"), "n")
+    enough = F.col("common") >= _least_common(F.ceil(F.col("n") * percent / 100))
+    return stored(best.join(named, F.col("rep") == F.col("rep2")).where(enough).select("rep", "with"))
 
 
 def _least_common(n: Column) -> Column:
@@ -289,30 +318,31 @@ def _least_common(n: Column) -> Column:
 
 
 def _enough(spots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(rep, n) of sets with as many spots as a link needs with the smallest set they link with."""
+    """(rep, n, c) of sets with as many spots as a link needs with the smallest set they link with."""
     counted = spots.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
     smallest = F.ceil(F.col("n") * percent / 100)
     return (
         counted.join(sizes, F.col("rep") == F.col("rep2"))
         .where(F.col("c") >= _least_common(smallest))
-        .select("rep", "n")
+        .select("rep", "n", "c")
     )
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the given sets."""
-    named = if_few(ids.select(F.col("rep").alias("rep3")))
-    return rows.join(named, F.col("rep") == F.col("rep3"), "left_semi")
-
+def _questions(
+    spots: DataFrame, sizes: DataFrame, placed: DataFrame, percent: int
+) -> DataFrame:
+    """(rep, n, h): groups that may hold a partner of a set, through the token-group matrix.
 
-def _crossing(
-    spots: DataFrame, sizes: DataFrame, groups: DataFrame, sets: _Sets, percent: int
-) -> DataFrame | None:
-    """Links between sets of different groups, found through the token-group matrix."""
+    A set asks its own group, unless links join all of that already, and other groups whose union
+    of first elements has enough in common with its own.
+    """
+    own = placed.groupBy(F.col("g").alias("h")).agg(
+        F.min("linked").alias("low"), F.max("linked").alias("high")
+    ).where("low < high")
+    inside = placed.join(own, F.col("g") == F.col("h")).select("rep", "n", "h")
+    named = placed.select(F.col("rep").alias("rep4"), "g")
     grouped = stored(
-        spots.join(if_few(groups), F.col("rep") == F.col("id2"), "left").select(
-            "rep", "brief", "x", F.coalesce("component", "rep").alias("g")
-        )
+        spots.join(if_few(named), F.col("rep") == F.col("rep4")).select("rep", "brief", "x", "g")
     )
     between = stored(
         grouped.groupBy("x")
@@ -342,31 +372,122 @@ def _crossing(
     )
     here = (F.col("x") == F.col("x2")) & (F.col("part") == F.col("part2"))
     fits = (F.col("largest") >= F.col("n")) & (percent * F.col("smallest") <= 100 * F.col("n"))
-    passed = stored(
+    across = (
         asking.join(matrix, here & (F.col("g") != F.col("h")) & fits)
         .groupBy("rep", "n", "h")
         .agg(F.count(F.lit(1)).alias("c"))
         .where(F.col("c") >= _least_common(F.col("n")))
-        .select(F.col("rep").alias("rep2"), F.col("h").alias("h"))
+        .select("rep", "n", "h")
     )
-    if passed.isEmpty():
-        return None
-    asked = asking.join(if_few(passed), F.col("rep") == F.col("rep2")).select(
-        "rep", "n", "x", "h", "part"
+    return stored(inside.unionByName(across))
+
+
+def _opened(
+    passed: DataFrame, placed: DataFrame, sets: _Sets, ranks: np.ndarray, percent: int
+) -> DataFrame:
+    """Links (rep, with) that join all sets whose questions (rep, n, h) members of h answer.
+
+    The questions to a group and its members ``placed`` (rep, n, linked, g) are dealt to blocks of
+    about BLOCK elements, and each block of questions meets each block of members. There, members
+    that share enough first elements with a set are compared exactly, those that share most first,
+    unless known links, or those found in the block, join the two already.
+    """
+    blocks = lambda n: F.floor(F.sum(n) / BLOCK) + 1
+    asks = passed.groupBy("h").agg(blocks("n").alias("rows"))
+    has = placed.groupBy("g").agg(blocks("n").alias("cols"))
+    grid = stored(asks.join(has, F.col("h") == F.col("g")).select(F.col("h").alias("h2"), "rows", "cols"))
+    dealt = lambda of: F.pmod(F.xxhash64("rep"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    questions = stored(
+        passed.join(grid, F.col("h") == F.col("h2")).select(
+            F.col("rep").alias("rep2"), "h", dealt("rows").alias("i"), every("cols").alias("j")
+        )
     )
-    members = met.select(
-        F.col("rep").alias("with"), F.col("n").alias("m"), F.col("x").alias("x2"), "g", each_part
+    members = stored(
+        placed.join(grid, F.col("g") == F.col("h2")).select(
+            F.col("rep").alias("rep2"),
+            F.col("g").alias("h"),
+            every("rows").alias("i"),
+            dealt("cols").alias("j"),
+        )
     )
-    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("rep") < F.col("with")))
-    pairs = stored(
-        asked.join(members, here & (F.col("h") == F.col("g")))
-        .where(larger & (100 * F.col("n") >= percent * F.col("m")))
-        .groupBy("rep", "n", "with")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= _least_common(F.col("n")))
-        .select("rep", "with")
+
+    linked = placed.select(F.col("rep").alias("rep4"), "linked")
+
+    def with_sets(spread: DataFrame) -> DataFrame:
+        only = stored(spread.select(F.col("rep2").alias("rep")).distinct())
+        return (
+            sets.arrays(lambda v: v, only)
+            .join(if_few(spread), F.col("rep") == F.col("rep2"))
+            .join(if_few(linked), F.col("rep") == F.col("rep4"))
+            .select(*[F.col(c).alias(c) for c in ("h", "i", "j", "rep", "linked", "s")])
+            .groupBy("h", "i", "j")
+        )
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _first_links(_rows(left), _rows(right), ranks, percent)
+        return pa.table(
+            {"rep": pa.array([a for a, _ in found], pa.int64()), "with": pa.array([b for _, b in found], pa.int64())}
+        )
+
+    return (
+        with_sets(questions).cogroup(with_sets(members)).applyInArrow(compare, "rep long, with long")
     )
-    return stored(_linked(pairs, sets, percent))
+
+
+def _rows(table: pa.Table) -> list[tuple[int, int, np.ndarray]]:
+    arrays = [
+        chunk.values.to_numpy()[a:b].view(np.uint64)
+        for chunk in table["s"].chunks
+        for a, b in zip(chunk.offsets.to_numpy()[:-1], chunk.offsets.to_numpy()[1:])
+    ]
+    return list(zip(table["rep"].to_pylist(), table["linked"].to_pylist(), arrays))
+
+
+def _first_links(
+    asking: list[tuple[int, int, np.ndarray]],
+    members: list[tuple[int, int, np.ndarray]],
+    ranks: np.ndarray,
+    percent: int,
+) -> list[tuple[int, int]]:
+    """Links between asking sets and members no smaller, rows (set, what it is linked to, elements),
+    as far as they join sets that no other link joins."""
+    if not asking or not members:
+        return []
+    above: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while k in above:
+            k = above[k]
+        return k
+
+    firsts = [prefix(s, ranks, percent) for _, _, s in members]
+    elements = np.concatenate(firsts)
+    owner = np.repeat(np.arange(len(members)), [len(f) for f in firsts])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    sizes = np.array([len(s) for _, _, s in members])
+    out = []
+    for rep, linked, values in asking:
+        n = len(values)
+        asked = prefix(values, ranks, percent)[: prefix_sizes(n, percent)[0]]
+        low, high = np.searchsorted(elements, asked), np.searchsorted(elements, asked, "right")
+        spans = high - low
+        at = np.arange(spans.sum()) + np.repeat(low - np.cumsum(spans) + spans, spans)
+        common = np.bincount(owner[at], minlength=len(members))
+        fit = np.flatnonzero(
+            (common >= least_common(n)) & (sizes >= n) & (100 * n >= percent * sizes)
+        )
+        for k in fit[np.argsort(-common[fit], kind="stable")].tolist():
+            other, to, its = members[k]
+            mine, theirs = top(linked), top(to)
+            if mine == theirs:
+                continue
+            shared = _shared(values, its)
+            if 100 * shared >= percent * (n + len(its) - shared):
+                out.append((rep, other))
+                above[mine] = theirs
+    return out
 
 
 def _linked(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
