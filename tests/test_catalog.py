@@ -221,3 +221,15 @@ def test_files_that_fail_are_listed_retried_and_left(spark, tmp_path):
     assert scanned() == (status, found)
     rejected = {(r.file_name, r.route, r.row_id) for r in rejected_files(spark, out).collect()}
     assert rejected == {("d.exe", "rejected", None), ("e.json", "broken", 1)}
+
+
+def test_repaired_file_does_not_pass_through_the_driver(spark, sf, monkeypatch):
+    from workload import scans
+    from workload.registry import QUERIES
+
+    sent = []
+    write = scans._written
+    monkeypatch.setattr(scans, "_written", lambda s, path, body: (sent.append(len(body)), write(s, path, body)))
+    rows = QUERIES["t01_failed_file"](spark, sf).collect()
+    assert sorted(r.found for r in rows if r.file_name == "bad.parquet") == ["done", "failed"]
+    assert sent == [len(b"no parquet at all")]
