@@ -183,3 +183,23 @@ def test_stopwords_and_tokens(spark):
     assert [r.token for r in prepare.tokenize(df).collect()] == ["The", "bank,", "and", "its", "Voter-ID", "b!"]
     token = df.select(prepare.normalize_token(F.lit("D'As.-su_r,AncE"))).first()[0]
     assert token == "dassurance"
+
+
+def test_csv_files_that_one_task_reads_are_bounded(spark, sf, tmp_path, monkeypatch):
+    from workload import preparation
+    from workload.registry import QUERIES
+
+    def largest(path):
+        return max(p.stat().st_size for p in path.glob("part-*"))
+
+    monkeypatch.setattr(preparation, "scratch_path", lambda s, name: str(tmp_path / name))
+    for name, rows in (("once", 150_000), ("more", 450_000)):
+        back = spark.read.option("header", True).csv(
+            preparation._csv_path(spark, spark.range(100_000, 100_000 + rows).coalesce(1), name, ";")
+        )
+        assert back.count() == rows
+    assert largest(tmp_path / "more") < 2 * largest(tmp_path / "once")
+    monkeypatch.setattr(preparation, "TEXTS_PER_FILE", 20)
+    for name, path in (("s01_quoted_lines", "quoted"), ("s02_quoted_separator", "auto-quoted")):
+        assert QUERIES[name](spark, sf).count() == 200
+        assert len(list((tmp_path / path).glob("part-*"))) >= 10

@@ -17,9 +17,14 @@ from workload.registry import query
 # --- sources: written from the tables, then read back
 
 
-def _csv_path(spark, df, name: str, sep: str) -> str:
+# Files whose values may hold line breaks are read whole, each by one task.
+ROWS_PER_FILE, TEXTS_PER_FILE = 200_000, 10_000
+
+
+def _csv_path(spark, df, name: str, sep: str, rows: int = ROWS_PER_FILE) -> str:
     path = scratch_path(spark, name)
-    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    writer = df.write.option("header", True).option("sep", sep).option("escape", '"')
+    writer.option("maxRecordsPerFile", rows).csv(path)
     return path
 
 
@@ -41,9 +46,8 @@ _AWKWARD = "'said \"' || l.text || '\"; ' || chr(10) || l.source"
 
 @query("s01_quoted_lines", f"SELECT doc_id AS id, {_AWKWARD} AS json FROM documents l")
 def _s01_quoted(spark, sf):
-    path = scratch_path(spark, "quoted")
     df = _awkward(spark, sf)
-    df.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    path = _csv_path(spark, df, "quoted", ";", TEXTS_PER_FILE)
     return readers.read_catalog_csv(spark, path, df.schema)
 
 
@@ -55,9 +59,7 @@ def _awkward(spark, sf):
 @query("s02_quoted_separator", f"SELECT doc_id AS id, {_AWKWARD} AS json FROM documents l")
 def _s02_quoted(spark, sf):
     """The separators inside the quotes outnumber the true one."""
-    path = scratch_path(spark, "auto-quoted")
-    df = _awkward(spark, sf)
-    df.write.option("header", True).option("sep", "|").option("escape", '"').csv(path)
+    path = _csv_path(spark, _awkward(spark, sf), "auto-quoted", "|", TEXTS_PER_FILE)
     return readers.read_csv_auto(spark, path).withColumn("id", F.col("id").cast("bigint"))
 
 
@@ -100,7 +102,8 @@ def _s02_mixed(spark, sf):
     }
     for kind, (sep, columns) in enumerate(forms.items()):
         part = orders.where(F.col("o_orderkey") % 4 == kind).selectExpr(*columns).repartition(2)
-        part.write.mode("append").option("header", True).option("sep", sep).csv(base)
+        writer = part.write.mode("append").option("header", True).option("sep", sep)
+        writer.option("maxRecordsPerFile", ROWS_PER_FILE).csv(base)
     back = readers.read_csv_auto(spark, base)
     return back.select(F.col("id").cast("bigint"), "priority", F.col("other").cast("string"))
 
