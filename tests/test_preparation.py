@@ -203,3 +203,14 @@ def test_csv_files_that_one_task_reads_are_bounded(spark, sf, tmp_path, monkeypa
     for name, path in (("s01_quoted_lines", "quoted"), ("s02_quoted_separator", "auto-quoted")):
         assert QUERIES[name](spark, sf).count() == 200
         assert len(list((tmp_path / path).glob("part-*"))) >= 10
+
+
+def test_each_text_has_a_file_of_its_own(spark, tmp_path):
+    from workload.preparation import TEXT_END, _write_each
+
+    texts = ["one", "", None, "two\r\nlines\n", "﻿éñ " * 9, "one", TEXT_END]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    _write_each(rows, f"file:{tmp_path}/a folder")
+    files = list((tmp_path / "a folder").iterdir())
+    assert sorted(f.read_bytes().decode() for f in files) == sorted((t or "") + TEXT_END for t in texts)
+    assert not [f for f in files if f.name.startswith((".", "_"))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,13 +176,44 @@ def _s04_mixed(spark, sf):
     return readers.read_json_records(spark, base)
 
 
+TEXT_END = "\u0004"
+
+
+def _write_each(texts, path: str) -> None:
+    """Write each text, and TEXT_END, to a file of its own in the folder ``path``.
+
+    In a file system that is mounted, tasks write the files themselves: for every file that Hadoop
+    makes there it starts two processes (chmod), and the driver renames all files one by one. A
+    task that runs again writes the same names. Files of other stores go through Spark's writer.
+    """
+    spark = texts.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        texts.write.option("maxRecordsPerFile", 1).option("lineSep", TEXT_END).text(path)
+        return
+    fs.mkdirs(folder)
+    local, end = folder.toUri().getPath(), TEXT_END.encode()
+
+    def write(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value in batch.column(0):
+                with open(f"{local}/part-{part:05d}-{at:07d}.txt", "wb") as file:
+                    file.write((value.as_py() or b"") + end)
+                at += 1
+        yield from ()
+
+    rows = texts.select(F.col(texts.columns[0]).cast("binary").alias("text"))
+    rows.mapInArrow(write, "text binary").write.format("noop").mode("overwrite").save()
+
+
 @query("s05_read_text_documents", "SELECT sha256(text) AS digest, length(text) AS chars FROM documents")
 def _s05(spark, sf):
     """Every document written to a file of its own, read back whole."""
     path = scratch_path(spark, "texts")
-    docs = read(spark, sf, "documents").select("text")
-    docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\u0004").text(path)
-    whole = F.regexp_replace("text", "\u0004$", "")
+    _write_each(read(spark, sf, "documents").select("text"), path)
+    whole = F.regexp_replace("text", f"{TEXT_END}$", "")
     return readers.read_text_documents(spark, path).select(
         F.sha2(whole, 256).alias("digest"), F.length(whole).cast("bigint").alias("chars")
     )
