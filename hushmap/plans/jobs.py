@@ -29,7 +29,7 @@ from hushmap.operators.reduce import (
     with_missing,
 )
 from hushmap.rules import COLUMN_RULES, TEXT_RULES, Ruleset
-from hushmap.session import local_table
+from hushmap.session import local_table, stored_once
 from hushmap.sources.files import READ_AS
 from hushmap.sources.results import classifier_run
 
@@ -186,9 +186,11 @@ def two_stage_scan(
 ) -> DataFrame:
     """First-stage hits, and the best pattern hits within the texts of chosen labels.
 
-    Rows (keys, stage, entity, text, score, count); stage 1 repeats its input with count 1.
+    Rows (keys, stage, entity, text, score, count); stage 1 repeats its input with count 1. The
+    hits are stored first, since both stages read them and a second scan of the texts costs more.
     """
     keys = list(keys)
+    hits = stored_once(hits.select(*dict.fromkeys([*keys, *order, "entity", "text", "score"])))
     first = hits.select(
         *keys,
         F.lit(1).alias("stage"),

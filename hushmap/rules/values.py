@@ -5,6 +5,7 @@ Two rule lists exist. ``column`` serves table columns, ``text`` serves documents
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from re import _parser
@@ -115,7 +116,7 @@ class Ruleset:
         return replace(self, rules=tuple(r for r in self.rules if r.entity in entities))
 
     def with_rules(self, rules: DataFrame | Iterable[tuple[str, str, float]]) -> Ruleset:
-        """Append user rules (entity, regex, score).
+        """Append user rules (entity, regex, score), with cost hints read off their patterns.
 
         Patterns have to be literals of the plan so that each task compiles them once, so a
         rule DataFrame is read to the driver. More than MAX_USER_RULES rows raise an error: a plan
@@ -126,10 +127,108 @@ class Ruleset:
             if len(rows) > MAX_USER_RULES:
                 raise ValueError(f"more than {MAX_USER_RULES} user rules")
             rules = [(row.entity, row.regex, row.score) for row in rows]
-        added = tuple(Rule(entity, regex, float(score)) for entity, regex, score in rules)
+        added = tuple(
+            Rule(entity, regex, float(score), **own_hints(regex)) for entity, regex, score in rules
+        )
         return replace(self, rules=self.rules + added)
 
 
+# What user patterns may hold to get hints: escapes that Python and Java read alike, no flags, no
+# names, no look-around, no class inside a class.
+_PLAIN = re.compile(
+    r"(?:\\[dswbDSWB]|\\[^A-Za-z0-9]|\(\?:|\((?!\?)|[)|^$.*+?]|\{\d+(?:,\d*)?\}"
+    r"|\[\^?(?:\\[dsw]|\\[^A-Za-z0-9]|[^\\\[\]&^])+\]|[^\\\[\](){}|^$.*+?])*"
+)
+_CATEGORIES = {
+    _parser.CATEGORY_DIGIT: r"\d",
+    _parser.CATEGORY_SPACE: r"\s",
+    _parser.CATEGORY_WORD: r"\w",
+}
+
+
+def own_hints(regex: str) -> dict:
+    """``lead`` of a pattern whose matches start with few kinds of character, or else ``literals``
+    with what all its matches hold; nothing for a pattern that tells neither."""
+    if not regex.isascii() or not _PLAIN.fullmatch(regex):
+        return {}
+    try:
+        parsed = _parser.parse(regex)
+    except (re.error, OverflowError):
+        return {}
+    if parsed.getwidth()[0] == 0:
+        return {}
+    lead, _ = _lead(parsed)
+    # Letters and blanks are nearly everywhere.
+    if lead and not re.search(f"[{lead}]", "abcdefghijklmnopqrstuvwxyz "):
+        return {"lead": lead}
+    held = max(_held(parsed), key=len, default="")
+    return {"literals": (held,)} if held.strip() else {}
+
+
+def _lead(parts) -> tuple[str | None, bool]:
+    """Inside of a character class with all first characters, or None if some are not known; and
+    whether the parts may match nothing."""
+    lead = ""
+    for kind, of in parts:
+        own, empty = _lead_of(kind, of)
+        if own is None:
+            return None, False
+        lead += own
+        if not empty:
+            return lead, False
+    return lead, True
+
+
+def _lead_of(kind, of) -> tuple[str | None, bool]:
+    if kind is _parser.AT:
+        return "", True
+    if kind is _parser.LITERAL:
+        return _escaped(of), False
+    if kind is _parser.IN:
+        out = ""
+        for inner, value in of:
+            if inner is _parser.LITERAL:
+                out += _escaped(value)
+            elif inner is _parser.RANGE:
+                out += f"{_escaped(value[0])}-{_escaped(value[1])}"
+            elif inner is _parser.CATEGORY and value in _CATEGORIES:
+                out += _CATEGORIES[value]
+            else:
+                return None, False
+        return out, False
+    if kind is _parser.SUBPATTERN:
+        return _lead(of[3])
+    if kind is _parser.BRANCH:
+        found = [_lead(branch) for branch in of[1]]
+        if any(own is None for own, _ in found):
+            return None, False
+        return "".join(own for own, _ in found), any(empty for _, empty in found)
+    if kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT):
+        own, empty = _lead(of[2])
+        return own, empty or of[0] == 0
+    return None, False
+
+
+def _escaped(code: int) -> str:
+    c = chr(code)
+    return c if c.isalnum() else "\\" + c if c.isprintable() and c != " " else f"\\x{code:02x}"
+
+
+def _held(parts) -> list[str]:
+    """Runs of literal characters that every match holds."""
+    runs, run = [], ""
+    for kind, of in parts:
+        if kind is _parser.LITERAL:
+            run += chr(of)
+            continue
+        runs, run = [*runs, run], ""
+        if kind is _parser.SUBPATTERN:
+            runs += _held(of[3])
+        elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and of[0] > 0:
+            runs += _held(of[2])
+    return [r for r in [*runs, run] if r]
+
+
 # Entity, score in the column list, score in the text list (None: not in that
 # list), pattern.
 SHARED_PATTERNS = [

@@ -58,6 +58,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_once(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *paths: str) -> DataFrame:
     """Let all cores take part in a scan of files too small for one split each.
 

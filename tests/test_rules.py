@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushmap.operators.detect import scan_column_names, scan_first, scan_spans, scan_values
 from hushmap.operators.documents import class_identifiers
 from hushmap.rules import COLUMN_RULES, DOCUMENT_CLASSES, TEXT_RULES
+from hushmap.rules.documents import EMAIL_PATTERN
 from workload.fixtures import fixture
 
 # entity, a value that hits, a near miss
@@ -241,3 +242,37 @@ def test_user_rules_come_last(spark):
     assert [(r.entity, r.nth, r.text) for r in got] == [
         ("PERSON", 0, "John Smith"), ("TICKET", 0, "AB-12"), ("TICKET", 1, "AB-3"),
     ]
+
+
+HINTED = [
+    (EMAIL_PATTERN, {"literals": ("@",)}),
+    ("[0-9]{4} [0-9]{4}|-(x|y)", {"lead": "0-9\\-"}),
+    (r"\b(?:\+\d{1,2}\s)?\(?\d{3}", {"lead": r"\+\(\d"}),
+    ("(?:-a|b)?c-d", {"literals": ("c-d",)}),
+    (r"(ab){0}c*d", {}),
+    (r"(.)\1", {}),
+    ("(?i)q-", {}),
+    ("x*", {}),
+    ("a|b@", {}),
+    (r"\p{Lu}@", {}),
+    ("[a&&b]@", {}),
+]
+
+
+def test_hints_of_user_rules_change_no_hit(spark):
+    from hushmap.rules.values import Rule, Ruleset, own_hints
+
+    for regex, hints in HINTED[:4] + HINTED[5:]:
+        assert own_hints(regex) == hints, regex
+    # Java's own forms stand aside, Python reads them otherwise or not at all.
+    rules = [(f"R{n}", regex, 0.5) for n, (regex, _) in enumerate(HINTED)]
+    texts = [
+        "a.b'c@d.org @x.yz, me@here", "1234 5678 -x (555 +91 555", "-ac-d bc-d c-d abd dd", "aa Q-q- x@",
+        "٣٣٣ ٤", "", None, "A@ É@ b@", "xx\nyy -y\n1234 5678",
+    ]
+    values = spark.createDataFrame(list(enumerate(texts)), "row_id int, value string")
+    plain = Ruleset("plain", tuple(Rule(*rule) for rule in rules))
+    hinted = Ruleset("hinted", ()).with_rules(rules)
+    assert any(r.lead for r in hinted.rules) and any(r.literals for r in hinted.rules)
+    got, want = (sorted(map(tuple, scan_values(values, rules=r).collect())) for r in (hinted, plain))
+    assert got == want and {r[2] for r in got} >= {f"R{n}" for n in range(10)}
