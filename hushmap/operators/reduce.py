@@ -122,10 +122,12 @@ def label_rows(
     All hits of a text come from its row, so nothing is shuffled. ``keep_empty`` gives texts
     without hits the label NA.
     """
-    found = _per_entity(
-        value_hits(F.col(col), rules), repeated=len(rules.entities) < len(rules.rules)
+    repeated = len(rules.entities) < len(rules.rules)
+    # The hits are bound to a name, as each use of their expression would scan the text again.
+    one = F.transform(
+        F.array(value_hits(F.col(col), rules)),
+        lambda hits: F.coalesce(_per_entity(hits, repeated), F.array().cast(ENTITY_ROWS)),
     )
-    one = F.array(F.coalesce(found, F.array().cast(ENTITY_ROWS)))
     if not keep_empty:
         one = F.filter(one, lambda entities: F.size(entities) > 0)
     # Exploding one array of hits (or none) keeps the scan from being copied into a filter.

@@ -136,3 +136,29 @@ def test_two_stages(spark):
         (1, 1, "COMPANY", "555-000-0000", 0.6, 1),
         (1, 2, "PHONE_NUMBER", "555-123-4567", 0.9, 2),
     }
+
+
+def test_both_stages_come_from_one_scan(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "row_id int, entity string, text string, score double, start int, end int"
+    rows = [(k, "PHONE NUMBER", f"call 555-123-{1000 + k}", 0.7, 0, 10) for k in range(20)]
+    hits = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    assert jobs.two_stage_scan(hits).count() == 40
+    assert read.value == 20
+
+
+def test_labels_of_rows_scan_a_text_once_for_all_entities(spark):
+    values = spark.createDataFrame([(1, "x")], "row_id int, value string")
+    few = TEXT_RULES.only("GENDER", "TITLE", "ZIPCODE")
+    rules = few.with_rules([("GENDER", "Mx", 0.5)])
+    labels = reduce.label_rows(values, "value", rules, ["row_id"])
+    hits = detect.scan_values(values, rules=rules)
+    # Each pattern stands in both plans as often: where the text is tried, and where it is scanned.
+    uses = [df._jdf.queryExecution().analyzed().toString().count("Mx") for df in (labels, hits)]
+    assert uses[0] == uses[1] > 0
