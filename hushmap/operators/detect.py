@@ -8,7 +8,6 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
-from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -124,21 +123,23 @@ def scan_first(
 ) -> DataFrame:
     """One row per value that hits: ids, and position, entity and score of its first rule.
 
-    A chain of tests that ends with the first rule found, for labels by first entity. Values
-    in which no group of rules finds anything do not enter it.
+    For each group of rules a chain of tests that ends with the first rule found, for labels by
+    first entity. Only values in which a group finds anything enter its chain.
     """
     value = F.col(col)
-    place = None
-    for position, rule in enumerate(rules.rules):
-        test = _applies(value, rule, rules.flags)
-        place = F.when(test, position) if place is None else place.when(test, position)
-    trials = [trial for trial, _ in _trials(value, rules)]
-    if all(trial is not None for trial in trials):
-        place = F.when(reduce(lambda left, right: left | right, trials), place)
+    places = []
+    for trial, placed in _trials(value, rules):
+        place = None
+        for position, rule in placed:
+            test = _applies(value, rule, rules.flags)
+            place = F.when(test, position) if place is None else place.when(test, position)
+        places.append(place if trial is None else F.when(trial, place))
+    place = F.least(*places) if len(places) > 1 else places[0]
     entities = F.array(*[F.lit(rule.entity) for rule in rules.rules])
     scores = F.array(*[F.lit(rule.score) for rule in rules.rules])
-    # Exploding the one place (or none) keeps the chain from being copied into a filter.
-    first = df.select(*ids, F.explode(F.array_compact(F.array(place))).alias("position"))
+    # Exploding the one place keeps the chains from being copied into a filter. Functions of arrays
+    # would have them interpreted.
+    first = df.select(*ids, F.explode_outer(F.array(place)).alias("position")).where("position IS NOT NULL")
     return first.select(
         *ids,
         "position",

@@ -276,3 +276,17 @@ def test_hints_of_user_rules_change_no_hit(spark):
     assert any(r.lead for r in hinted.rules) and any(r.literals for r in hinted.rules)
     got, want = (sorted(map(tuple, scan_values(values, rules=r).collect())) for r in (hinted, plain))
     assert got == want and {r[2] for r in got} >= {f"R{n}" for n in range(10)}
+
+
+def test_first_rules_come_from_compiled_chains(spark, sf):
+    rules = COLUMN_RULES.with_rules([("ANY", r"(.)\1", 0.1), ("MAIL", EMAIL_PATTERN, 0.2)])
+    values = fixture(spark, sf, "value_shapes").select("row_id", "value").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "aa"), (-4, "1234\n")], "row_id long, value string")
+    )
+    found = scan_first(values, rules=rules)
+    want = {}
+    for r in scan_values(values, rules=rules).collect():
+        want[r.row_id] = min(want.get(r.row_id, (99,)), (r.position, r.entity, r.score))
+    assert {r.row_id: (r.position, r.entity, r.score) for r in found.collect()} == want
+    # Functions of arrays are interpreted, row by row.
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
