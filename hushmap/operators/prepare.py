@@ -40,6 +40,9 @@ CSV_DELIMITERS = (",", ";", "\t", "|")
 # Characters at the start of a CSV text that tell its delimiter.
 HEAD_CHARS = 65_536
 JSON_LEVELS = 64
+# Records of a file that go to one task together, and pieces of work for each core.
+PIECE_RECORDS = 500
+TASKS_PER_CORE = 4
 TOKEN_BREAK = "[ \n]"
 MIN_TOKEN_CHARS = 2
 WORD_OR_PUNCTUATION = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
@@ -302,13 +305,10 @@ def _csv_cells(files: DataFrame) -> DataFrame:
         ).otherwise(record(marked(s), F.lit(False))),
     )
     # The header is taken before the records part, so that no record carries all others along.
-    records = (
-        prepared.select(
-            "keys", F.when(open_quote(F.col("text")), by_line).otherwise(by_record).alias("records")
-        )
-        .withColumn("names", cells(F.get("records", F.lit(0))["s"]))
-        .select("keys", "names", F.posexplode_outer("records").alias("at", "r"))
-    )
+    parted = prepared.select(
+        "keys", F.when(open_quote(F.col("text")), by_line).otherwise(by_record).alias("records")
+    ).withColumn("names", cells(F.get("records", F.lit(0))["s"]))
+    records = _dealt(parted, ["keys", "names"], "records", "r")
     rows = records.where("r.s <> ''").select(
         "keys", "names", "at", F.col("r.broken").alias("broken"), F.posexplode_outer(cells(F.col("r.s"))).alias("i", "value")
     )
@@ -330,7 +330,9 @@ def _json_cells(files: DataFrame) -> DataFrame:
     units = F.when(whole.isNotNull(), F.array("body")).otherwise(lines)
     rows = (
         files.select("keys", whole.isNotNull().alias("whole"), units.alias("units"))
-        .select("keys", "whole", F.posexplode_outer("units").alias("at", "unit"))
+    )
+    rows = (
+        _dealt(rows, ["keys", "whole"], "units", "unit")
         .where("unit <> ''")
         .withColumn("value", _strict_json(F.col("unit")))
     )
@@ -378,6 +380,25 @@ def _json_cells(files: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(files: DataFrame, held: Sequence[str], records: str, name: str) -> DataFrame:
+    """Elements of the array ``records`` (held, at, name), dealt out to all tasks in pieces.
+
+    A file is split into its records by one task; what is done with the records is not. A row that
+    moves holds PIECE_RECORDS records, so that these do not all carry the keys of their file.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    starts = F.sequence(F.lit(0), F.greatest(F.size(records) - 1, F.lit(0)), F.lit(PIECE_RECORDS))
+    pieces = F.transform(
+        starts, lambda i: F.struct(i.alias("start"), F.slice(records, i + 1, PIECE_RECORDS).alias("of"))
+    )
+    dealt = files.select(*held, F.explode_outer(pieces).alias("piece")).repartition(
+        TASKS_PER_CORE * cores, "keys", "piece.start"
+    )
+    return dealt.select(*held, "piece.start", F.posexplode_outer("piece.of").alias("i", name)).select(
+        *held, (F.col("start") + F.col("i")).alias("at"), name
+    )
+
+
 def _nested(value: Column) -> Column:
     return F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
 
@@ -397,6 +418,10 @@ def _json_depth(text: Column) -> Column:
     """How deep the brackets of a JSON text are nested."""
     bare = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
     brackets = F.regexp_replace(F.regexp_replace(bare, '"[^"]*+"', ""), r"[^\[\]{}]++", "")
+    # Equal neighbours are as deep as one of them; records mostly come down to a few characters.
+    for pair in ("{}", "{{}}", "{{{}}}"):
+        around = r"[\[{]" * (len(pair) // 2) + r"[\]}]" * (len(pair) // 2)
+        brackets = F.regexp_replace(brackets, f"(?:{around})++", pair)
 
     def step(at: Column, c: Column) -> Column:
         now = F.when(c.isin("[", "{"), at["now"] + 1).otherwise(F.greatest(at["now"] - 1, F.lit(0)))

@@ -214,3 +214,27 @@ def test_each_text_has_a_file_of_its_own(spark, tmp_path):
     files = list((tmp_path / "a folder").iterdir())
     assert sorted(f.read_bytes().decode() for f in files) == sorted((t or "") + TEXT_END for t in texts)
     assert not [f for f in files if f.name.startswith((".", "_"))]
+
+
+def test_records_of_one_file_are_dealt_out_to_many_tasks(spark):
+    values = [f"v{i}" for i in range(4_000)]
+    csv = "a,b\n" + "".join(f"{v},x\n" for v in values)
+    lines = "\n".join(f'{{"a": {{"c": "{v}"}}, "b": ["x"]}}' for v in values)
+    files = spark.createDataFrame([("t.csv", csv), ("t.json", lines)], "file_name string, text string")
+    for name, column in (("t.csv", "a"), ("t.json", "a.c")):
+        cells = prepare.file_cells(files.where(F.col("file_name") == name), ["file_name"])
+        found = cells.where(F.col("column_name") == column).select("row_id", "value", F.spark_partition_id().alias("task"))
+        rows = sorted(tuple(r) for r in found.collect())
+        assert [r[:2] for r in rows] == list(enumerate(values))
+        assert len({r[2] for r in rows}) > 2
+        assert cells.count() == 2 * len(values)
+
+
+def test_depth_of_brackets_is_kept_when_equal_neighbours_are_joined(spark):
+    texts = {
+        "": 0, "{}{}[]": 1, '{"a": {}, "b": [{}, {}]}': 3, "[[[[]]], {}]": 4, "}}{{": 2, "{{{": 3,
+        '{"a": "[[[["}\n{"b": {"c": {"d": [1]}}}\n{': 4, "]{}]{}[": 1, "{}" * 9 + "{{" * 2: 4,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.depth for r in df.withColumn("depth", prepare._json_depth(F.col("text"))).collect()}
+    assert got == texts
