@@ -66,7 +66,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     )
     other = unused(rows, "_other")
     others = stored(
-        groups.join(if_few(kept), F.col("component_id") == F.col("_component"))
+        groups.join(kept, F.col("component_id") == F.col("_component"))
         .where("_row <> _kept")
         .select(F.col("_row").alias(other))
     )

@@ -200,8 +200,8 @@ def similar_documents(
     joined = stored(components(links, "rep", "with").withColumnsRenamed({"id": "id2"}))
     groups = stored(components(led, "rep", "with").withColumnsRenamed({"id": "id3", "component": "g"}))
     placed = stored(
-        sizes.join(if_few(joined), F.col("rep") == F.col("id2"), "left")
-        .join(if_few(groups), F.col("rep") == F.col("id3"), "left")
+        sizes.join(joined, F.col("rep") == F.col("id2"), "left")
+        .join(groups, F.col("rep") == F.col("id3"), "left")
         .select("rep", "n", F.coalesce("component", "rep").alias("linked"), F.coalesce("g", "rep").alias("g"))
     )
     passed = _questions(spots, sizes, placed, percent)
@@ -243,16 +243,23 @@ class _Sets:
         """
         texts, classes = self.texts, self.classes
         if only is not None:
-            named = if_few(only.select(F.col("rep").alias("rep3")))
+            named = only.select(F.col("rep").alias("rep3"))
             classes = stored(classes.join(named, F.col("rep") == F.col("rep3"), "left_semi"))
+        least = classes.select(F.col("least").alias("id2"), "rep")
+        made = lambda v: (len(v), _signed(row(v)))
+        if self.keyed and only is not None:
+            # One join picks the rows and names their classes, before sets are made.
+            rows = texts.join(if_few(least), F.col("id") == F.col("id2")).select("rep", "t")
+            return _over_texts(rows, "rep long, n long, s array<bigint>", made)
+        if self.keyed:
+            rows = _over_texts(texts, "id long, n long, s array<bigint>", made)
+            return rows.join(least, F.col("id") == F.col("id2")).select("rep", "n", "s")
+        if only is not None:
             ids = classes.select(F.col("least").alias("id4")).distinct()
             texts = texts.join(
                 if_few(stored(ids)), F.col("id").eqNullSafe(F.col("id4")), "left_semi"
             )
         rows = _over_texts(texts, self.schema, lambda v: (*_signature(v), _signed(row(v))))
-        if self.keyed:
-            least = if_few(classes.select(F.col("least").alias("id2"), "rep"))
-            return rows.join(least, F.col("id") == F.col("id2")).select("rep", "n", "s")
         chosen = _same_set() & F.col("id").eqNullSafe(F.col("least"))
         return rows.join(classes, chosen).groupBy("rep").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
@@ -287,7 +294,7 @@ def _spots(sets: _Sets, ranks: np.ndarray, percent: int) -> tuple[DataFrame, Dat
     able = stored(_enough(spots, sizes, percent))
     firsts_of = F.col("n") - F.ceil(F.col("n") * percent / 100) + _least_common(F.col("n"))
     own = F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) * 1e-12
-    named = if_few(able.select(F.col("rep").alias("rep3"), (F.col("c") / firsts_of + own).alias("share")))
+    named = able.select(F.col("rep").alias("rep3"), (F.col("c") / firsts_of + own).alias("share"))
     return spots.join(named, F.col("rep") == F.col("rep3")).drop("rep3"), able
 
 
@@ -342,7 +349,7 @@ def _questions(
     inside = placed.join(own, F.col("g") == F.col("h")).select("rep", "n", "h")
     named = placed.select(F.col("rep").alias("rep4"), "g")
     grouped = stored(
-        spots.join(if_few(named), F.col("rep") == F.col("rep4")).select("rep", "brief", "x", "g")
+        spots.join(named, F.col("rep") == F.col("rep4")).select("rep", "brief", "x", "g")
     )
     between = stored(
         grouped.groupBy("x")
@@ -358,7 +365,7 @@ def _questions(
     )
     sizes = sizes.select(F.col("rep").alias("rep2"), "n")
     left = stored(_enough(met, sizes, percent))
-    named = if_few(left.select(F.col("rep").alias("rep3"), "n"))
+    named = left.select(F.col("rep").alias("rep3"), "n")
     met = stored(
         met.join(named, F.col("rep") == F.col("rep3")).select("rep", "n", "brief", "x", "g", "parts")
     )
@@ -398,28 +405,29 @@ def _opened(
     grid = stored(asks.join(has, F.col("h") == F.col("g")).select(F.col("h").alias("h2"), "rows", "cols"))
     dealt = lambda of: F.pmod(F.xxhash64("rep"), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    linked = placed.select(F.col("rep").alias("rep4"), "linked")
     questions = stored(
-        passed.join(grid, F.col("h") == F.col("h2")).select(
-            F.col("rep").alias("rep2"), "h", dealt("rows").alias("i"), every("cols").alias("j")
+        passed.join(grid, F.col("h") == F.col("h2"))
+        .join(linked, F.col("rep") == F.col("rep4"))
+        .select(
+            F.col("rep").alias("rep2"), "linked", "h", dealt("rows").alias("i"), every("cols").alias("j")
         )
     )
     members = stored(
         placed.join(grid, F.col("g") == F.col("h2")).select(
             F.col("rep").alias("rep2"),
+            "linked",
             F.col("g").alias("h"),
             every("rows").alias("i"),
             dealt("cols").alias("j"),
         )
     )
 
-    linked = placed.select(F.col("rep").alias("rep4"), "linked")
-
     def with_sets(spread: DataFrame) -> DataFrame:
         only = stored(spread.select(F.col("rep2").alias("rep")).distinct())
         return (
             sets.arrays(lambda v: v, only)
             .join(if_few(spread), F.col("rep") == F.col("rep2"))
-            .join(if_few(linked), F.col("rep") == F.col("rep4"))
             .select(*[F.col(c).alias(c) for c in ("h", "i", "j", "rep", "linked", "s")])
             .groupBy("h", "i", "j")
         )

@@ -240,6 +240,20 @@ def test_jaccard_join_of_large_sets_and_partly_linked_families(spark):
         assert {r.doc_id: r.component_id for r in got} == {i: groups.find(i) for i in sets}
 
 
+@pytest.mark.parametrize("repeat", [0, 1])
+def test_jaccard_join_broadcasts_no_row_for_each_document(spark, monkeypatch, repeat):
+    rng = random.Random(8)
+    shared = [f"s{i} " * 6 for i in range(20)]
+    made = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) + " " + rng.choice(shared) for _ in range(200)]
+    made += [made[0] + " end", made[1] + " end"]
+    rows = [(i, t, "s") for i, t in enumerate(made)] + [(0, made[0], "s")] * repeat
+    sent, mark = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or mark(df))
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.similar_documents(documents(spark, rows)).collect()}
+    assert got == {i: {200: 0, 201: 1}.get(i, i) for i in range(202)}
+    assert sum(sent) < 60
+
+
 def test_linked_sets_share_their_first_elements():
     rng = np.random.default_rng(3)
     ranks = rng.integers(0, 5, 1 << 8).astype(np.uint8)
