@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import os
 import re
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushmap.operators.prepare import quoted
-from hushmap.sources.files import literal_paths
+from hushmap.sources.files import literal_paths, mounted_files, mounted_folder
 
 CATALOG_SEPARATOR = ";"
 DELIMITERS = (",", ";", "\t", "|")
@@ -21,6 +26,13 @@ PREVIEW_LINES = 20
 #: Bytes at the start of a file that tell its form.
 HEAD_BYTES = 65_536
 QUOTED = re.compile(r'"(?:[^"]|"")*"')
+#: What tasks read of the texts in a mounted folder, at most: files each, files and bytes at once.
+FILES_PER_TASK, BATCH_FILES, BATCH_BYTES = 2_000, 1_000, 1 << 23
+OPENERS = {".gz": gzip.open, ".gzip": gzip.open, ".bz2": bz2.open}
+#: Characters that stand as %XX in the addresses of Java.
+UNSAFE = re.compile(
+    r"[^!$&'()*+,\-./0-9:;=@A-Z_a-z~\u00a1-\U0010ffff]|[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
 
 
 def read_catalog_csv(
@@ -202,7 +214,38 @@ def read_json_records(
 
 
 def read_text_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Whole files as rows (path, file_name, size, text)."""
+    """Whole files as rows (path, file_name, size, text).
+
+    Spark keeps every file that it lists on the driver. So files below a mounted folder are found
+    and read by tasks, except those of rare compressions. Single files, paths with wildcards, other
+    stores and folders read without their sub-folders are left to Spark.
+    """
+    folder = mounted_folder(spark, path) if recursive else None
+    if folder is None:
+        return _listed_texts(spark, path, recursive)
+    files = mounted_files(spark, folder)
+    name = F.col("path").cast("string")
+    packed = F.lower(F.regexp_extract(name, r"\.[^./]*$", 0)).isin(_packed_endings(spark))
+    told = files.agg(
+        F.count("*").alias("files"), F.collect_list(F.when(packed, name)).alias("packed")
+    ).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-told.files // FILES_PER_TASK))
+    texts = _mounted_texts(files.where(~packed).repartition(tasks))
+    if not told.packed:
+        return texts
+    return texts.unionByName(_listed_texts(spark, literal_paths(told.packed), recursive))
+
+
+def _packed_endings(spark: SparkSession) -> list[str]:
+    """Endings of the compressed files that only Spark unpacks."""
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory.getCodecClasses(
+        spark._jsc.hadoopConfiguration()
+    )
+    known = {codec.newInstance().getDefaultExtension().lower() for codec in codecs}
+    return sorted((known | {".zst", ".zstd"}) - set(OPENERS))
+
+
+def _listed_texts(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     return files.select(
         F.col("_metadata.file_path").alias("path"),
@@ -210,3 +253,59 @@ def read_text_documents(spark: SparkSession, path: str, recursive: bool = True)
         F.col("_metadata.file_size").alias("file_size"),
         F.col("value").alias("text"),
     )
+
+
+def _mounted_texts(files: DataFrame) -> DataFrame:
+    """The rows that Spark's reader makes of files; it takes no empty ones."""
+    conf = files.sparkSession.conf
+    skip_missing = conf.get("spark.sql.files.ignoreMissingFiles") == "true"
+    skip_corrupt = conf.get("spark.sql.files.ignoreCorruptFiles") == "true"
+
+    def read(paths: Iterator[bytes]) -> Iterator[tuple[str, int, bytes]]:
+        for path in paths:
+            try:
+                size = os.stat(path).st_size
+                if not size:
+                    continue
+                with _opener(path)(path, "rb") as file:
+                    text = file.read()
+            except FileNotFoundError:
+                if not skip_missing:
+                    raise
+            except (OSError, EOFError, zlib.error):
+                if not skip_corrupt:
+                    raise
+            else:
+                yield _address(path), size, text
+
+    def batch_of(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["path", "file_size", "text"])
+
+    def opened(batches):
+        rows, held = [], 0
+        for row in read(path for batch in batches for path in batch.column("path").to_pylist()):
+            rows.append(row)
+            held += len(row[2])
+            if held > BATCH_BYTES or len(rows) == BATCH_FILES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return files.mapInArrow(opened, "path string, file_size long, text binary").select(
+        "path",
+        F.substring_index("path", "/", -1).alias("file_name"),
+        "file_size",
+        F.col("text").cast("string").alias("text"),
+    )
+
+
+def _opener(path: bytes):
+    return OPENERS.get(os.path.splitext(path)[1].lower().decode(errors="replace"), open)
+
+
+def _address(path: bytes) -> str:
+    """The path as Spark shows it."""
+    return "file:" + UNSAFE.sub(lambda found: quote(found[0], safe=""), path.decode(errors="replace"))

@@ -1,8 +1,12 @@
 """Table and text preparation."""
 
+import bz2
+import gzip
 import json
+import zlib
 
 import pytest
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
 from hushmap.operators import prepare
@@ -144,6 +148,73 @@ def test_text_files_and_inventory(spark, tmp_path):
     }
 
 
+def test_texts_of_a_mounted_folder_are_found_by_tasks(spark, tmp_path):
+    for i in range(3_000):
+        folder = tmp_path / f"sub {i % 7}" / "deep" if i % 2 else tmp_path
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.txt").write_text(f"text {i}\n")
+    docs = readers.read_text_documents(spark, str(tmp_path))
+    assert docs.inputFiles() == []  # else the driver holds them
+    rows = docs.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.text for r in rows) == sorted(f"text {i}\n" for i in range(3_000))
+    tasks = [r.task for r in rows]
+    assert max(tasks) < 8 and max(tasks.count(t) for t in range(8)) < 500
+
+
+def test_texts_of_a_mounted_folder_are_those_of_sparks_reader(spark, tmp_path):
+    top = tmp_path / "top dir%20é"
+    plain = [
+        "a.txt", "no end", "per%cent.txt", "h#?[x]{y}.txt", "st*ar!~'()$.txt", 'q"<>^`|\\.txt', "é€😀\u00a0\u2028\x7f\n.txt",
+        "_hidden.txt", ".hidden.txt", "x._COPYING_", "_metadata", "_k=v.txt", "_k=v/a.txt", "k=v/a.txt", "_sub/a.txt",
+        ".sub/a.txt", "_metadata_sub/a.txt", "sub._COPYING_/a.txt", "dir.gz/a.txt", "s/u/b/a.txt",
+    ]
+    contents = {name: f"{name}\r\n".encode() for name in plain} | {
+        "empty.txt": b"", "bad.txt": b"\xff\xfea\xc3", "bom.txt": b"\xef\xbb\xbfa\x00", "b.gz": gzip.compress(b"a") + gzip.compress(b"b"),
+        "s/B.GZ": gzip.compress(b""), "c.gzip": gzip.compress(b"c"), "d.bz2": bz2.compress(b"d") + bz2.compress(b"e"),
+        "f.deflate": zlib.compress(b"f"), "s/g h%.DEFLATE": zlib.compress(b"g"),
+    }
+    for name, content in contents.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(content)
+    (top / "link.txt").symlink_to(top / "a.txt")
+    (top / "broken.txt").symlink_to(tmp_path / "nowhere")
+    (top / "linked").symlink_to(top / "s")
+
+    def rows(docs):
+        kept = docs.select("path", "file_name", "file_size", F.col("text").cast("binary"))
+        return sorted((r[0], r[1], r[2], bytes(r[3])) for r in kept.collect())
+
+    listed = rows(readers._listed_texts(spark, str(top), True))
+    assert len(listed) == 25
+    assert rows(readers.read_text_documents(spark, str(top))) == listed
+    assert rows(readers.read_text_documents(spark, f"file:{top}/")) == listed
+    assert readers.read_text_documents(spark, str(top / "s" / "*.GZ")).count() == 1
+    assert readers.read_text_documents(spark, str(top / "a.txt")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert readers.read_text_documents(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        readers.read_text_documents(spark, str(tmp_path / "nowhere"))
+
+
+def test_texts_that_cannot_be_read_fail_unless_spark_is_told_to_skip_them(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"b" * 1_000)[:20])
+    with pytest.raises(PythonException, match="EOFError"):
+        readers.read_text_documents(spark, str(tmp_path)).collect()
+    try:
+        spark.conf.set("spark.sql.files.ignoreCorruptFiles", True)
+        docs = readers.read_text_documents(spark, str(tmp_path))
+        assert [r.text for r in docs.collect()] == ["a"]
+        gone = spark.createDataFrame([(bytes(tmp_path / name),) for name in ("a.txt", "gone.txt")], "path binary")
+        with pytest.raises(PythonException, match="FileNotFoundError"):
+            readers._mounted_texts(gone).collect()
+        spark.conf.set("spark.sql.files.ignoreMissingFiles", True)
+        assert [r.text for r in readers._mounted_texts(gone).collect()] == ["a"]
+    finally:
+        for kind in ("Corrupt", "Missing"):
+            spark.conf.unset(f"spark.sql.files.ignore{kind}Files")
+
+
 def test_routes(spark):
     names = ["a.csv", "b.XLSX", "c.json", "d.txt", "e.v1.pdf", "f.JPG", "g.exe", "csv"]
     df = spark.createDataFrame([(n,) for n in names], "file_name string")
